@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import mixing, quality_rules
+from skein.llm import language_id, mixing, quality_rules
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out(F.col("doc_id")))
+    model = language_id.fit(docs.filter("not held_out"))
+    return language_id.predict(docs, model, ["doc_id", "held_out"])
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.copies(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -22,5 +28,5 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("rejected_by", ",").alias("rejected_by"))
 
 
-QUERIES = {"op5_mixing": op5_mixing, "op8_quality_rules": op8_quality_rules}
+QUERIES = {"op3_language_id": op3_language_id, "op5_mixing": op5_mixing, "op8_quality_rules": op8_quality_rules}
 ORACLES: dict[str, str] = {}
