@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import language_id, mixing, quality_rules
+from skein.llm import language_id, mixing, quality_rules, sentencepiece_fst
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the public vocabulary files lie on the driver; executors get their contents from it."""
+    return f"{os.environ.get('SKEIN_TOKENIZERS', '/opt/tokenizers')}/{name}"
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out(F.col("doc_id")))
     model = language_id.fit(docs.filter("not held_out"))
@@ -23,10 +30,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_fst.digest(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.apply_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("rejected_by", ",").alias("rejected_by"))
 
 
-QUERIES = {"op3_language_id": op3_language_id, "op5_mixing": op5_mixing, "op8_quality_rules": op8_quality_rules}
+QUERIES = {"op3_language_id": op3_language_id, "op5_mixing": op5_mixing, "op6_sentencepiece": op6_sentencepiece, "op8_quality_rules": op8_quality_rules}
 ORACLES: dict[str, str] = {}
