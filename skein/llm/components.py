@@ -1,0 +1,30 @@
+"""Connected components of an edge table, by joins; labels and links stay distributed."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from skein.llm.store import cut
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges: a, b (bigint, not null). One row per node that an edge touches: node, comp (the least node reachable).
+
+    Each round hooks a node's root to the least root among its neighbours and halves the way to the root; the number of
+    rounds grows with the logarithm of the longest path. A hub's edges are minimised before they are shuffled, and the join
+    that looks up the far ends splits a hub's rows (adaptive skew join).
+    """
+    both = cut(edges.filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.filter("a <> b").select("b", "a")).distinct(), "edges")
+    p = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("comp")), "labels")
+    while True:
+        least = both.join(p.select(F.col("node").alias("v"), "comp"), "v").groupBy(F.col("u").alias("node")).agg(F.min("comp").alias("m"))
+        seen = p.join(least, "node").select("node", "comp", F.least("comp", "m").alias("m"))
+        hooks = seen.filter("m < comp").groupBy(F.col("comp").alias("node")).agg(F.min("m").alias("h"))
+        hooked = cut(seen.join(hooks, "node", "left").select("node", F.least("m", F.coalesce("h", "m")).alias("m"), "comp"), "hooked")
+        jumped = hooked.join(hooked.select(F.col("node").alias("m"), F.col("m").alias("far")), "m", "left")
+        p2 = cut(jumped.select("node", F.coalesce("far", "m").alias("m2"), "comp"), "labels")
+        changed = p2.filter("m2 <> comp").limit(1).count()
+        p = p2.select("node", F.col("m2").alias("comp"))
+        if not changed:
+            return p

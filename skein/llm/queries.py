@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import language_id, mixing, quality_rules, sentencepiece_fst
+from skein.llm import language_id, mixing, ngram_join, quality_rules, sentencepiece_fst
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,10 +34,14 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_fst.digest(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.apply_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("rejected_by", ",").alias("rejected_by"))
 
 
-QUERIES = {"op3_language_id": op3_language_id, "op5_mixing": op5_mixing, "op6_sentencepiece": op6_sentencepiece, "op8_quality_rules": op8_quality_rules}
+QUERIES = {"op3_language_id": op3_language_id, "op5_mixing": op5_mixing, "op6_sentencepiece": op6_sentencepiece, "op7_ngram_join": op7_ngram_join, "op8_quality_rules": op8_quality_rules}
 ORACLES: dict[str, str] = {}
