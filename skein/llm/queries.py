@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import language_id, mixing, ngram_join, quality_rules, sentencepiece_fst
+from skein.llm import fingerprints, language_id, mixing, ngram_join, quality_rules, sentencepiece_fst
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, ["doc_id", "held_out"])
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.copies(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -43,5 +47,5 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("rejected_by", ",").alias("rejected_by"))
 
 
-QUERIES = {"op3_language_id": op3_language_id, "op5_mixing": op5_mixing, "op6_sentencepiece": op6_sentencepiece, "op7_ngram_join": op7_ngram_join, "op8_quality_rules": op8_quality_rules}
+QUERIES = {"op3_language_id": op3_language_id, "op4_fingerprints": op4_fingerprints, "op5_mixing": op5_mixing, "op6_sentencepiece": op6_sentencepiece, "op7_ngram_join": op7_ngram_join, "op8_quality_rules": op8_quality_rules}
 ORACLES: dict[str, str] = {}
