@@ -15,6 +15,7 @@ the parts, words as a rule, are kept in a bounded table.
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,8 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 from skein.llm.textkit import chunks, column
 
 META = "▁"
-#: Entries of the tables of paths and of pairs in a Python worker; a full table starts anew.
-PATHS, PAIRS = 400_000, 1_000_000
+#: Entries of the two tables of paths and of the table of pairs in a Python worker. A full table of paths becomes the older one, from which what is used comes back.
+PATHS, PAIRS = 250_000, 600_000
 
 
 class Transducer:
@@ -58,13 +59,26 @@ class Transducer:
         self.lengths: dict[str, list[int]] = {}  # of the pieces that end in a character
         for p in self.score:
             self.lengths.setdefault(p[-1], []).append(len(p))
-        self.lengths = {c: sorted(set(n)) for c, n in self.lengths.items()}
+        self.lengths = {c: sorted({*n, 1}, reverse=True) for c, n in self.lengths.items()}
+        # The pieces that can begin where so many characters come, the longest first; 4 characters stand for more.
+        self.begins: dict[str, list[str]] = {p[:n]: [] for p in self.score for n in (1, 2, 3, 4)}
+        for p in self.score:
+            if len(p) > 4:
+                self.begins[p[:4]].append(p)
+        self.begins = {k: [*sorted(longer, key=len, reverse=True), *[k[:n] for n in range(len(k), 0, -1) if n == 1 or k[:n] in self.score]] for k, longer in self.begins.items()}
         self.unknown_cost = 10 - min(self.score.values(), default=0)
-        inner = {a + b for p in self.score for a, b in zip(p, p[1:])}
+        inner = {(a, b) for p in self.score for a, b in zip(p, p[1:])}
         splits = not any(b == META != a for a, b in inner) and not any("\n" in x for x in inner)
         self.parts = re.compile(f"{META}*[^{META}\n]+|\n|{META}+" if splits else r"(?s:.+)").findall
+        # Signs that no piece has beside a letter or digit, nor any other character that is no sign: a part falls apart there too.
+        plain = set(string.punctuation)
+        signs = sorted(plain - {x for a, b in inner for x, y in ((a, b), (b, a)) if x in plain and y not in plain and y != META})
+        sign, other = re.escape("".join(signs)), re.escape(string.punctuation + META)
+        self.subparts = re.compile(f"(?<=[^{other}])(?=[{sign}])|(?<=[{sign}])(?=[^{other}])").split if signs and splits else lambda part: [part]
         self._paths: dict[str, tuple[int, ...]] = {}
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
+        self._pairs: dict[str, dict[str, bool]] = {}
+        self._known = 0
 
     def normalise(self, text: str) -> str:
         return (META if self.dummy and text else "") + text.replace(" ", META)
@@ -82,48 +96,64 @@ class Transducer:
                 return s
             s[at : at + 2] = [s[at] + s[at + 1]]
 
-    def meet(self, a: str, b: str) -> bool:
-        """Whether BPE keeps a and b apart as they are; a is empty at the start."""
-        key = (a, b)
-        if (known := self._pairs.get(key)) is None:
-            if len(self._pairs) >= PAIRS:
-                self._pairs.clear()
-            known = self._pairs[key] = self.merged(a + b) == ([a, b] if a else [b])
+    def _meet(self, last: str, piece: str) -> bool:
+        """Whether BPE keeps the two apart as they are; last is empty at the start."""
+        known = self.merged(last + piece) == ([last, piece] if last else [piece])
+        if self._known >= PAIRS:
+            self._pairs.clear()
+            self._known = 0
+        self._known += 1
+        self._pairs.setdefault(last, {})[piece] = known
         return known
 
     def path(self, part: str) -> tuple[int, ...]:
         """Ids on the shortest path of a part's lattice."""
-        # at[j]: last piece -> (weight, position before it, piece before it)
-        at: list[dict[str, tuple[float, int, str]]] = [{"": (0.0, -1, "")}]
+        return self._bpe_path(part) if self.bpe else self._unigram_path(part)
+
+    def _options(self, part: str, at: int) -> list[str]:
+        b = self.begins
+        return b.get(part[at : at + 3]) or b.get(part[at : at + 2]) or b.get(part[at : at + 1]) or [part[at : at + 1]]
+
+    def _bpe_path(self, part: str) -> tuple[int, ...]:
+        """Only one path has the weight 0, so the first one found is the shortest: depth first, the longest piece first, back from dead ends."""
+        begins, pairs, starts, size = self.begins, self._pairs, part.startswith, len(part)
+        at, last, row = 0, "", pairs.get("", {})
+        options = iter(begins.get(part[:4]) or self._options(part, 0))
+        out, left, dead = [], [], set()
+        while at < size:
+            for piece in options:
+                if starts(piece, at):
+                    known = row.get(piece)
+                    if (self._meet(last, piece) if known is None else known) and not (dead and (at, piece) in dead):
+                        left.append((options, last, row))
+                        out.append(piece)
+                        at += len(piece)
+                        last, row = piece, pairs.get(piece, {})
+                        options = iter(begins.get(part[at : at + 4]) or self._options(part, at))
+                        break
+            else:
+                at -= len(last)
+                dead.add((at, last))
+                out.pop()
+                options, last, row = left.pop()
+        ids = self.id
+        try:
+            return tuple([ids[p] for p in out])
+        except KeyError:
+            return tuple([i for p in out for i in self._ids(p)])
+
+    def _unigram_path(self, part: str) -> tuple[int, ...]:
+        best: list[tuple[float, int]] = [(0.0, 0)]  # weight, length of the last piece
         for j in range(1, len(part) + 1):
-            here: dict[str, tuple[float, int, str]] = {}
-            for n in self.lengths.get(part[j - 1], ()):
-                if n > j:
-                    break
-                piece = part[j - n : j]
-                if n > 1 and piece not in self.score:
-                    continue
-                self._arcs(at[j - n], here, piece, j - n)
-            if not here and part[j - 1] not in self.score or 1 not in self.lengths.get(part[j - 1], ()):
-                self._arcs(at[j - 1], here, part[j - 1], j - 1)
-            at.append(here)
-        last = min(at[-1], key=lambda x: at[-1][x][0])
-        pieces, j = [], len(part)
-        while j > 0:
-            _, before, previous = at[j][last]
-            pieces.append(part[before:j])
-            j, last = before, previous
-        return tuple(i for p in reversed(pieces) for i in self._ids(p))
-
-    def _arcs(self, begin: dict, here: dict, piece: str, before: int) -> None:
-        for previous, (weight, _, _) in begin.items():
-            if self.bpe:
-                if self.meet(previous, piece):
-                    here[piece] = (weight, before, previous)
-            else:  # the last piece does not matter
-                w = weight - self.score.get(piece, -self.unknown_cost)
-                if "" not in here or w < here[""][0]:
-                    here[""] = (w, before, previous)
+            found = [(best[j - n][0] - self.score[piece], n) for n in self.lengths.get(part[j - 1], ()) if n <= j and (piece := part[j - n : j]) in self.score]
+            if part[j - 1] not in self.score:
+                found.append((best[j - 1][0] + self.unknown_cost, 1))
+            best.append(min(found))
+        j, out = len(part), []
+        while j:
+            out.append(part[j - best[j][1] : j])
+            j -= best[j][1]
+        return tuple(i for p in reversed(out) for i in self._ids(p))
 
     def _ids(self, piece: str) -> list[int]:
         if (i := self.id.get(piece)) is not None:
@@ -135,14 +165,21 @@ class Transducer:
         for part in self.parts(self.normalise(text or "")):
             ids = paths.get(part)
             if ids is None:
-                ids = self.path(part)
+                ids = self._older.get(part) or self._new(part)
                 if len(part) <= 64:
                     if len(paths) >= PATHS:
-                        paths.clear()
+                        self._older, self._paths = paths, {}
+                        paths = self._paths
                     paths[part] = ids
             out += ids
         return out
 
+    def _new(self, part: str) -> tuple[int, ...]:
+        words = self.subparts(part)
+        if len(words) == 1:
+            return self.path(part)
+        return tuple([i for w in words for i in self._paths.get(w) or self.path(w)])
+
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.spelled.__getitem__, ids)).decode(errors="replace")
         return text[1:] if self.dummy and text.startswith(" ") else text
