@@ -3,17 +3,28 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import fingerprints, language_id, mixing, ngram_join, quality_rules, sentencepiece_fst
+from skein.llm import chat_format, fingerprints, language_id, mixing, ngram_join, quality_rules, sentencepiece_fst, substring_dedup, token_files, url_filters
+from skein.llm.store import shared_dir
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["begin"], s["end"])), ",")
+    return chat_format.rotate(read(spark, sf_dir, "conversations")).withColumn("spans", spans)
+
+
 def tokenizer_file(name: str) -> str:
     """Where the public vocabulary files lie on the driver; executors get their contents from it."""
     return f"{os.environ.get('SKEIN_TOKENIZERS', '/opt/tokenizers')}/{name}"
@@ -47,5 +58,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("rejected_by", ",").alias("rejected_by"))
 
 
-QUERIES = {"op3_language_id": op3_language_id, "op4_fingerprints": op4_fingerprints, "op5_mixing": op5_mixing, "op6_sentencepiece": op6_sentencepiece, "op7_ngram_join": op7_ngram_join, "op8_quality_rules": op8_quality_rules}
-ORACLES: dict[str, str] = {}
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    to = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write_tokens(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), to)
+    return token_files.read_tokens(spark, to).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_format, op3_language_id, op4_fingerprints, op5_mixing, op6_sentencepiece, op7_ngram_join, op8_quality_rules, op9_token_files, op10_substring_dedup)}
+ORACLES = {"op2_chat_format": chat_format.ORACLE}
