@@ -128,8 +128,8 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys[out]), pa.array(first[out]), pa.array(nodes[out])], names=["key", "a", "b"])
 
 
-def _blocks(percent: int):
-    """Rows of a block pair (key, i, j): pairs in different components that the sketches let pass, a < b."""
+def _blocks(percent: int, closest: bool):
+    """Rows of a block pair (key, i, j): pairs in different components that the sketches let pass, or of each row the closest one alone."""
     def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows)
         node, comp, n, salt = (t.column(c).to_numpy() for c in ("node", "comp", "n", "salt"))
@@ -139,15 +139,18 @@ def _blocks(percent: int):
         bits = np.stack([np.bitwise_xor.reduce(np.array(x, np.int64).view(_U).reshape(-1, w), axis=0) for x in lists])
         out_a, out_b = [], []
         for s in range(len(node)):
-            ok = (node > node[s]) & (comp != comp[s]) & (100 * np.minimum(n, n[s]) >= percent * np.maximum(n, n[s]))
+            ok = (comp != comp[s]) if closest else (node > node[s]) & (comp != comp[s]) & (100 * np.minimum(n, n[s]) >= percent * np.maximum(n, n[s]))
             if cross:
                 ok &= salt != salt[s]
             at = np.flatnonzero(ok)
             if len(at):
                 far = np.bitwise_count(bits[at] ^ bits[s]).sum(1, dtype=np.int64)
-                at = at[far * (100 + percent) <= (100 - percent) * (n[at] + n[s])]
-                out_a.append(np.full(len(at), node[s]))
-                out_b.append(node[at])
+                near = far * (100 + percent) <= (100 - percent) * (n[at] + n[s])
+                at, far = at[near], far[near]
+                if closest and len(at):
+                    at = at[far.argmin()][None]
+                out_a.append(np.minimum(node[at], node[s]))
+                out_b.append(np.maximum(node[at], node[s]))
         flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(flat(out_a)), pa.array(flat(out_b))], names=["a", "b"])
 
@@ -189,6 +192,18 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
     return cut(both.filter(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b"), "links")
 
 
+def _open_pairs(members: DataFrame, crowd: DataFrame, comp: DataFrame, nodes: DataFrame, percent: int, closest: bool) -> DataFrame:
+    """Pairs (a, b) of different components that share a key, without its first member."""
+    inside = members.join(crowd, "key").select("key", "c", F.col("b").alias("node"))
+    inside = inside.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    open_ = inside.groupBy(F.col("key").alias("_k")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("_k")
+    rest = cut(inside.join(open_, F.col("key") == F.col("_k"), "left_semi"), "open-members")
+    parts = F.ceil(F.col("c") / BLOCK).cast("int")
+    dealt = (rest.join(nodes.select("node", "n", "sketch"), "node").withColumn("salt", F.pmod(F.hash("node"), parts)).withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
+             .select("key", F.least("salt", "o").alias("i"), F.greatest("salt", "o").alias("j"), "node", "comp", "n", "salt", "sketch"))
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocks(percent, closest), "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id.
 
@@ -204,20 +219,18 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     links = _verified(members.select("a", "b").distinct(), nodes, docs, width, percent)
     comp = components(links)
 
+    # As long as it helps, each row is tried with the closest one of another component; then with all of them that are left.
     crowd = members.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")  # the first member has met all
-    inside = members.join(crowd, "key").select("key", "c", F.col("b").alias("node"))
-    inside = inside.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_ = inside.groupBy(F.col("key").alias("_k")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("_k")
-    rest = cut(inside.join(open_, F.col("key") == F.col("_k"), "left_semi"), "open-members")
-    parts = F.ceil(F.col("c") / BLOCK).cast("int")
-    dealt = (rest.join(nodes.select("node", "n", "sketch"), "node").withColumn("salt", F.pmod(F.hash("node"), parts)).withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
-             .select("key", F.least("salt", "o").alias("i"), F.greatest("salt", "o").alias("j"), "node", "comp", "n", "salt", "sketch"))
-    more = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocks(percent), "a bigint, b bigint").distinct()
-    more = cut(more, "open-pairs")
-    if more.limit(1).count():
-        found = _verified(more, nodes, docs, width, percent)
-        if found.limit(1).count():
-            comp = components(links.union(found))
+    for closest in (True, False):
+        while True:
+            more = cut(_open_pairs(members, crowd, comp, nodes, percent, closest), "open-pairs")
+            found = _verified(more, nodes, docs, width, percent) if more.limit(1).count() else None
+            if found is None or not found.limit(1).count():
+                break
+            links = links.union(found)
+            comp = components(links)
+            if not closest:
+                break
     least = comp.join(nodes.select("node", "doc_id"), "node").groupBy("comp").agg(F.min("doc_id").alias("least"))
     named = nodes.select("node", F.col("doc_id").alias("own_id")).join(comp.join(least, "comp").select("node", "least"), "node", "left").select("node", F.coalesce("least", "own_id").alias("least"))
     return table.select("doc_id", "n", "node").join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
