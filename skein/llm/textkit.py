@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes worked on at once; one text may be longer and is then worked on alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 3 << 19
 
 _U = np.uint64
 WHITE = np.zeros(256, bool)
