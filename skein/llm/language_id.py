@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from skein.llm.store import broadcast_if_small
 from skein.llm.textkit import chunks, column, utf8
@@ -117,12 +117,12 @@ def fit(docs: DataFrame, sample_all: int = SAMPLE_ALL, sample_one: int = SAMPLE_
                 for (g, size), d, lang in zip(_grams(off, raw, c), column(batch, "doc_id").to_pylist(), column(batch, "lang").to_pylist(), strict=True):
                     if c is None or size == c:
                         b, k = np.unique(g, return_counts=True)
-                        rows.append({"doc_id": d, "lang": lang, "cut": c or 0, "b": b.astype(np.int32), "k": k.astype(np.int32)})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("cut", pa.int32()), ("b", pa.list_(pa.int32())), ("k", pa.list_(pa.int32()))]))
+                        rows.append({"doc_id": d, "lang": lang, "cut": c or 0, "b": b.astype("<i4").tobytes(), "k": k.astype("<i4").tobytes()})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("cut", pa.int32()), ("b", pa.binary()), ("k", pa.binary())]))
 
-    schema = StructType([*train.select(F.col("doc_id").cast("long")).schema, StructField("lang", StringType()), StructField("cut", IntegerType()), StructField("b", ArrayType(IntegerType())), StructField("k", ArrayType(IntegerType()))])
+    schema = StructType([*train.select(F.col("doc_id").cast("long")).schema, StructField("lang", StringType()), StructField("cut", IntegerType()), StructField("b", BinaryType()), StructField("k", BinaryType())])
     got = sample.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(count, schema).collect()
-    got.sort(key=lambda r: (r.lang, r.doc_id is None, r.doc_id or 0, len(r.b), r.b))
+    got.sort(key=lambda r: (r.lang, r.doc_id is None, r.doc_id or 0, bytes(r.b)))
     full, cuts = [r for r in got if not r.cut and r.b], [r for r in got if r.cut]
     if not full:
         return None
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, sample_all: int = SAMPLE_ALL, sample_one: int = SAMPLE_
     def dense(rows: list) -> np.ndarray:
         m = np.zeros((len(rows), BINS), np.float32)
         for i, r in enumerate(rows):
-            m[i, r.b] = r.k
+            m[i, np.frombuffer(r.b, "<i4")] = np.frombuffer(r.k, "<i4")
         return np.log1p(m, out=m)
 
     m = dense(full)
@@ -148,12 +148,12 @@ def fit(docs: DataFrame, sample_all: int = SAMPLE_ALL, sample_one: int = SAMPLE_
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """docs' columns of `keep` (all) with lang_pred, score (cosine, 0 to 1) and rejected added, one row per row.
+    """docs' columns of `keep` (all) with lang_pred, score (cosine, 0 to 1) and rejected added, or in place of columns of these names, one row per row.
 
     Only text is looked at. Null text and text without a letter: `und`, 0, rejected; so is everything if model is None.
     Texts shorter than the least calibrated length are not rejected.
     """
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "rejected")]
     kept = docs.select(*keep).schema
     schema = StructType([*kept, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some hundred kB

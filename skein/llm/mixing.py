@@ -77,6 +77,11 @@ def _settle(items: Column, seed: int) -> Column:
     return F.aggregate(items, F.struct(F.array().cast(f"array<{ITEM}>").alias("done"), F.lit(0.0).alias("error")), step)["done"]
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """64 bits of a whole row; maps, which have no order, are left out."""
+    return F.xxhash64(*[F.col(c) for c, t in docs.dtypes if "map<" not in t])
+
+
 def copies(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 7, fan: int = FAN) -> DataFrame:
     """One row per row of docs (doc_id, text, source): h, doc_id, size, source_size, target, copies (0 to cap).
 
@@ -84,7 +89,7 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float =
     `[^\\x20\\x09-\\x0D]+`, 0 for null text. Documents without words weigh nothing; their copies are rounded alone. Null
     sources are a source. Nothing depends on the order or partitioning of docs, so reruns agree. Empty docs: no rows.
     """
-    sized = cut(docs.select(F.xxhash64(*docs.columns).alias("h"), "doc_id", "source", word_count("text").alias("size")), "mix-sizes")
+    sized = cut(docs.select(row_hash(docs).alias("h"), "doc_id", "source", word_count("text").alias("size")), "mix-sizes")
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = targets(per.select("source", "source_size"), weights, cap).select(F.col("source").alias("_s"), "source_size", "target", F.dense_rank().over(Window.orderBy(F.col("source").asc_nulls_last())).alias("sid"))
     plan = cut(plan.join(per.select(F.col("source").alias("_p"), "n"), F.col("_s").eqNullSafe(F.col("_p"))).drop("_p"), "mix-targets")
@@ -113,7 +118,8 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float =
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with the columns of docs."""
-    keyed = docs.select("*", F.xxhash64(*docs.columns).alias("_h")).dropDuplicates(["_h", "doc_id"])
-    n = copies(docs, **options).groupBy(F.col("h").alias("_k"), F.col("doc_id").alias("_d")).agg(F.sum("copies").cast("int").alias("_n")).filter("_n > 0")
-    return keyed.join(n, (F.col("_h") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d"))).withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    """The rows of docs, each as often as the mix takes it, with the columns of docs, whatever their names."""
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), row_hash(docs).alias("h"), "doc_id").dropDuplicates(["h", "doc_id"])
+    n = copies(docs, **options).groupBy("h", F.col("doc_id").alias("d")).agg(F.sum("copies").cast("int").alias("n")).filter("n > 0")
+    taken = keyed.join(n, (keyed["h"] == n["h"]) & keyed["doc_id"].eqNullSafe(n["d"])).select("row", F.explode(F.sequence(F.lit(1), "n")))
+    return taken.select("row.*")

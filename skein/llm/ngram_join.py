@@ -242,9 +242,11 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     Of repeated doc_ids that name a component, one row stays. Rows of null doc_id stay unless they join a component that has an id.
     """
     found = near_duplicates(docs, width, percent)
-    named = cut(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_d")).agg(F.count("*").alias("_n")), "kept-ids")
+    named = cut(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")), "kept-ids")
+
     def kept(ids: DataFrame) -> DataFrame:
-        return docs.join(broadcast_if_small(ids.select("_d")), F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+        side = broadcast_if_small(ids.select("id"))
+        return docs.join(side, docs["doc_id"].eqNullSafe(side["id"]), "left_semi")
 
-    once, often = named.filter("_n = 1 or _d is null"), named.filter("_n > 1 and _d is not null")
+    once, often = named.filter("n = 1 or id is null"), named.filter("n > 1 and id is not null")
     return kept(once).unionByName(kept(often).dropDuplicates(["doc_id"])) if often.limit(1).count() else kept(once)

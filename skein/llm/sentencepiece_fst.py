@@ -203,8 +203,8 @@ def _transducer(shared) -> Transducer:
 
 
 def encode(docs: DataFrame, model: str, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """docs' columns of `keep` (all) and ids, array<int>, of each row's whole text; null and empty texts have none."""
-    keep = docs.columns if keep is None else keep
+    """docs' columns of `keep` (all but one of the name ids) and ids, array<int>, of each row's whole text; null and empty texts have none."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
     shared = _shared(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
