@@ -19,7 +19,8 @@ from skein.llm.store import shared_dir
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model, fitted on the documents not held out, does not reject."""
     model = language_id.fit(docs.filter(~language_id.held_out(F.col("doc_id"))))
-    return language_id.predict(docs, model).filter("not rejected").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")  # names of docs cannot clash with the operator's
+    return language_id.predict(rows, model, ["row"]).filter("not rejected").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
