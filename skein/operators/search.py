@@ -53,8 +53,8 @@ def title_search(index: DataFrame, query: str, limit: int, prefix_tokens: int =
     flat = state.agg(F.count_if(~F.col("capped")).alias("complete"), F.count("*").alias("words"))
     found = per.join(F.broadcast(state), "word").groupBy("node").agg(F.max("cited").alias("cited"), F.sum("same").alias("exact"), F.count_if("capped").alias("sampled"), F.count_if(~F.col("capped")).alias("met"), F.count("*").alias("all_met"), F.max(F.when(F.col("word") == words[0], 1).otherwise(0)).alias("first"))
     kept = found.crossJoin(F.broadcast(flat)).filter(F.col("met") == F.col("complete"))  # one row
-    total = kept.withColumn("full", F.max((F.col("all_met") == F.col("words")).cast("int")).over(Window.partitionBy()))
-    chosen = total.filter((F.col("complete") > 0) | (F.col("full") == 1) & (F.col("all_met") == F.col("words")) | (F.col("full") == 0) & (F.col("first") == 1))
+    full = kept.agg(F.coalesce(F.max((F.col("all_met") == F.col("words")).cast("int")), F.lit(0)).alias("full"))
+    chosen = kept.crossJoin(F.broadcast(full)).filter((F.col("complete") > 0) | (F.col("full") == 1) & (F.col("all_met") == F.col("words")) | (F.col("full") == 0) & (F.col("first") == 1))
     return chosen.select("node", F.col("exact").cast("int").alias("exact"), F.col("sampled").cast("int").alias("sampled"), "cited").orderBy(F.desc("exact"), F.desc("sampled"), F.desc("cited"), "node").limit(limit)
 
 
