@@ -129,3 +129,8 @@ def month_index(date: Column, origin_year: Column | int) -> Column:
     y, m = F.substring(date, 1, 4).try_cast("int"), F.substring(date, 6, 2).try_cast("int")
     m = F.when(m.between(1, 12), m).otherwise(1)
     return F.greatest(F.lit(0), 12 * (y - origin_year) + m - 1)
+
+
+def first_caption(line: Column) -> Column:
+    """Whether a line captions a paper's first figure or table (or number 1 of a chapter); a table needs a colon or full stop after its number."""
+    return F.trim(line).rlike(r"(?i)^(fig(ure|\.)?\s*1(\.\d+)?([.:]?\s|$)|table\s*1(\.\d+)?[.:](\s|$))")

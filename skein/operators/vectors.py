@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.vectors import dot, unit
@@ -32,16 +32,33 @@ def fit_cells(vectors: DataFrame, cells: int, sample: int = 50_000, rounds: int
     return [list(map(float, c)) for c in model.clusterCenters()]
 
 
+def _cells(v: Column, centroids: list[list[float]]) -> Column:
+    """Cells from the nearest to the farthest of a vector."""
+    c = F.array(*[F.struct(F.lit(i).alias("cell"), F.array(*map(F.lit, x)).alias("c"), F.lit(sum(y * y for y in x) / 2).alias("h")) for i, x in enumerate(centroids)])
+    return F.transform(F.array_sort(F.transform(c, lambda x: F.struct((x["h"] - dot(v, x["c"])).alias("d"), x["cell"].alias("cell")))), lambda x: x["cell"])
+
+
 def approximate_neighbours(queries: DataFrame, vectors: DataFrame, centroids: list[list[float]], k: int, probes: int) -> DataFrame:
-    """As exact_neighbours, but a query meets the vectors of its `probes` nearest cells alone."""
-    c = F.array(*[F.struct(F.lit(i).alias("cell"), F.array(*map(F.lit, x)).alias("c")) for i, x in enumerate(centroids)])
-    ranked = lambda v: F.transform(F.array_sort(F.transform(c, lambda x: F.struct((-dot(v, x["c"])).alias("d"), x["cell"].alias("cell")))), lambda x: x["cell"])
-    v = vectors.select(F.col("node").alias("nbr"), "v", ranked(F.col("v"))[0].alias("cell"))
-    q = queries.select("node", F.col("v").alias("q"), F.explode(F.slice(ranked(F.col("v")), 1, probes)).alias("cell"))
+    """As exact_neighbours, but a query meets the vectors of its `probes` nearest cells alone. Every vector is in the index."""
+    v = vectors.select(F.col("node").alias("nbr"), "v", _cells(F.col("v"), centroids)[0].alias("cell"))
+    q = queries.select("node", F.col("v").alias("q"), F.explode(F.slice(_cells(F.col("v"), centroids), 1, probes)).alias("cell"))
     pairs = q.join(v, "cell").filter("node <> nbr").select("node", "nbr", F.round(dot(F.col("q"), F.col("v")), 5).alias("score"))
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), "nbr"))).filter(F.col("rank") <= k)
 
 
+def probes_needed(queries: DataFrame, vectors: DataFrame, centroids: list[list[float]], k: int, recall: float) -> int:
+    """The least number of probes with which some queries, found by exact search, have this recall."""
+    true = exact_neighbours(queries, vectors, k).join(queries.select("node", _cells(F.col("v"), centroids).alias("order")), "node")
+    at = true.join(vectors.select(F.col("node").alias("nbr"), _cells(F.col("v"), centroids)[0].alias("cell")), "nbr").select(F.array_position("order", F.col("cell")).alias("p"))
+    counts = {r.p: r["count"] for r in at.groupBy("p").count().collect()}  # a row a cell
+    seen, total = 0, sum(counts.values())
+    for p in range(1, len(centroids) + 1):
+        seen += counts.get(p, 0)
+        if seen >= recall * total:
+            return p
+    return len(centroids)
+
+
 def centroids(vectors: DataFrame, by: str) -> DataFrame:
     """by, c: unit mean of each group's vectors, added place by place."""
     each = vectors.select(by, F.posexplode("v").alias("i", "x")).groupBy(by, "i").agg(F.sum(F.col("x").cast("double")).alias("s"))

@@ -38,7 +38,9 @@ def e2_e3_e4_c13_exact_neighbours(spark: SparkSession, d: str) -> DataFrame:
 def e3_e24_approximate_recall(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
     q = v.filter("node % 20 = 0")
-    near = V.approximate_neighbours(q, v, V.fit_cells(v, 8), 10, 7)
+    cells = V.fit_cells(v, 8)
+    probes = V.probes_needed(v.filter("node % 40 = 10").limit(200), v, cells, 10, 0.95)
+    near = V.approximate_neighbours(q, v, cells, 10, probes)
     hit = V.exact_neighbours(q, v, 10).join(near.select("node", "nbr", F.lit(1).alias("hit")), ["node", "nbr"], "left")
     return hit.agg((F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("enough"))
 
