@@ -18,11 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from skein.llm.store import broadcast_if_small
-from skein.llm.textkit import chunks, column, utf8
+from skein.llm.store import bound_batches, broadcast_if_small
+from skein.llm.textkit import chunks, column, release, utf8
 
 #: The model is fitted on about so many labelled documents at most: in all, and of one language.
-SAMPLE_ALL, SAMPLE_ONE = 2400, 600
+SAMPLE_ALL, SAMPLE_ONE = 1200, 300
 BINS, CLUSTERS, ROUNDS = 1 << 13, 4, 12
 #: Lengths in letters and blanks at which rejection is calibrated; the quantile of the cosine there, and the part of it that must be reached.
 LENGTHS, QUANTILE, PART = (4, 8, 16, 32, 64, 128, 256, 512, 1024), 0.01, 0.6
@@ -103,6 +103,7 @@ def fit(docs: DataFrame, sample_all: int = SAMPLE_ALL, sample_one: int = SAMPLE_
 
     A bounded sample of each language, picked by hash, goes to the driver as n-gram counts (sample_all x some thousand numbers).
     """
+    bound_batches(docs.sparkSession)
     train = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null")
     n = train.groupBy(F.col("lang").alias("_l")).agg(F.count("*").alias("_n"))
     per = min(sample_one, sample_all // max(1, n.count()) or 1)
@@ -144,6 +145,7 @@ def fit(docs: DataFrame, sample_all: int = SAMPLE_ALL, sample_one: int = SAMPLE_
             model.floor[i] = PART * np.quantile(model.nearest(dense(rows))[1], QUANTILE)
         elif i:  # longer texts come nearer, so what a shorter one reaches is safe
             model.floor[i] = model.floor[i - 1]
+    release()
     return model
 
 
@@ -154,6 +156,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
     Texts shorter than the least calibrated length are not rejected.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "rejected")]
+    bound_batches(docs.sparkSession)
     kept = docs.select(*keep).schema
     schema = StructType([*kept, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some hundred kB
