@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.components import components
-from skein.llm.store import broadcast_if_small, cut
-from skein.llm.textkit import Words, as_long, chunks, column, mix
+from skein.llm.store import bound_batches, broadcast_if_small, cut
+from skein.llm.textkit import Words, as_long, chunks, column, mix, release
 
 _U = np.uint64
 #: Members of a key that are compared at once after the first round.
@@ -71,36 +71,38 @@ def _segment_keys(which: np.ndarray, band: np.ndarray, bands: Bands, n: np.ndarr
     return mix(acc ^ mix(place)), base
 
 
-def _lists(rows: int, which: np.ndarray, values: np.ndarray, base: np.ndarray) -> pa.ListArray:
-    size = np.zeros(rows, np.int64)
-    size[which] = np.diff(base)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(as_long(values)))
-
-
-def sketches(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, node (of the set; null for an empty one), n (its size), keys and sketch (array<bigint>) of each row of docs (doc_id, text)."""
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, node (of the set; null for an empty one), n (its size) and sketch (array<bigint>) of each row of docs (doc_id, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
         for batch in chunks(batches):
             some, n, first, u = _sets(Words(column(batch, "text"), lower=True), width)
-            size, node, valid = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), np.zeros(len(batch), bool)
+            size, node, valid, longs = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), np.zeros(len(batch), bool), np.zeros(len(batch), np.int64)
             size[some], node[some], valid[some] = n, as_long(_node(n, first, u)), True
-            band = bands.of(n)
-            own = np.flatnonzero(band >= 0)
-            low = own[(band[own] > 0) & (percent * n[own] <= 100 * (bands.edges[band[own]] - 1))]
-            own_keys, low_keys = _segment_keys(own, band[own], bands, n, first, u), _segment_keys(low, band[low] - 1, bands, n, first, u)
-            longs = (1 << np.ceil(np.log2(np.maximum(n, 32) / 32)).astype(np.int64))[own]
+            longs[some] = 1 << np.ceil(np.log2(np.maximum(n, 32) / 32)).astype(np.int64)  # a power of 2, so that a long sketch folds to a short one
             base = np.concatenate([[0], np.cumsum(longs)])
-            k = n[own]
-            pick = mix(u[np.repeat(first[own], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)] ^ _U(0xB175))
+            pick = mix(u ^ _U(0xB175))
             bits = np.zeros(base[-1], _U)
-            np.bitwise_xor.at(bits, np.repeat(base[:-1], k) + ((pick >> _U(6)) % np.repeat(longs, k).astype(_U)).astype(np.int64), _U(1) << (pick & _U(63)))
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), pa.array(node, mask=~valid), pa.array(size), _lists(len(batch), some[own], *own_keys), _lists(len(batch), some[low], *low_keys), _lists(len(batch), some[own], bits, base)],
-                names=["doc_id", "node", "n", "own", "low", "sketch"])
+            np.bitwise_xor.at(bits, np.repeat(base[some], n) + ((pick >> _U(6)) % np.repeat(longs[some], n).astype(_U)).astype(np.int64), _U(1) << (pick & _U(63)))
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(node, mask=~valid), pa.array(size), pa.ListArray.from_arrays(pa.array(base.astype(np.int32)), pa.array(as_long(bits)))], names=["doc_id", "node", "n", "sketch"])
 
     docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node bigint, n bigint, own array<bigint>, low array<bigint>, sketch array<bigint>")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node bigint, n bigint, sketch array<bigint>")
+
+
+def segment_keys(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """key, node: the segments of every set's band, and of the band below for sets that have partners there."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent)
+        for batch in chunks(batches):
+            _, n, first, u = _sets(Words(column(batch, "text"), lower=True), width)
+            node, band = as_long(_node(n, first, u)), bands.of(n)
+            own = np.flatnonzero(band >= 0)
+            low = own[(band[own] > 0) & (percent * n[own] <= 100 * (bands.edges[band[own]] - 1))]
+            for which, where in ((own, band[own]), (low, band[low] - 1)):
+                keys, base = _segment_keys(which, where, bands, n, first, u)
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(keys)), pa.array(np.repeat(node[which], np.diff(base)))], names=["key", "node"])
+
+    return texts.select("text").mapInArrow(run, "key bigint, node bigint")
 
 
 def shingle_sets(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -131,15 +133,25 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _blocks(percent: int, closest: bool):
     """Rows of a block pair (key, i, j): pairs in different components that the sketches let pass, or of each row the closest one alone."""
     def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(rows)
+        t = pa.Table.from_batches(rows).combine_chunks()
         node, comp, n, salt = (t.column(c).to_numpy() for c in ("node", "comp", "n", "salt"))
         cross = t.column("i")[0].as_py() != t.column("j")[0].as_py()
-        lists = t.column("sketch").to_pylist()
-        w = min(map(len, lists))
-        bits = np.stack([np.bitwise_xor.reduce(np.array(x, np.int64).view(_U).reshape(-1, w), axis=0) for x in lists])
+        sketch = t.column("sketch").combine_chunks()
+        size = np.diff(sketch.offsets.to_numpy())
+        w, flat = int(size.min()), sketch.values.to_numpy()[sketch.offsets[0].as_py() :].view(_U)
+        begin = sketch.offsets.to_numpy()[:-1] - sketch.offsets[0].as_py()
+        bits = np.zeros((len(node), w), _U)
+        for k in range(int(size.max()) // w):  # long sketches fold to short ones
+            some = size > k * w
+            bits[some] ^= flat[(begin[some] + k * w)[:, None] + np.arange(w)]
+        # The members of the largest component are met by all others, not by each other.
+        kinds, count = np.unique(comp, return_counts=True)
+        largest = comp == kinds[count.argmax()]
         out_a, out_b = [], []
-        for s in range(len(node)):
-            ok = (comp != comp[s]) if closest else (node > node[s]) & (comp != comp[s]) & (100 * np.minimum(n, n[s]) >= percent * np.maximum(n, n[s]))
+        for s in np.flatnonzero(~largest):
+            ok = (comp != comp[s]) & (100 * np.minimum(n, n[s]) >= percent * np.maximum(n, n[s]))
+            if not closest:
+                ok &= largest | (node > node[s])
             if cross:
                 ok &= salt != salt[s]
             at = np.flatnonzero(ok)
@@ -151,8 +163,8 @@ def _blocks(percent: int, closest: bool):
                     at = at[far.argmin()][None]
                 out_a.append(np.minimum(node[at], node[s]))
                 out_b.append(np.maximum(node[at], node[s]))
-        flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(flat(out_a)), pa.array(flat(out_b))], names=["a", "b"])
+        flat_ = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(flat_(out_a)), pa.array(flat_(out_b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -171,6 +183,7 @@ def _blocks(percent: int, closest: bool):
                 held.append(batch.slice(x, y - x))
         if held:
             yield pairs(held)
+        release()
 
     return run
 
@@ -212,25 +225,30 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     100 * |A & B| >= percent * |A | B|; repeated rows link to each other. A null doc_id is never a component_id unless a whole
     component has no other. Shingles are compared as 64-bit hashes.
     """
-    table = cut(sketches(docs, width, percent), "sketches")
-    nodes = cut(table.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("own").alias("own"), F.first("low").alias("low"), F.first("sketch").alias("sketch")), "nodes")
-    keyed = nodes.select("node", F.explode(F.concat("own", "low")).alias("key"))
+    bound_batches(docs.sparkSession)
+    table = cut(sketches(docs, width), "sketches")
+    nodes = cut(table.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("c")), "nodes")
+    # The texts are read again for their keys, which are many; a set's first document stands for its copies.
+    copied = nodes.filter("c > 1").select("node", F.col("doc_id").alias("least"))
+    extra = cut(table.select("node", "doc_id").join(broadcast_if_small(copied), "node").filter("doc_id <> least").select(F.col("doc_id").alias("id")).distinct()
+                .join(nodes.select(F.col("doc_id").alias("id")), "id", "left_anti"), "copies")  # an id with another text, too, stays
+    side = broadcast_if_small(extra)
+    texts = docs.select("doc_id", "text")
+    keyed = segment_keys(texts.join(side, texts["doc_id"] == side["id"], "left_anti"), width, percent)
     members = cut(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "key bigint, a bigint, b bigint"), "members")
     links = _verified(members.select("a", "b").distinct(), nodes, docs, width, percent)
     comp = components(links)
 
-    # As long as it helps, each row is tried with the closest one of another component; then with all of them that are left.
+    # Twice each row is tried with the closest one of another component, which leaves few components; then with all of them that are left.
     crowd = members.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")  # the first member has met all
-    for closest in (True, False):
-        while True:
-            more = cut(_open_pairs(members, crowd, comp, nodes, percent, closest), "open-pairs")
-            found = _verified(more, nodes, docs, width, percent) if more.limit(1).count() else None
-            if found is None or not found.limit(1).count():
-                break
+    for closest in (True, True, False):
+        more = cut(_open_pairs(members, crowd, comp, nodes, percent, closest), "open-pairs")
+        if not more.limit(1).count():
+            continue
+        found = _verified(more, nodes, docs, width, percent)
+        if found.limit(1).count():
             links = links.union(found)
             comp = components(links)
-            if not closest:
-                break
     least = comp.join(nodes.select("node", "doc_id"), "node").groupBy("comp").agg(F.min("doc_id").alias("least"))
     named = nodes.select("node", F.col("doc_id").alias("own_id")).join(comp.join(least, "comp").select("node", "least"), "node", "left").select("node", F.coalesce("least", "own_id").alias("least"))
     return table.select("doc_id", "n", "node").join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))

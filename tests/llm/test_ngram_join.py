@@ -55,7 +55,7 @@ def make(seed, n=260):
             rows.append((k, r.choice([" ", "\n", "\t "]).join(x.upper() if r.random() < 0.1 else x for x in w)))
             k += 1
     r.shuffle(rows)
-    return rows + [(k, None), (k + 1, None), (k + 2, ""), (k + 3, " \n"), (rows[0][0], rows[0][1]), (None, rows[1][1]), (None, "only here"), (None, "only here too then")]
+    return rows + [(k, None), (k + 1, None), (k + 2, ""), (k + 3, " \n"), (rows[0][0], rows[0][1]), (None, rows[1][1]), (rows[5][0], rows[9][1]), (rows[6][0], "one more text under a known id"), (None, "only here"), (None, "only here too then")]
 
 
 def test_against_brute_force(spark):
