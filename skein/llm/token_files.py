@@ -25,12 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.store import broadcast_if_small
+from skein.llm.store import bound_batches, broadcast_if_small
 from skein.llm.textkit import chunks, column
 
 BLOCK = 2048
 #: Ids after which a frame ends at the next document.
-FRAME_IDS = 1 << 21
+FRAME_IDS = 1 << 20
 SLOTS = 12  # bits of the order-1 and order-2 tables of a block
 MAGIC, VERSION = b"SKCM", 1
 
@@ -257,6 +257,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, to: str, end_id: int | None =
     Null text is empty. Documents lie in ascending order of doc_id, null first, those of one doc_id in order of text. The file at `tokenizer` is read on
     the driver.
     """
+    bound_batches(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -275,8 +276,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, to: str, end_id: int | None =
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["part", "frame", "n_ids", "data"])
 
         for batch in chunks(batches):
-            for k in range(0, len(batch), 256):
-                some = batch.slice(k, 256)
+            for k in range(0, len(batch), 64):
+                some = batch.slice(k, 64)
                 ids = [e.ids for e in encode([t or "" for t in column(some, "text").to_pylist()], add_special_tokens=False)]
                 if end_id is not None:
                     for x in ids:
