@@ -59,6 +59,15 @@ def _sampled(texts: DataFrame, keys: list[str], text: str, samples: int) -> Data
     return least.select(*keys, F.array(*[F.col(f"m{i}").bitwiseAND(F.lit((1 << CODE_BITS) - 1)).cast("int") for i in range(samples)]).alias("samples"))
 
 
+def _next_above(ranges: DataFrame) -> DataFrame:
+    """ranges (bucket, ...) with `to`: the next higher bucket, the lowest one for the highest. Buckets are looked at in blocks of 4096, blocks by their ends."""
+    block = F.floor(F.col("bucket") / 4096)
+    ends = ranges.groupBy(block.alias("block")).agg(F.min("bucket").alias("least"))
+    after = ends.select("block", F.coalesce(F.lead("least").over(Window.orderBy("block")), F.min("least").over(Window.partitionBy())).alias("beyond"))  # a row a block
+    inside = ranges.withColumn("block", block).withColumn("to", F.lead("bucket").over(Window.partitionBy("block").orderBy("bucket")))
+    return inside.join(after, "block").withColumn("to", F.coalesce("to", "beyond")).drop("block", "beyond")
+
+
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
@@ -71,9 +80,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     # A range's first row follows the last one of the range above, the highest range's the last one of the lowest.
     ranges = cut(docs.select("doc_id").withColumn("bucket", bucket).groupBy("bucket").agg(F.max("doc_id").alias("top"), F.count("*").alias("n")), "ranges")
     n = ranges.agg(F.sum("n")).first()[0] or 0
-    lowest = F.min("bucket").over(Window.partitionBy())
-    order = Window.orderBy(F.desc("bucket"))
-    heads = cut(ranges.select("bucket", F.col("top").alias("_top"), F.coalesce(F.lag("bucket").over(order), lowest).alias("to")), "range-heads")
+    heads = cut(_next_above(ranges).select("bucket", F.col("top").alias("_top"), "to"), "range-heads")
     firsts = (rows.join(broadcast_if_small(heads.select(F.col("bucket").alias("_b"), "_top", "to")), F.col("doc_id").eqNullSafe(F.col("_top")) & (F.col("bucket") == F.col("_b")))
               .groupBy(F.col("to").alias("bucket")).agg(F.min("text").alias("beyond")))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(n // PART, 200_000))

@@ -24,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
+from skein.llm.store import bound_batches
 from skein.llm.textkit import chunks, column
 
 META = "▁"
 #: Entries of the two tables of paths and of the table of pairs in a Python worker. A full table of paths becomes the older one, from which what is used comes back.
-PATHS, PAIRS = 250_000, 600_000
+PATHS, PAIRS = 200_000, 300_000
 
 
 class Transducer:
@@ -186,6 +187,7 @@ class Transducer:
 
 
 def _shared(docs: DataFrame, model: str):
+    bound_batches(docs.sparkSession)
     with open(model, "rb") as f:  # on the driver alone
         return docs.sparkSession.sparkContext.broadcast(f.read())
 

@@ -33,3 +33,19 @@ BROADCAST_ROWS = 500_000
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if df, which is materialised already, has at most `rows` rows; beyond that the plan shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+#: Bytes of one batch of rows between the JVM and a Python worker; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches in bytes, as texts of any length are in them; a smaller bound that is set already stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if _bytes(spark.conf.get(key, None)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def _bytes(setting: str | None) -> int:
+    digits = "".join(c for c in setting or "" if c.isdigit())
+    return int(digits) if setting and setting == digits else 1 << 31

@@ -39,7 +39,7 @@ def test_stages(spark, tmp_path):
             where.setdefault(tuple(x.lower() for x in w[i : i + 50]), set()).add(d)
     shared = set().union(*[v for v in where.values() if len(v) > 1], set())
     changed = {d for d in texts[2] if texts[3].get(d) != texts[2][d]}
-    assert len(changed - shared) <= 0.02 * len(texts[2])  # near-duplicate passages without 50 words in a row
+    assert len(changed - shared) <= 0.05 * len(texts[2])  # changed copies of passages, without 50 equal words in a row
     again = Counter(x for d, t in texts[3].items() for x in {tuple(x.lower() for x in (t or "").split()[i : i + 60]) for i in range(len((t or "").split()) - 59)})
     assert max(again.values(), default=0) <= 1
     assert all(r.n_chars == len(r.text or "") for r in rows[3])
@@ -56,3 +56,20 @@ def test_stages(spark, tmp_path):
 def test_run_gives_the_last_stage(spark):
     out = P.run(spark, DIR)
     assert out.columns == ["doc_id", "lang", "source", "ids"] and out.count() > 0
+
+
+def test_extra_columns_with_the_operators_own_names(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(60)
+    names = ["node", "row", "h", "n", "g", "b", "key", "id", "size", "copies", "score", "rejected", "lang_pred", "spans", "had", "first", "_d", "_n", "component_id", "target", "sid"]
+    wide = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    nulls = spark.createDataFrame([(None, None, None, None, None), (10**9, "", None, None, 0)], docs.schema).select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    wide.unionByName(nulls).write.parquet(f"{tmp_path}/wide")
+    wide = spark.read.parquet(f"{tmp_path}/wide")
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, wide, DIR)
+        assert out.columns == wide.columns
+        assert all(r[c] == k for r in out.collect() for k, c in enumerate(names))
+        assert stage(spark, wide.limit(0), DIR).collect() == []
+    assert P.STAGES[-1][1](spark, wide, DIR).count() == wide.count()
