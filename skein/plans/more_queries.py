@@ -134,7 +134,7 @@ s AS (SELECT coalesce(r.a, c.a) AS a, coalesce(r.b, c.b) AS b, coalesce(r.n, 0)
 pairs AS (SELECT a, b FROM s UNION SELECT a, b FROM dir), cs AS (SELECT p.a, p.b, CASE WHEN d.a IS NOT NULL THEN 1.0 ELSE 0.5 * (CASE WHEN coalesce(s.r, 0) > 0 THEN s.r::DOUBLE / (coalesce(oa.n, 0) + coalesce(ob.n, 0) - s.r) ELSE 0 END + CASE WHEN coalesce(s.c, 0) > 0 THEN s.c::DOUBLE / (coalesce(ia.n, 0) + coalesce(ib.n, 0) - s.c) ELSE 0 END) END AS score
 FROM pairs p LEFT JOIN s ON s.a = p.a AND s.b = p.b LEFT JOIN dir d ON d.a = p.a AND d.b = p.b LEFT JOIN dego oa ON oa.p = p.a LEFT JOIN dego ob ON ob.p = p.b LEFT JOIN deg ia ON ia.p = p.a LEFT JOIN deg ib ON ib.p = p.b),
 f AS (SELECT a, b, round(0.6 * least(1.0, greatest(0.0, {_DOT.format('x.embedding', 'y.embedding')})) + (1 - 0.6) * score, 6) AS score FROM cs JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b)
-SELECT a, b, round(score, 4) AS score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b)::INT AS rank FROM f QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5""")
+SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b)::INT AS rank FROM f QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5""")
 def d5_d6_fused_neighbours(spark: SparkSession, d: str) -> DataFrame:
     e = edges(spark, d).filter("src < 500 and dst < 500")
     direct = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(e.select("dst", "src")).distinct()
@@ -143,7 +143,7 @@ def d5_d6_fused_neighbours(spark: SparkSession, d: str) -> DataFrame:
     cited = G.citation_scores(e, pairs)
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").alias("v"))
     out = G.fused_neighbours(cited.select("a", "b").limit(0), cited, v, 0.6, 5)
-    return out.select("a", "b", F.round("score", 4).alias("score"), "rank")
+    return out.select("a", "b", "score", "rank")
 
 
 @query("SELECT true AS partition, true AS sizes")
