@@ -50,6 +50,18 @@ def shared_neighbours(edges: DataFrame, hub_cap: int = 0) -> DataFrame:
     return both.groupBy("a", "b").agg(F.sum("refs").alias("refs"), F.sum("citers").alias("citers"))
 
 
+def shared_of(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, refs, citers of the given pairs (a, b) alone, through pivots of any degree; 0 where none is shared."""
+    pairs = pairs.select("a", "b").distinct()
+
+    def through(pivot: str, end: str, name: str) -> DataFrame:
+        e = lambda x: edges.select(F.col(pivot).alias("p"), F.col(end).alias(x))
+        return pairs.join(e("a"), "a").join(e("b"), ["p", "b"]).groupBy("a", "b").agg(F.count("*").alias(name))
+
+    both = pairs.join(through("dst", "src", "refs"), ["a", "b"], "left").join(through("src", "dst", "citers"), ["a", "b"], "left")
+    return both.na.fill(0, ["refs", "citers"])
+
+
 def citation_scores(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs: a, b, refs, citers. Score 1 if one cites the other, else the mean of the Jaccard similarities of references and of citers."""
     out, in_ = degrees(edges)

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from skein.operators import graph as G
 from skein.plans.registry import Registry
 from skein.plans.tables import AUTHORSHIP, CITATIONS, EDGES, PAPERS, authorship, citations, edges, papers, table
+from skein.sources.staging import staged
 
 query = Registry()
 HUBS = 37
+#: The reference's own: pivots of more edges make no candidates.
+HUB_DEGREE_LIMIT = 1000
 
 
 @query(f"WITH {CITATIONS} SELECT c.src, c.dst FROM citations c JOIN orders o ON c.dst = o.o_orderkey WHERE c.src <> c.dst")

@@ -11,8 +11,10 @@ from skein.operators import graph as G
 from skein.operators import spatial as P
 from skein.operators import vectors as V
 from skein.operators.graph import top_per
+from skein.plans.graph_queries import HUB_DEGREE_LIMIT
 from skein.plans.registry import Registry
 from skein.plans.tables import AUTHORSHIP, EDGES, PAPERS, authorship, edges, papers, table, titles
+from skein.sources.staging import staged
 
 query = Registry()
 _DOT = "list_dot_product({}::DOUBLE[], {}::DOUBLE[])"
@@ -146,6 +148,20 @@ def d5_d6_fused_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return out.select("a", "b", "score", "rank")
 
 
+@query()
+def d5_d6_fused_neighbours_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All nodes: candidates from text and citations together (D5), and from the text list alone (D6); mode says which."""
+    e = edges(spark, d)
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").alias("v"))
+    text = staged(V.exact_neighbours(v, v, 60).select(F.col("node").alias("a"), F.col("nbr").alias("b")), "text-neighbours")
+    known = lambda x: v.select(F.col("node").alias(x))
+    cited = staged(G.citation_candidates(e, 60, HUB_DEGREE_LIMIT).select("a", "b").join(known("a"), "a", "left_semi").join(known("b"), "b", "left_semi"), "cited-neighbours")
+    scores = staged(G.citation_scores(e, G.shared_of(e, text.select("a", "b").union(cited.select("a", "b")))), "citation-scores")
+    d5 = G.fused_neighbours(text, scores, v, 0.6, 15).withColumn("mode", F.lit("fused"))
+    d6 = G.fused_neighbours(text, scores.join(text, ["a", "b"], "left_semi"), v, 0.6, 15).withColumn("mode", F.lit("text"))
+    return d5.unionByName(d6).select("mode", "a", "b", "score", "rank")
+
+
 @query("SELECT true AS partition, true AS sizes")
 def e13_e15_e17_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     """Two levels of splits: every vector has one leaf, leaves lie in their parents, and no child is smaller than the least size unless its parent was not split."""
