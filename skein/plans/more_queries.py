@@ -38,12 +38,21 @@ def c14_nearest_points(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_POINTS}, v AS (SELECT * FROM p WHERE node < 500), q AS (SELECT a.node AS a, b.node AS b, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d2 FROM v a JOIN v b ON a.node <> b.node), k AS (SELECT a, b FROM q QUALIFY row_number() OVER (PARTITION BY a ORDER BY d2, b) <= 4), u AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM k) SELECT u.a, u.b, round(greatest({_DOT.format('x.embedding', 'y.embedding')}, 0), 4) AS w FROM u JOIN embeddings x ON x.vec_id = u.a JOIN embeddings y ON y.vec_id = u.b")
 def d28_planar_graph(spark: SparkSession, d: str) -> DataFrame:
-    k = P.nearest_points(points(spark, d).filter("node < 500"), 4)
-    u = k.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """The points of node < 500 alone, as in the SQL; d28_planar_graph_whole has all."""
+    return _planar(spark, d, points(spark, d).filter("node < 500"))
+
+
+def _planar(spark: SparkSession, d: str, p: DataFrame) -> DataFrame:
+    u = P.nearest_points(p, 4).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     v = lambda x: table(spark, d, "embeddings").select(F.col("vec_id").alias(x), F.col("embedding").alias(f"v{x}"))
     return u.join(v("a"), "a").join(v("b"), "b").select("a", "b", F.round(F.greatest(dot(F.col("va"), F.col("vb")), F.lit(0.0)), 4).alias("w"))
 
 
+@query()
+def d28_planar_graph_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _planar(spark, d, points(spark, d))
+
+
 @query("SELECT 0::BIGINT AS violations, true AS covered")
 def g2_thinning_invariants(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of points that are too near for the level at which both are in, and whether every point has a level."""
@@ -247,6 +256,21 @@ def i16_i17_redundant_labels(spark: SparkSession, d: str) -> DataFrame:
     return near.select("a", "b").distinct()
 
 
+@query()
+def i16_i17_redundant_labels_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All labels. Distinct token sets are compared: the smaller one's rarest tokens, one of which a redundant pair must share, meet all of the other's."""
+    p = staged(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_sort(F.array_distinct(F.split(F.lower("p_type"), " "))).alias("t")).filter("t is not null"), "labels")
+    sets = staged(p.select("t").distinct(), "label-sets")
+    each = sets.select("t", F.explode("t").alias("token"))
+    order = each.join(each.groupBy("token").agg(F.count("*").alias("n")), "token").groupBy("t").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("r"))
+    need = F.ceil(F.size("t") * 9 / 10).cast("int")  # of the smaller set's tokens
+    rare = order.select(F.col("t").alias("ta"), F.explode(F.slice("r", F.lit(1), F.size("t") - need + 1)).alias("token"))
+    near = rare.join(each.withColumnRenamed("t", "tb"), "token").filter("size(ta) <= size(tb)").select("ta", "tb").distinct().filter(10 * F.size(F.array_intersect("ta", "tb")) >= 9 * F.size("ta"))
+    side = lambda x: p.select(F.col("id").alias(x), F.col("t").alias(f"t{x}"))
+    met = side("a").join(near, "ta").join(side("b"), "tb").filter("a <> b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 @query("SELECT c_name AS name, min(c_custkey) AS first_id FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1")
 def m33_one_per_person(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").filter("c_custkey % 3 = 0").groupBy(F.col("c_name").alias("name")).agg(F.min("c_custkey").alias("first_id"))

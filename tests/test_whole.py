@@ -48,4 +48,18 @@ def test_fused_neighbours_of_all_nodes(spark):
     assert {r.a for r in got if r["mode"] == "text"} == set(v) and any(r.a >= 500 for r in got if r["mode"] == "fused") == any(n >= 500 for n in v)
     for r in got[:: max(1, len(got) // 500)]:
         cos = min(1.0, max(0.0, sum(x * y for x, y in zip(v[r.a], v[r.b], strict=True))))
-        assert abs(r.score - (0.6 * cos + 0.4 * score(refs, citers, r.a, r.b))) < 1e-4
\ No newline at end of file
+        assert abs(r.score - (0.6 * cos + 0.4 * score(refs, citers, r.a, r.b))) < 1e-4
+
+
+@tables
+def test_planar_graph_of_all_points(spark):
+    where = entry.oracle_sql()["d28_planar_graph"].replace(" WHERE node < 500", "")
+    got = run(spark, "d28_planar_graph_whole")
+    assert {(r.a, r.b) for r in got} == {x[:2] for x in sql(where)}
+
+
+@tables
+def test_redundant_labels_of_all_parts(spark):
+    where = entry.oracle_sql()["i16_i17_redundant_labels"].replace(" WHERE p_partkey < 60", "")
+    got = run(spark, "i16_i17_redundant_labels_whole")
+    assert sorted((r.a, r.b) for r in got) == sorted(sql(where))
\ No newline at end of file
