@@ -256,6 +256,18 @@ def i16_i17_redundant_labels(spark: SparkSession, d: str) -> DataFrame:
     return near.select("a", "b").distinct()
 
 
+@query()
+def i18_shared_phrase_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The phrase of two to six words that most titles of a source share; all places of a title, of any length."""
+    w = titles(spark, d).select("doc_id", "source", F.regexp_extract_all(F.lower("title"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
+    size = lambda n: F.when(F.size("w") >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " ")))).otherwise(F.array().cast("array<string>"))
+    each = w.withColumn("n", F.explode(F.array(*map(F.lit, range(2, 7))))).repartition(F.xxhash64("doc_id", "n"))
+    phrases = F.coalesce(*[F.when(F.col("n") == n, size(n)) for n in range(2, 7)])
+    g = each.select("source", "n", F.explode(phrases).alias("phrase")).groupBy("source", "phrase", "n").agg(F.count("*").alias("df")).filter("df >= 2")
+    best = g.groupBy("source").agg(F.min(F.struct((-F.col("df")).alias("d"), (-F.col("n")).alias("m"), "phrase")).alias("best"))
+    return best.select("source", F.col("best.phrase").alias("phrase"), (-F.col("best.d")).alias("df"))
+
+
 @query()
 def i16_i17_redundant_labels_whole(spark: SparkSession, d: str) -> DataFrame:
     """All labels. Distinct token sets are compared: the smaller one's rarest tokens, one of which a redundant pair must share, meet all of the other's."""

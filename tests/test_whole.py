@@ -62,4 +62,21 @@ def test_planar_graph_of_all_points(spark):
 def test_redundant_labels_of_all_parts(spark):
     where = entry.oracle_sql()["i16_i17_redundant_labels"].replace(" WHERE p_partkey < 60", "")
     got = run(spark, "i16_i17_redundant_labels_whole")
-    assert sorted((r.a, r.b) for r in got) == sorted(sql(where))
\ No newline at end of file
+    assert sorted((r.a, r.b) for r in got) == sorted(sql(where))
+
+
+def test_phrases_of_all_places_and_lengths(spark, tmp_path):
+    late = " ".join("word" + chr(97 + i % 26) + chr(97 + i // 26) for i in range(200))
+    rows = [(1, f"{late} five words in a row", "x"), (2, f"other five words in a row {late[::-1]}", "x"), (3, "alone here", "y"), (4, "alone", "y"), (5, "a b", "z"), (6, "a b", "z")]
+    spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.source, r.phrase, r.df) for r in run(spark, "i18_shared_phrase_whole", str(tmp_path))}
+    want = set()
+    for source in "xyz":
+        df = Counter()
+        for _, t, s in rows:
+            w = t.split()
+            df.update({tuple(w[i : i + n]) for n in range(2, 7) for i in range(len(w) - n + 1)} if s == source else ())
+        best = min(((-c, -len(p), " ".join(p)) for p, c in df.items() if c >= 2), default=None)
+        if best:
+            want.add((source, best[2], -best[0]))
+    assert got == want and ("x", "five words in a row", 2) in got
\ No newline at end of file
