@@ -125,6 +125,20 @@ def d4_citation_candidates(spark: SparkSession, d: str) -> DataFrame:
     return G.citation_candidates(edges(spark, d), 10, HUBS)
 
 
+@query()
+def d4_citation_candidates_whole(spark: SparkSession, d: str) -> DataFrame:
+    """d4_citation_candidates with the reference's hub limit."""
+    return G.citation_candidates(edges(spark, d), 10, HUB_DEGREE_LIMIT)
+
+
+@query()
+def d2_d3_citation_score_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of all candidates of D4, with shared works of any degree and no threshold."""
+    e = edges(spark, d)
+    pairs = staged(G.citation_candidates(e, 10, HUB_DEGREE_LIMIT), "citation-candidates")
+    return G.citation_scores(e, G.shared_of(e, pairs)).withColumn("score", F.round("score", 6))
+
+
 @query(f"WITH known AS (SELECT o_orderkey AS node FROM orders WHERE o_orderstatus = 'O'), {CITATIONS}, i AS (SELECT dst AS node, count(*) AS n FROM citations GROUP BY 1), o AS (SELECT src AS node, count(*) AS n FROM citations GROUP BY 1), e AS (SELECT dst AS node, count(DISTINCT src) AS n FROM citations WHERE src <> dst AND src IN (SELECT node FROM known) GROUP BY 1) SELECT k.node, coalesce(i.n, 0)::BIGINT AS incoming, coalesce(o.n, 0)::BIGINT AS outgoing, coalesce(e.n, 0)::BIGINT AS internal FROM known k LEFT JOIN i USING (node) LEFT JOIN o USING (node) LEFT JOIN e USING (node)")
 def d9_citation_totals(spark: SparkSession, d: str) -> DataFrame:
     return G.citation_totals(citations(spark, d), papers(spark, d).filter("field = 'O'").select("node"))

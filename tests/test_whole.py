@@ -79,4 +79,15 @@ def test_phrases_of_all_places_and_lengths(spark, tmp_path):
         best = min(((-c, -len(p), " ".join(p)) for p, c in df.items() if c >= 2), default=None)
         if best:
             want.add((source, best[2], -best[0]))
-    assert got == want and ("x", "five words in a row", 2) in got
\ No newline at end of file
+    assert got == want and ("x", "five words in a row", 2) in got
+
+
+@tables
+def test_citation_scores_through_hubs(spark):
+    refs, citers = neighbours()
+    got = run(spark, "d2_d3_citation_score_whole")
+    direct = {(a, b) for a in refs for b in refs[a]}
+    assert direct | {(b, a) for a, b in direct} <= {(r.a, r.b) for r in got}
+    assert all(abs(r.score - score(refs, citers, r.a, r.b)) < 2e-6 for r in got)
+    hubs = {n for n, c in citers.items() if len(c) > 37}
+    assert any(refs[r.a] & refs[r.b] & hubs for r in got if 0 < r.score < 1)
