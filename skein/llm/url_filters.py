@@ -1,7 +1,7 @@
 """URL filtering by association rules.
 
-A URL is a set of tokens: scheme, host labels, words of the path, query keys; digits read as `#`. FP-growth mines the
-token combinations of labelled URLs together with the item BAD; a combination blocks if it is seen often enough, if
+A URL is a set of tokens: scheme, host labels, words of the path, query keys; digits read as `#`. The
+token combinations of labelled URLs are mined level by level; a combination blocks if it is seen often enough, if
 enough of the URLs that have it are bad, and if no part of it blocks already. Rules are matched through an inverted index on each
 rule's rarest token. Lists of allowed and blocked places come first.
 """
@@ -10,15 +10,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.store import broadcast_if_small, cut
 
-BAD = "!bad"
-#: A rule's least number of URLs and share of bad ones among them; combinations are mined of the so many rarest tokens of a URL.
-SUPPORT, CONFIDENCE, MINED_TOKENS = 5, 0.8, 16
+#: A rule's least number of URLs and share of bad ones among them.
+SUPPORT, CONFIDENCE = 5, 0.8
 
 
 @dataclass(frozen=True)
@@ -81,19 +79,29 @@ def mine(labelled: DataFrame, support: int = SUPPORT, confidence: float = CONFID
     each = rows.select("id", "bad", F.explode("tokens").alias("token"))
     # A combination that blocks is as frequent among the bad ones as it has to be in all, and so is each token of it.
     frequent = cut(each.groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("b")).filter(F.col("b") >= confidence * support), "url-tokens")
-    usable = each.join(broadcast_if_small(frequent), "token").groupBy("id", "bad").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
-    baskets = usable.select(F.concat(F.transform(F.slice("t", 1, MINED_TOKENS), lambda x: x["token"]), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    baskets = cut(baskets, "url-baskets")
-    if not baskets.limit(1).count():
-        return empty
-    seen = cut(FPGrowth(itemsCol="items", minSupport=min(1.0, max(1, confidence * support) / n * 0.999)).fit(baskets).freqItemsets, "url-itemsets")
-    plain = seen.filter(~F.array_contains("items", BAD)).select(F.array_sort("items").alias("items"), F.col("freq").alias("support"))
-    with_bad = seen.filter(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BAD)).alias("items"), F.col("freq").alias("bad"))
-    strong = with_bad.join(plain, "items").withColumn("confidence", F.col("bad") / F.col("support")).filter((F.col("support") >= support) & (F.col("confidence") >= confidence))
-    rarest = strong.select("*", F.explode("items").alias("token")).join(frequent.select("token", "n"), "token").groupBy("items", "confidence", "support").agg(F.min(F.struct("n", "token"))["token"].alias("key"))
-    rules = cut(rarest.select("items", "key", "confidence", "support"), "url-rules")
-    shorter = match(rules.select(F.col("items").alias("tokens"), F.struct("items").alias("of")), rules).filter(F.size("rule_items") < F.size("of.items")).select("of.items").distinct()
-    return cut(rules.join(shorter, "items", "left_anti"), "url-minimal-rules")
+    # Combinations grow by one token a level. None goes on that blocks, as only minimal ones are rules, and none that as many URLs have as a part of it,
+    # as the two are then the same URLs. So tokens that always come together make one combination and not all of their subsets.
+    enough = F.col("b") >= confidence * support
+    strong = (F.col("n") >= support) & (F.col("b") / F.col("n") >= confidence)
+    counts = frequent.select(F.array("token").alias("items"), "n", "b")
+    held = each.join(broadcast_if_small(frequent.select("token")), "token").select("id", "bad", F.array("token").alias("items"))
+    rules = counts.filter(strong)
+    while True:
+        alive = cut(counts.filter(enough & ~strong).select("items", "n"), "url-alive")
+        if not alive.limit(1).count():
+            break
+        held = cut(held.join(broadcast_if_small(alive.select("items")), "items", "left_semi"), "url-held")
+        side = held.select("id", "bad", F.slice("items", 1, F.size("items") - 1).alias("prefix"), F.element_at("items", -1).alias("last"))
+        longer = side.withColumnRenamed("last", "x").join(side.select("id", "prefix", F.col("last").alias("y")), ["id", "prefix"]).filter("x < y")
+        held = longer.select("id", "bad", F.concat("prefix", F.array("x", "y")).alias("items"))
+        some = held.groupBy("items").agg(F.count("*").alias("n"), F.count_if("bad").alias("b")).filter(enough)
+        parts = some.withColumn("part", F.explode(F.transform("items", lambda x: F.array_remove("items", x))))
+        whole = parts.join(broadcast_if_small(alive.select(F.col("items").alias("part"), F.col("n").alias("of"))), "part").groupBy("items", "n", "b").agg(F.count("*").alias("known"), F.min("of").alias("least"))
+        counts = cut(whole.filter((F.col("known") == F.size("items")) & (F.col("least") > F.col("n"))).select("items", "n", "b"), "url-counts")
+        rules = rules.unionByName(counts.filter(strong))
+    found = rules.select("items", (F.col("b") / F.col("n")).alias("confidence"), F.col("n").alias("support"))
+    rarest = found.select("*", F.explode("items").alias("token")).join(frequent.select("token", "n"), "token").groupBy("items", "confidence", "support").agg(F.min(F.struct("n", "token"))["token"].alias("key"))
+    return cut(rarest.select("items", "key", "confidence", "support"), "url-rules")
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -65,3 +65,16 @@ def test_without_labels_or_pages(spark):
     df, lab = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     assert all(r.pattern is None for r in U.judge(df, lab.limit(0)).collect())
     assert U.judge(df.limit(0), lab).collect() == []
+
+
+def test_rules_of_the_most_frequent_of_many_tokens(spark):
+    r, rows = random.Random(3), []
+    for i in range(400):
+        x, y = r.random() < 0.5, r.random() < 0.5
+        some = [f"t{k}" for k in range(24) if r.random() < 0.1] + [f"u{k}" for k in range(24)] * (i % 10 == 0)
+        rows.append((sorted(some + ["x"] * x + ["y"] * y), x and y))
+    got = U.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()
+    assert ["x", "y"] in [q["items"] for q in got]
+    for q in got:
+        has = [bad for t, bad in rows if set(q["items"]) <= set(t)]
+        assert q.support == len(has) >= U.SUPPORT and abs(q.confidence - sum(has) / len(has)) < 1e-9 and q.confidence >= U.CONFIDENCE
