@@ -30,15 +30,29 @@ BLOCK = 1024
 
 
 class Bands:
-    """Sizes from the least that can differ at all, each band half as long again as the one below; threshold in percent."""
+    """Sizes from the least that can differ at all, each band half as long again as the one below; threshold in percent.
+
+    A band has one segment more than its largest allowed difference, and `spare` ones. A segment that no shingle of a set falls into is the same in all
+    sets that leave it empty, so its key would tell nothing. At most `difference` segments of two near sets differ, so at least spare + 1 agree; a set with up to
+    `spare` empty segments shares a key of shingles with each partner and needs no other keys. Only sets with more empty segments than that, which the
+    number of spare ones makes rare, carry keys of empty segments too, by which they meet each other.
+    """
 
     def __init__(self, percent: int):
+        if not 67 <= percent <= 99:
+            raise ValueError("percent from 67 to 99: below it near sets may lie two bands apart, above it they are equal")
         self.percent, least = percent, -(-percent // (100 - percent))  # below it, near sets are equal
         edges = [least]
         while edges[-1] < 1 << 40:
             edges.append(max(edges[-1] + 1, edges[-1] * 3 // 2))
         self.edges = np.array(edges)
-        self.segments = (self.edges[1:] - 1) * (100 - percent) // percent + 1
+        difference = (self.edges[1:] - 1) * (100 - percent) // percent
+        self.spare = np.zeros(len(difference), np.int64)
+        for _ in range(40):  # to the least number that the smallest sets of the band exceed in about one case of a thousand
+            segments = difference + 1 + self.spare
+            empty = segments * np.exp(-self.edges[:-1] / segments)
+            self.spare = np.ceil(empty + 3 * np.sqrt(empty)).astype(np.int64)
+        self.segments = difference + 1 + self.spare
 
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.edges, n, "right") - 1
@@ -59,7 +73,7 @@ def _node(n: np.ndarray, first: np.ndarray, u: np.ndarray) -> np.ndarray:
 
 
 def _segment_keys(which: np.ndarray, band: np.ndarray, bands: Bands, n: np.ndarray, first: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the sets `which` in the layout of `band`, and where each one's begin."""
+    """Keys of the sets `which` in the layout of `band`, and the place in `which` of each key's set."""
     p = bands.segments[band]
     base = np.concatenate([[0], np.cumsum(p)])
     k = n[which]
@@ -67,8 +81,13 @@ def _segment_keys(which: np.ndarray, band: np.ndarray, bands: Bands, n: np.ndarr
     at = np.repeat(base[:-1], k) + (mix(pick ^ _U(0x51ED27)) % np.repeat(p, k).astype(_U)).astype(np.int64)
     acc = np.zeros(base[-1], _U)
     np.bitwise_xor.at(acc, at, mix(pick ^ _U(0xC0DEC0DE)))
+    filled = np.zeros(base[-1], bool)
+    filled[at] = True
+    owner = np.repeat(np.arange(len(which)), p)
+    empty = p - np.bincount(owner[filled], minlength=len(which))
+    given = filled | (empty > bands.spare[band])[owner]
     place = np.repeat(band, p).astype(_U) << _U(40) | (np.arange(base[-1]) - np.repeat(base[:-1], p)).astype(_U)
-    return mix(acc ^ mix(place)), base
+    return mix(acc ^ mix(place))[given], owner[given]
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
@@ -99,8 +118,8 @@ def segment_keys(texts: DataFrame, width: int, percent: int) -> DataFrame:
             own = np.flatnonzero(band >= 0)
             low = own[(band[own] > 0) & (percent * n[own] <= 100 * (bands.edges[band[own]] - 1))]
             for which, where in ((own, band[own]), (low, band[low] - 1)):
-                keys, base = _segment_keys(which, where, bands, n, first, u)
-                yield pa.RecordBatch.from_arrays([pa.array(as_long(keys)), pa.array(np.repeat(node[which], np.diff(base)))], names=["key", "node"])
+                keys, owner = _segment_keys(which, where, bands, n, first, u)
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(keys)), pa.array(node[which][owner])], names=["key", "node"])
 
     return texts.select("text").mapInArrow(run, "key bigint, node bigint")
 
@@ -131,11 +150,10 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(percent: int, closest: bool):
-    """Rows of a block pair (key, i, j): pairs in different components that the sketches let pass, or of each row the closest one alone."""
+    """Rows of a block (key, i): its members, and all outsiders of the key, which meet them. Pairs in different components that the sketches let pass, or of each outsider the closest one alone."""
     def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows).combine_chunks()
-        node, comp, n, salt = (t.column(c).to_numpy() for c in ("node", "comp", "n", "salt"))
-        cross = t.column("i")[0].as_py() != t.column("j")[0].as_py()
+        node, comp, n, out = (t.column(c).to_numpy() for c in ("node", "comp", "n", "outsider"))
         sketch = t.column("sketch").combine_chunks()
         size = np.diff(sketch.offsets.to_numpy())
         w, flat = int(size.min()), sketch.values.to_numpy()[sketch.offsets[0].as_py() :].view(_U)
@@ -144,25 +162,19 @@ def _blocks(percent: int, closest: bool):
         for k in range(int(size.max()) // w):  # long sketches fold to short ones
             some = size > k * w
             bits[some] ^= flat[(begin[some] + k * w)[:, None] + np.arange(w)]
-        # The members of the largest component are met by all others, not by each other.
-        kinds, count = np.unique(comp, return_counts=True)
-        largest = comp == kinds[count.argmax()]
+        members = np.flatnonzero(~out)
+        m_node, m_comp, m_n, m_bits = node[members], comp[members], n[members], bits[members]
         out_a, out_b = [], []
-        for s in np.flatnonzero(~largest):
-            ok = (comp != comp[s]) & (100 * np.minimum(n, n[s]) >= percent * np.maximum(n, n[s]))
-            if not closest:
-                ok &= largest | (node > node[s])
-            if cross:
-                ok &= salt != salt[s]
-            at = np.flatnonzero(ok)
+        for s in np.flatnonzero(out):
+            at = np.flatnonzero((m_comp != comp[s]) & (100 * np.minimum(m_n, n[s]) >= percent * np.maximum(m_n, n[s])))
             if len(at):
-                far = np.bitwise_count(bits[at] ^ bits[s]).sum(1, dtype=np.int64)
-                near = far * (100 + percent) <= (100 - percent) * (n[at] + n[s])
+                far = np.bitwise_count(m_bits[at] ^ bits[s]).sum(1, dtype=np.int64)
+                near = far * (100 + percent) <= (100 - percent) * (m_n[at] + n[s])
                 at, far = at[near], far[near]
                 if closest and len(at):
                     at = at[far.argmin()][None]
-                out_a.append(np.minimum(node[at], node[s]))
-                out_b.append(np.maximum(node[at], node[s]))
+                out_a.append(np.minimum(m_node[at], node[s]))
+                out_b.append(np.maximum(m_node[at], node[s]))
         flat_ = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(flat_(out_a)), pa.array(flat_(out_b))], names=["a", "b"])
 
@@ -171,9 +183,9 @@ def _blocks(percent: int, closest: bool):
         for batch in batches:
             if not len(batch):
                 continue
-            ids = np.stack([column(batch, c).to_numpy() for c in ("key", "i", "j")])
+            ids = np.stack([column(batch, c).to_numpy() for c in ("key", "i")])
             cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1), len(batch)]
-            if held and tuple(ids[:, 0]) != tuple(column(held[-1], c)[0].as_py() for c in ("key", "i", "j")):
+            if held and tuple(ids[:, 0]) != tuple(column(held[-1], c)[0].as_py() for c in ("key", "i")):
                 yield pairs(held)
                 held = []
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
@@ -206,15 +218,22 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
 
 
 def _open_pairs(members: DataFrame, crowd: DataFrame, comp: DataFrame, nodes: DataFrame, percent: int, closest: bool) -> DataFrame:
-    """Pairs (a, b) of different components that share a key, without its first member."""
-    inside = members.join(crowd, "key").select("key", "c", F.col("b").alias("node"))
+    """Pairs (a, b) of different components that share a key, without its first member.
+
+    Of a key's members those outside its largest component are the outsiders. Each member lies in one block of the key; the outsiders are copied to all of
+    its blocks, in parts, and meet the members there. Rows grow with members + blocks x outsiders.
+    """
+    inside = members.join(crowd, "key").select("key", F.col("b").alias("node"))
     inside = inside.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_ = inside.groupBy(F.col("key").alias("_k")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("_k")
-    rest = cut(inside.join(open_, F.col("key") == F.col("_k"), "left_semi"), "open-members")
-    parts = F.ceil(F.col("c") / BLOCK).cast("int")
-    dealt = (rest.join(nodes.select("node", "n", "sketch"), "node").withColumn("salt", F.pmod(F.hash("node"), parts)).withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
-             .select("key", F.least("salt", "o").alias("i"), F.greatest("salt", "o").alias("j"), "node", "comp", "n", "salt", "sketch"))
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocks(percent, closest), "a bigint, b bigint").distinct()
+    sizes = inside.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy(F.col("key").alias("_k")).agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.sum("n").alias("c"), F.max("n").alias("most")).filter("c > most")
+    rest = cut(inside.join(sizes, F.col("key") == F.col("_k")).select("key", "node", "comp", "c", (F.col("c") - F.col("most")).alias("o"), (F.col("comp") != F.col("largest")).alias("outsider")), "open-members")
+    blocks, parts = (F.ceil(F.col(x) / BLOCK).cast("int") for x in ("c", "o"))
+    here, part = F.pmod(F.hash("node"), blocks), F.pmod(F.hash("node", F.lit(1)), parts)
+    as_member = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct((here * parts + p).alias("i"), F.lit(False).alias("outsider")))
+    as_outsider = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct((k * parts + part).alias("i"), F.lit(True).alias("outsider")))
+    places = F.when(F.col("outsider"), F.concat(as_member, as_outsider)).otherwise(as_member)
+    dealt = rest.withColumn("x", F.explode(places)).join(nodes.select("node", "n", "sketch"), "node").select("key", "x.i", "x.outsider", "node", "comp", "n", "sketch")
+    return dealt.repartition("key", "i").sortWithinPartitions("key", "i").mapInArrow(_blocks(percent, closest), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
