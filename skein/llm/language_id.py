@@ -9,14 +9,14 @@ cut to the same length, reach.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from skein.llm.store import bound_batches, broadcast_if_small
 from skein.llm.textkit import chunks, column, release, utf8
@@ -24,6 +24,8 @@ from skein.llm.textkit import chunks, column, release, utf8
 #: The model is fitted on about so many labelled documents at most: in all, and of one language.
 SAMPLE_ALL, SAMPLE_ONE = 1200, 300
 BINS, CLUSTERS, ROUNDS = 1 << 13, 4, 12
+#: Cosines are given with so many digits.
+DIGITS = 9
 #: Lengths in letters and blanks at which rejection is calibrated; the quantile of the cosine there, and the part of it that must be reached.
 LENGTHS, QUANTILE, PART = (4, 8, 16, 32, 64, 128, 256, 512, 1024), 0.01, 0.6
 
@@ -50,16 +52,6 @@ def _grams(offsets: np.ndarray, raw: np.ndarray, cut: int | None = None) -> Iter
         yield ((h ^ (h >> np.uint32(12))) * np.uint32(0x297A2D39)) >> np.uint32(32 - 13), len(s) - 2
 
 
-def _matrix(offsets: np.ndarray, raw: np.ndarray, cut: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Damped counts, one row a text, and lengths."""
-    out, size = np.zeros((len(offsets) - 1, BINS), np.float32), np.zeros(len(offsets) - 1, np.int64)
-    for i, (g, n) in enumerate(_grams(offsets, raw, cut)):
-        size[i] = n
-        if n > 0:
-            out[i] = np.bincount(g, minlength=BINS)
-    return np.log1p(out, out=out), size
-
-
 def _unit(m: np.ndarray) -> np.ndarray:
     norm = np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
     return np.divide(m, norm, out=m, where=norm > 0)
@@ -72,13 +64,23 @@ class Model:
     centroids: np.ndarray
     idf: np.ndarray
     floor: np.ndarray  # least cosine at LENGTHS
+    columns: np.ndarray = field(init=False)  # the centroids, a row a bin
+
+    def nearest(self, bins: np.ndarray, counts: np.ndarray) -> tuple[int, float]:
+        """Index of the nearest centroid and its cosine, for one text's n-gram bins in ascending order and their counts.
+
+        The sums run over the text's own bins, one after the other in double precision, whatever other texts are at hand.
+        """
+        if not len(bins):
+            return 0, 0.0
+        v = np.log1p(counts.astype(np.float64)) * self.idf[bins]
+        norm = np.sqrt(np.add.accumulate(v * v)[-1])
+        cos = np.add.reduce(self.columns[bins] * v[:, None], axis=0) / norm if norm > 0 else np.zeros(len(self.owner))
+        best = int(cos.argmax())
+        return best, round(float(min(max(cos[best], 0.0), 1.0)), DIGITS)
 
-    def nearest(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the nearest centroid and its cosine, for rows of damped counts (changed in place)."""
-        m *= self.idf
-        cos = np.clip(_unit(m) @ self.centroids.T, 0, 1)
-        best = cos.argmax(1)
-        return best, cos[np.arange(len(m)), best].astype(np.float64)
+    def __post_init__(self) -> None:
+        self.columns = np.ascontiguousarray(self.centroids.T.astype(np.float64))
 
 
 def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
@@ -101,29 +103,31 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, sample_all: int = SAMPLE_ALL, sample_one: int = SAMPLE_ONE) -> Model | None:
     """Learn from text and lang of docs (doc_id, text, lang); rows of null lang or text are left out. None: nothing to learn from.
 
-    A bounded sample of each language, picked by hash, goes to the driver as n-gram counts (sample_all x some thousand numbers).
+    A sample of each language's different texts, picked by hash, goes to the driver as n-gram counts: sample_one texts of a language at most and
+    about sample_all in all. However often a text is repeated, it is drawn once.
     """
     bound_batches(docs.sparkSession)
-    train = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null")
+    train = docs.select("text", "lang").filter("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
     n = train.groupBy(F.col("lang").alias("_l")).agg(F.count("*").alias("_n"))
     per = min(sample_one, sample_all // max(1, n.count()) or 1)
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = train.join(broadcast_if_small(n), F.col("lang") == F.col("_l")).filter(draw * F.col("_n") < per).select("doc_id", "lang", "text")
+    draw = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = train.join(broadcast_if_small(n), F.col("lang") == F.col("_l")).filter(draw * F.col("_n") < 2 * per).select("lang", "h", "text").dropDuplicates(["lang", "h"])
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("h"), "h"))
+    sample = drawn.withColumn("_k", first).filter(F.col("_k") <= per).select("lang", "h", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             off, raw = utf8(pc.utf8_lower(column(batch, "text")))
             rows = []
             for c in (None, *LENGTHS):
-                for (g, size), d, lang in zip(_grams(off, raw, c), column(batch, "doc_id").to_pylist(), column(batch, "lang").to_pylist(), strict=True):
+                for (g, size), h, lang in zip(_grams(off, raw, c), column(batch, "h").to_pylist(), column(batch, "lang").to_pylist(), strict=True):
                     if c is None or size == c:
                         b, k = np.unique(g, return_counts=True)
-                        rows.append({"doc_id": d, "lang": lang, "cut": c or 0, "b": b.astype("<i4").tobytes(), "k": k.astype("<i4").tobytes()})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("cut", pa.int32()), ("b", pa.binary()), ("k", pa.binary())]))
+                        rows.append({"h": h, "lang": lang, "cut": c or 0, "b": b.astype("<i4").tobytes(), "k": k.astype("<i4").tobytes()})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("h", pa.int64()), ("lang", pa.string()), ("cut", pa.int32()), ("b", pa.binary()), ("k", pa.binary())]))
 
-    schema = StructType([*train.select(F.col("doc_id").cast("long")).schema, StructField("lang", StringType()), StructField("cut", IntegerType()), StructField("b", BinaryType()), StructField("k", BinaryType())])
-    got = sample.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(count, schema).collect()
-    got.sort(key=lambda r: (r.lang, r.doc_id is None, r.doc_id or 0, bytes(r.b)))
+    got = sample.mapInArrow(count, "h bigint, lang string, cut int, b binary, k binary").collect()
+    got.sort(key=lambda r: (r.lang, r.h, r.cut))
     full, cuts = [r for r in got if not r.cut and r.b], [r for r in got if r.cut]
     if not full:
         return None
@@ -142,7 +146,8 @@ def fit(docs: DataFrame, sample_all: int = SAMPLE_ALL, sample_one: int = SAMPLE_
     model = Model(languages, np.repeat(np.arange(len(parts)), list(map(len, parts))), np.concatenate(parts), idf, np.zeros(len(LENGTHS)))
     for i, c in enumerate(LENGTHS):
         if rows := [r for r in cuts if r.cut == c]:
-            model.floor[i] = PART * np.quantile(model.nearest(dense(rows))[1], QUANTILE)
+            reached = [model.nearest(np.frombuffer(r.b, "<i4"), np.frombuffer(r.k, "<i4"))[1] for r in rows]
+            model.floor[i] = PART * np.quantile(reached, QUANTILE)
         elif i:  # longer texts come nearer, so what a shorter one reaches is safe
             model.floor[i] = model.floor[i - 1]
     release()
@@ -175,8 +180,11 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
                 if model is None:
                     pred, cos, low = np.array(["und"] * len(batch), object), np.zeros(len(batch)), np.ones(len(batch), bool)
                 else:
-                    m, size = _matrix(off, raw)
-                    best, cos = model.nearest(m)
+                    best, cos, size = np.zeros(len(batch), np.int64), np.zeros(len(batch)), np.zeros(len(batch), np.int64)
+                    for i, (g, size[i]) in enumerate(_grams(off, raw)):
+                        counts = np.bincount(g, minlength=BINS)
+                        bins = np.flatnonzero(counts)
+                        best[i], cos[i] = model.nearest(bins, counts[bins])
                     pred = np.where(letter, np.array(model.languages, object)[model.owner[best]], "und")
                     level = np.searchsorted(LENGTHS, size, "right") - 1
                     low = ~letter | (level >= 0) & (cos < model.floor[np.maximum(level, 0)])
