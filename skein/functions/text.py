@@ -24,13 +24,13 @@ def rebuild_text(index: Column) -> Column:
     Of several words at one place the one listed last stays.
     """
     places = F.flatten(F.transform(F.map_entries(index), lambda e, i: F.transform(e["value"], lambda p: F.struct(p.alias("p"), (-i).alias("order"), e["key"].alias("w")))))
-    ordered = F.array_sort(places)
-    kept = F.filter(ordered, lambda x, i: (i == 0) | (x["p"] != F.get(ordered, i - 1)["p"]))
+    # One-element transform: the places are sorted once, not once per place.
+    kept = F.transform(F.array(F.array_sort(places)), lambda o: F.filter(o, lambda x, i: (i == 0) | (x["p"] != F.get(o, i - 1)["p"])))[0]
     return blank_to_null(F.array_join(F.transform(kept, lambda x: x["w"]), " "))
 
 
 def invert_words(words: Column) -> Column:
-    """Map of word to its positions in an array of words."""
+    """Map of word to its positions in an array of words; for short arrays, as each different word goes through all of them."""
     at = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
     return F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w, F.transform(F.filter(at, lambda x: x["w"] == w), lambda x: x["i"]))))
 
@@ -100,9 +100,13 @@ def normal_title(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(title), r"[{}$\\]", ""), r"[^a-z0-9]+", " "))
 
 
+# What is no text in a title or abstract, in the order in which it has to go: attributes before tags, as a cut-off tag leaves them behind.
+MARKUP = (r"https?://\S+|www\.\S+", r"\b[a-zA-Z-]+\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", r"<[^>]*>", r"\b[a-zA-Z]+:[a-zA-Z]+\b", r"&[a-z]+;|&#\d+;")
+
+
 def clean_markup(c: Column) -> Column:
-    """Text without addresses, attributes, tags, namespaces and entities, in this order."""
-    for pattern in (r"https?://\S+", r"\b[\w:-]+\s*=\s*\"[^\"]*\"", r"</?[A-Za-z][^>]*>", r"\b[A-Za-z]+:[A-Za-z]+\b", r"&[#A-Za-z0-9]+;"):
+    """Text without addresses, attributes (quoted or bare), tags, namespaces and entities."""
+    for pattern in MARKUP:
         c = F.regexp_replace(c, pattern, " ")
     return squeeze(c)
 
@@ -132,5 +136,10 @@ def month_index(date: Column, origin_year: Column | int) -> Column:
 
 
 def first_caption(line: Column) -> Column:
-    """Whether a line captions a paper's first figure or table (or number 1 of a chapter); a table needs a colon or full stop after its number."""
-    return F.trim(line).rlike(r"(?i)^(fig(ure|\.)?\s*1(\.\d+)?([.:]?\s|$)|table\s*1(\.\d+)?[.:](\s|$))")
+    """Whether a line captions a paper's first figure or table, or number 1 of a chapter.
+
+    After a figure's number comes a blank, the line's end, or a colon or full stop and a blank; after a table's the line's end, or a colon or full stop and a blank, so that a sentence that begins
+    with a table is none.
+    """
+    figure, table, number = r"fig(ure|\.)?", "table", r"\s*1(\.\d+)?\s*"
+    return F.trim(line).rlike(rf"(?i)^({figure}{number}([.:]\s|\s|$)|{table}{number}([.:]\s|$))")

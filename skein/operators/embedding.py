@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import search_tokens
+from skein.operators.stats import exact_quantiles
 
 
 def hashed_vectors(texts: DataFrame, size: int = 256) -> DataFrame:
@@ -52,7 +53,7 @@ class Frozen:
         if c.bad:
             raise ValueError("coordinates must be finite")
         away = points.select(F.explode(F.array(F.abs(F.col("x") - F.lit(c.x)), F.abs(F.col("y") - F.lit(c.y)))).alias("d"))
-        s = away.agg(F.percentile("d", 0.99)).first()[0]
+        s = exact_quantiles(away, "d", [0.99])[0]
         return cls(c.x or 0.0, c.y or 0.0, s if s and s > 0 else 1.0)
 
     def apply(self, points: DataFrame) -> DataFrame:

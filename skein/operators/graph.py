@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.vectors import cosine01
+from skein.sources.staging import staged
 
 
 def resolve(references: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -78,7 +79,7 @@ def citation_scores(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def citation_candidates(edges: DataFrame, limit: int, hub_cap: int = 0) -> DataFrame:
     """a, b, overlap: the `limit` nodes of the greatest overlap (then least id), and all directly linked ones (overlap 0 if none is shared)."""
-    shared = shared_neighbours(edges, hub_cap).withColumn("overlap", F.col("refs") + F.col("citers"))
+    shared = staged(shared_neighbours(edges, hub_cap).select("a", "b", (F.col("refs") + F.col("citers")).alias("overlap")), "shared")
     top = shared.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("overlap"), "b"))).filter(F.col("k") <= limit).select("a", "b", "overlap")
     direct = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct().join(shared.select("a", "b", "overlap"), ["a", "b"], "left").select("a", "b", F.coalesce("overlap", F.lit(0)).alias("overlap"))
     return top.unionByName(direct).distinct()

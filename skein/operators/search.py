@@ -45,7 +45,11 @@ def title_search(index: DataFrame, query: str, limit: int, prefix_tokens: int =
     used = sorted(words, key=lambda w: -len(w))[:fetches]
     w = spark.createDataFrame([(x, x == last) for x in used], "word string, prefix boolean")
     same = F.col("token") == F.col("word")
-    hit = index.join(F.broadcast(w), same | F.col("prefix") & F.col("token").startswith(F.col("word")))  # a few words
+    # The query's own words narrow the index down first, by equality and one range, which its chunks and files are pruned by.
+    wanted = F.col("token").isin(used)
+    if last in used:
+        wanted = wanted | (F.col("token") >= last) & (F.col("token") < last[:-1] + chr(ord(last[-1]) + 1))
+    hit = index.filter(wanted).join(F.broadcast(w), same | F.col("prefix") & F.col("token").startswith(F.col("word")))  # a few words
     near = hit.filter(~same).select("word", "token").distinct().withColumn("k", F.row_number().over(Window.partitionBy("word").orderBy("token"))).filter(F.col("k") < prefix_tokens).select("word", "token")
     hits = hit.filter(same).withColumn("same", F.lit(1)).unionByName(hit.join(near, ["word", "token"], "left_semi").filter(~same).withColumn("same", F.lit(0)))
     per = hits.groupBy("word", "node").agg(F.max("cited").alias("cited"), F.max("same").alias("same"))

@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from skein.functions.vectors import dot, unit
 
 
-def exact_neighbours(queries: DataFrame, vectors: DataFrame, k: int, blocks: int = 16) -> DataFrame:
+#: Vectors of a block.
+BLOCK = 50_000
+
+
+def exact_neighbours(queries: DataFrame, vectors: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
     """node, nbr, score, rank: the k nearest vectors (node, v) of each query (node, v) by dot product, itself left out, then least id.
 
-    Queries and vectors meet block by block: each of `blocks` blocks of vectors keeps its k best of a query, and the blocks' best are merged, so a query's
-    task holds blocks * k rows.
+    Queries and vectors meet block by block: each of `blocks` blocks of vectors (16, or one for every BLOCK vectors) keeps its k best of a query before anything is shuffled, and the
+    blocks' best are merged, so a query's task holds blocks * k rows.
     """
+    blocks = blocks or max(16, -(-vectors.count() // BLOCK))
     q = queries.select(F.col("node"), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
     v = vectors.select(F.col("node").alias("nbr"), "v", F.pmod(F.hash("node"), F.lit(blocks)).alias("b"))
     pairs = q.join(v, "b").filter("node <> nbr").select("node", "nbr", "b", F.round(dot(F.col("q"), F.col("v")), 5).alias("score"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.operators import corpus as C
+from skein.operators import lookups as L
+from skein.operators import records as R
 from skein.plans.registry import Registry
 from skein.plans.tables import PAPERS, TITLES, papers, table, titles
 
@@ -40,7 +42,7 @@ def a6_a7_endpoint_names(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_custkey AS key, count(*)::BIGINT AS neighbors FROM orders GROUP BY 1")
 def a10_list_lengths(spark: SparkSession, d: str) -> DataFrame:
     lists = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.collect_list("o_orderkey").alias("n"))
-    return lists.select("key", F.size("n").cast("bigint").alias("neighbors"))
+    return R.list_lengths(lists, "key", "n")
 
 
 @query("SELECT doc_id, sha256(text) AS sha FROM documents")
@@ -55,11 +57,10 @@ def a17_two_field_filters(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"SELECT doc_id, md5(array_to_string(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), ' ')) AS md5 FROM documents WHERE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) > 0")
 def b1_rebuild_text(spark: SparkSession, d: str) -> DataFrame:
-    """The inverted index is a table here, one row per text and word, so that texts of any length are rebuilt from positions."""
+    """The index of each text is made by groups, a row a text and word, and rebuilt by the operator."""
     words = table(spark, d, "documents").select("doc_id", F.posexplode(F.array_remove(F.split("text", r"[ \t-\r]+"), "")).alias("p", "w"))
-    index = words.groupBy("doc_id", "w").agg(F.collect_list("p").alias("at"))
-    placed = index.select("doc_id", F.explode("at").alias("p"), "w").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("p", "w"))).alias("x"))
-    return placed.select("doc_id", F.md5(F.array_join(F.transform("x", lambda x: x["w"]), " ")).alias("md5"))
+    index = words.groupBy("doc_id", "w").agg(F.collect_list("p").alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("index"))
+    return index.select("doc_id", F.md5(T.rebuild_text(F.col("index"))).alias("md5"))
 
 
 @query(f"WITH {TITLES} SELECT doc_id, md5(CASE WHEN trim(title) = '' THEN source WHEN doc_id % 3 = 0 THEN trim(title) ELSE trim(title) || '. ' || source END) AS text FROM titles")
@@ -75,8 +76,10 @@ def b3_b4_short_and_numeric_id(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT n_nationkey AS topic_id, n_name AS topic, coalesce(CASE WHEN n_nationkey % 4 > 0 THEN n_regionkey END, -1) AS field_id, CASE WHEN n_nationkey % 4 > 0 THEN r_name END AS field FROM nation JOIN region ON n_regionkey = r_regionkey")
 def b5_topic_lineage(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 and 5 rows
-    work = n.select(F.col("n_nationkey").alias("topic_id"), F.col("n_name").alias("topic"), F.when(F.col("n_nationkey") % 4 > 0, F.struct(F.col("n_regionkey").alias("id"), F.col("r_name").alias("display_name"))).alias("field"))
-    return work.select("topic_id", "topic", F.coalesce("field.id", F.lit(-1)).alias("field_id"), F.col("field.display_name").alias("field"))
+    entity = lambda kind, key, name: [F.concat(F.lit(f"https://x.org/{kind}/"), F.col(key)).alias("id"), F.col(name).alias("display_name")]
+    field = F.when(F.col("n_nationkey") % 4 > 0, F.struct(*entity("fields", "n_regionkey", "r_name")))
+    works = n.select(F.struct(*entity("T", "n_nationkey", "n_name"), field.alias("field")).alias("primary_topic"))
+    return works.select(*R.topic_lineage("primary_topic", ("field",))).withColumn("topic_id", F.col("topic_id").cast("int"))
 
 
 @query(f"WITH x AS (SELECT page_id, {_FORMS} AS raw FROM pages) SELECT page_id, nullif(regexp_replace(trim(raw), '^(https?://)?(dx\\.)?doi\\.org/', '', 'i'), '') AS doi, nullif(regexp_extract(lower(raw), 'arxiv\\.(.+)$', 1), '') AS arxiv FROM x")
@@ -117,9 +120,8 @@ def b12_stamp_date(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey AS id, p_type AS categories, coalesce(list_filter(string_split(p_type, ' '), lambda c: c[1:2] IN ('ST', 'EC', 'BR'))[1], string_split(p_type, ' ')[1]) AS primary_category, len(list_filter(string_split(p_type, ' '), lambda c: c[1:2] IN ('ST', 'EC', 'BR'))) > 0 AS in_scope FROM part")
 def b13_b14_category_scope(spark: SparkSession, d: str) -> DataFrame:
-    cats = F.split("p_type", " ")
-    ok = F.filter(cats, lambda c: F.substring(c, 1, 2).isin("ST", "EC", "BR"))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("categories"), F.coalesce(F.get(ok, F.lit(0)), cats[0]).alias("primary_category"), (F.size(ok) > 0).alias("in_scope"))
+    cats, prefixes = F.split("p_type", " "), ["ST", "EC", "BR"]
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("categories"), R.primary_category(cats, [], prefixes).alias("primary_category"), (F.size(R.in_scope(cats, [], prefixes)) > 0).alias("in_scope"))
 
 
 @query("SELECT c_custkey AS author, CASE WHEN c_custkey % 5 = 0 THEN c_name ELSE 'A. ' || c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN ' Jr.' ELSE '' END END AS name, 'arxiv-name:' || sha1(regexp_replace(lower(c_name), '[^a-z0-9_]+', '', 'g'))[1:16] AS name_id FROM customer")
@@ -141,7 +143,7 @@ def b18_squeeze_and_flag(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {PAPERS} SELECT node, date FROM papers WHERE date BETWEEN '1996-03-01' AND '1998-09-30'")
 def b19_date_range(spark: SparkSession, d: str) -> DataFrame:
-    return papers(spark, d).filter(F.col("date").between("1996-03-01", "1998-09-30")).select("node", "date")
+    return R.in_dates(papers(spark, d), "date", "1996-03-01", "1998-09-30").select("node", "date")
 
 
 @query("WITH last AS (SELECT user_id AS id, arg_max(event_type, event_id) AS t, arg_max(value, event_id) AS v, max(event_id) AS e FROM events GROUP BY 1), base AS (SELECT c_custkey AS id, c_acctbal AS v FROM customer) SELECT id, v FROM base WHERE id NOT IN (SELECT id FROM last) UNION ALL SELECT id, v FROM last WHERE t <> 'error' AND e % 7 <> 0")
@@ -208,13 +210,15 @@ def b30_route_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_brand AS key, arg_min(p_name, p_partkey) AS first_name, arg_max(p_name, p_partkey) AS last_name FROM part GROUP BY 1")
 def b31_registry_merge(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").groupBy(F.col("p_brand").alias("key")).agg(F.min_by("p_name", "p_partkey").alias("first_name"), F.max_by("p_name", "p_partkey").alias("last_name"))
+    return R.first_and_last(table(spark, d, "part").select(F.col("p_brand").alias("key"), F.col("p_name").alias("name"), "p_partkey"), "key", "name", "p_partkey")
 
 
 @query("SELECT o.o_orderkey AS node, c.c_acctbal AS column_value FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey WHERE o.o_orderstatus = 'F'")
 def b32_propagate(spark: SparkSession, d: str) -> DataFrame:
-    active = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("node"), F.col("o_custkey").alias("k"))
-    return active.join(table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("column_value")), "k", "left").select("node", "column_value")
+    o, c = table(spark, d, "orders"), table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("column_value"))
+    full = o.select(F.col("o_orderkey").alias("node"), F.col("o_custkey").alias("k")).join(c, "k", "left").select("node", "column_value")
+    active = o.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("node"), F.lit(0.0).alias("column_value"))
+    return L.propagate(active, full, "node", ["column_value"])
 
 
 @query(r"SELECT doc_id, regexp_replace(regexp_replace(lower(title), '[{}$\\]', '', 'g'), '[^a-z0-9]+', ' ', 'g').trim() AS title FROM (SELECT doc_id, split_part(text, chr(10), 1) AS title FROM documents)")
@@ -222,28 +226,86 @@ def i20_m32_normal_title(spark: SparkSession, d: str) -> DataFrame:
     return titles(spark, d).select("doc_id", T.normal_title(F.col("title")).alias("title"))
 
 
-@query(r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, 'https?://\S+', ' ', 'g'), '\b[\w:-]+\s*=\s*"[^"]*"', ' ', 'g'), '</?[A-Za-z][^>]*>', ' ', 'g'), '\b[A-Za-z]+:[A-Za-z]+\b', ' ', 'g'), '&[#A-Za-z0-9]+;', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS md5 FROM pages""")
-def i15_clean_markup(spark: SparkSession, d: str) -> DataFrame:
+@query(r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, 'https?://\S+|www\.\S+', ' ', 'g'), '\b[a-zA-Z-]+\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\b[a-zA-Z]+:[a-zA-Z]+\b', ' ', 'g'), '&[a-z]+;|&#\d+;', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS md5 FROM pages""")
+def i15_clean_all_markup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.md5(T.clean_markup(F.col("html"))).alias("md5"))
 
 
 @query("SELECT p_partkey AS corpusid, p_name[1:6] AS title, coalesce(nullif(p_brand[1:5], 'Brand'), '') AS venue, coalesce(p_size, 0) AS cites FROM part WHERE p_partkey IS NOT NULL")
 def m12_crosswalk_projection(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").filter("p_partkey is not null").select(F.col("p_partkey").alias("corpusid"), F.substring("p_name", 1, 6).alias("title"), F.coalesce(F.nullif(F.substring("p_brand", 1, 5), F.lit("Brand")), F.lit("")).alias("venue"), F.coalesce("p_size", F.lit(0)).alias("cites"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("corpusid"), F.col("p_name").alias("title"), F.nullif(F.substring("p_brand", 1, 5), F.lit("Brand")).alias("venue"), F.col("p_size").alias("cites"))
+    return R.crosswalk_rows(p, 6, 5).drop("arxiv_id")
 
 
 @query("SELECT c_custkey AS id, round(c_acctbal)::BIGINT AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 0)")
 def m6_m7_wanted_only(spark: SparkSession, d: str) -> DataFrame:
-    wanted = table(spark, d, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, d, "customer").join(wanted, "c_custkey", "left_semi").select(F.col("c_custkey").alias("id"), F.round("c_acctbal").cast("bigint").alias("n"))
+    wanted = table(spark, d, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("id"))
+    return L.wanted_only(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.round("c_acctbal").cast("bigint").alias("n")), wanted, "id", ["n"])
 
 
 @query("SELECT n_regionkey AS org, list_aggregate(list_sort(list(DISTINCT s_suppkey)), 'string_agg', ',') AS ids FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
 def m11_flatten_ids(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("org"))
-    return table(spark, d, "supplier").join(F.broadcast(n), "s_nationkey").groupBy("org").agg(F.array_join(F.array_sort(F.collect_set("s_suppkey")), ",").alias("ids"))  # 25 nations
+    return R.flatten_ids(table(spark, d, "supplier").join(F.broadcast(n), "s_nationkey"), "org", "s_suppkey")  # 25 nations
 
 
 @query("SELECT label, sha256(string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id)) AS key FROM embeddings GROUP BY 1")
 def e8_m14_fingerprint_of_ids(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").groupBy("label").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("vec_id")), ","), 256).alias("key"))
+    return R.ids_fingerprint(table(spark, d, "embeddings"), "label", "vec_id")
+
+
+def _works(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as works: an authorship for each different supplier, in order of its number, whose institution is its nation and whose affiliation string is its name; every 11th has no title."""
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("node"), F.col("l_suppkey").alias("s_suppkey")).distinct().join(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey"), "s_suppkey")
+    person = F.struct(F.concat(F.lit("https://x.org/A"), "s_suppkey").alias("id"), F.col("s_name").alias("display_name"))
+    nation = F.array(F.struct(F.concat(F.lit("https://x.org/I"), "s_nationkey").alias("id"), F.concat(F.lit("n"), "s_nationkey").alias("display_name")))
+    one = F.struct("s_suppkey", F.struct(person.alias("author"), nation.alias("institutions"), F.array(F.col("s_name")).alias("raw_affiliation_strings")).alias("x"))
+    lists = li.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(one)), lambda y: y["x"]).alias("authorships"))
+    title = F.when(F.col("node") % 11 > 0, F.concat(F.lit("t"), "node")).otherwise("")
+    return lists.select(F.concat(F.lit("https://x.org/W"), "node").alias("id"), title.alias("title"), "authorships")
+
+
+_WORKS = "a AS (SELECT DISTINCT l_orderkey AS node, s_suppkey, s_name, s_nationkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_orderkey % 11 > 0)"
+
+
+@query(f"""WITH {_WORKS}, i AS (SELECT node, 'I' || s_nationkey AS inst, min(s_suppkey) AS k FROM a GROUP BY 1, 2), e AS (SELECT node, 'R' || n_regionkey AS org, string_agg(s_name, ';' ORDER BY s_suppkey) AS s FROM a JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey < 3 GROUP BY 1, 2)
+SELECT 'W' || a.node AS id, 't' || a.node AS title, string_agg('A' || s_suppkey, ',' ORDER BY s_suppkey) AS authors, (SELECT string_agg(inst, ',' ORDER BY k) FROM i WHERE i.node = a.node) AS institutions, coalesce((SELECT string_agg(org || '=' || s, '|' ORDER BY org) FROM e WHERE e.node = a.node), '') AS evidence FROM a GROUP BY a.node""")
+def b10_parse_work(spark: SparkSession, d: str) -> DataFrame:
+    """Works in the shape of the records: those without a title go; institutions differ; an organisation's evidence comes from its own authorships alone."""
+    orgs = table(spark, d, "nation").filter("n_regionkey < 3").select(F.concat(F.lit("I"), "n_nationkey").alias("institution"), F.concat(F.lit("R"), "n_regionkey").alias("org"))
+    w = R.parse_work(_works(spark, d), orgs)
+    proof = F.array_join(F.transform(F.map_entries("evidence"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ";"))), "|")
+    return w.select("id", "title", F.array_join("author_ids", ",").alias("authors"), F.array_join("institution_ids", ",").alias("institutions"), proof.alias("evidence"))
+
+
+@query("WITH a AS (SELECT DISTINCT l_orderkey AS node, s_nationkey, s_name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey) SELECT 'R' || n_regionkey AS org, CASE WHEN s_name LIKE '%1' THEN 'one' WHEN s_name LIKE '%2' THEN 'two' ELSE 'other' END AS unit, count(DISTINCT node)::BIGINT AS papers FROM a JOIN nation ON n_nationkey = s_nationkey GROUP BY 1, 2")
+def m2_unit_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence as JSON, read again; a string counts for the first unit of its organisation that it fits."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.concat(F.lit("R"), "n_regionkey").alias("org"))
+    s = table(spark, d, "supplier").join(F.broadcast(n), "s_nationkey").select(F.col("s_suppkey").alias("l_suppkey"), "s_name", "org")  # 25 nations
+    lists = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("node"), "l_suppkey").distinct().join(s, "l_suppkey").groupBy("node", "org").agg(F.array_sort(F.collect_set("s_name")).alias("s"))
+    papers_ = lists.groupBy("node").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("org", "s")))).alias("evidence"))
+    units = {f"R{k}": [("one", "1$"), ("two", "2$"), ("other", ".")] for k in range(5)}
+    return R.unit_evidence(papers_, units).groupBy("org", "unit").agg(F.count("*").alias("papers"))
+
+
+@query(f"WITH {_WORKS}, p AS (SELECT node, 'A' || s_suppkey AS a, s_suppkey AS k FROM a), x AS (SELECT node, string_agg(a, ',' ORDER BY k) AS authors FROM p GROUP BY 1) SELECT 'W' || node AS id, authors FROM x")
+def m8_provider_authors(spark: SparkSession, d: str) -> DataFrame:
+    w = _works(spark, d).filter("title <> ''").withColumn("id", T.short_id(F.col("id")))
+    return R.provider_authors(w.withColumn("authorships", F.concat("authorships", F.reverse("authorships")))).select("id", F.array_join("author_ids", ",").alias("authors"))
+
+
+@query("WITH a AS (SELECT s_nationkey AS key, min(s_name) AS name FROM supplier GROUP BY 1), b AS (SELECT c_nationkey AS key, min(c_name) AS name FROM customer WHERE c_nationkey < 12 GROUP BY 1) SELECT coalesce(b.key, a.key) AS key, coalesce(b.name, a.name) AS last_wins, coalesce(a.name, b.name) AS first_wins FROM a FULL JOIN b ON a.key = b.key")
+def b31_merge_registries(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("key")).agg(F.min("s_name").alias("name"))
+    b = table(spark, d, "customer").filter("c_nationkey < 12").groupBy(F.col("c_nationkey").alias("key")).agg(F.min("c_name").alias("name"))
+    return R.merge_registries([a, b], "key").select("key", F.col("name").alias("last_wins")).join(R.merge_registries([a, b], "key", last_wins=False).select("key", F.col("name").alias("first_wins")), "key")
+
+
+@query("WITH m AS (SELECT s_suppkey AS id, s_nationkey AS nation FROM supplier), c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_nationkey END AS nation FROM customer) SELECT c.id, coalesce(c.nation, m.nation) AS nation, (SELECT round(count(*) FILTER (WHERE id IN (SELECT id FROM m))::DOUBLE / count(*), 6) FROM c) AS share FROM c LEFT JOIN m USING (id) WHERE c.id % 3 = 0")
+def m9_enrichment(spark: SparkSession, d: str) -> DataFrame:
+    """Matches of the corpus alone enrich it, the active subset takes the columns over, and the coverage is told."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 != 0, F.col("c_nationkey")).alias("nation"))
+    m = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"))
+    _, active, meta = R.enrichment(c, c.filter("id % 3 = 0"), m, "id", [], ["nation"])
+    return active.crossJoin(F.broadcast(meta.select("share")))  # one row

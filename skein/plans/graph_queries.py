@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.operators import graph as G
+from skein.operators import lookups as L
 from skein.plans.registry import Registry
 from skein.plans.tables import AUTHORSHIP, CITATIONS, EDGES, PAPERS, authorship, citations, edges, papers, table
 from skein.sources.staging import staged
 
 query = Registry()
-HUBS = 37
-#: The reference's own: pivots of more edges make no candidates.
+#: Pivots of more edges make no candidates.
 HUB_DEGREE_LIMIT = 1000
 
 
@@ -24,16 +24,14 @@ def c1_resolve_references(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH c AS (SELECT DISTINCT l_orderkey, l_suppkey // 2 AS provider FROM lineitem), p AS (SELECT s_suppkey // 2 AS provider, min(s_suppkey) AS paper, count(*) - 1 AS clashes FROM supplier GROUP BY 1) SELECT c.l_orderkey AS node, p.paper, p.clashes::BIGINT AS clashes FROM c JOIN p USING (provider)")
 def c2_provider_reference(spark: SparkSession, d: str) -> DataFrame:
-    refs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("node"), F.floor(F.col("l_suppkey") / 2).alias("provider")).distinct()
-    first = table(spark, d, "supplier").groupBy(F.floor(F.col("s_suppkey") / 2).alias("provider")).agg(F.min("s_suppkey").alias("paper"), (F.count("*") - 1).alias("clashes"))
-    return refs.join(first, "provider").select("node", "paper", "clashes")
+    refs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("node"), F.floor(F.col("l_suppkey") / 2).alias("provider"))
+    return L.provider_references(refs, table(spark, d, "supplier").select(F.floor(F.col("s_suppkey") / 2).alias("provider"), F.col("s_suppkey").alias("paper"), F.col("s_suppkey").alias("position")))
 
 
 @query("SELECT DISTINCT o_orderkey AS node, c_custkey AS corpus_id FROM orders JOIN customer ON o_custkey % 500 = c_custkey % 500 WHERE c_nationkey < 5")
 def c3_crosswalk(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("node"), (F.col("o_custkey") % 500).alias("k"))
-    c = table(spark, d, "customer").filter("c_nationkey < 5").select("c_custkey", (F.col("c_custkey") % 500).alias("k"))
-    return o.join(c, "k").select("node", F.col("c_custkey").alias("corpus_id")).distinct()
+    return L.crosswalk(o, table(spark, d, "customer").filter("c_nationkey < 5").select(F.col("c_custkey").alias("corpus_id"), (F.col("c_custkey") % 500).alias("k")), "k")
 
 
 @query("WITH o AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O') SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem WHERE l_orderkey <> l_partkey AND l_orderkey IN (SELECT * FROM o) AND l_partkey IN (SELECT * FROM o)")
@@ -45,60 +43,51 @@ def c4_c5_d7_project_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderkey AS node, coalesce(bool_or(l_returnflag = 'R'), false) AS any_returned, coalesce(max(l_quantity), 0)::DOUBLE AS most FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def c6_collapse_fan_out(spark: SparkSession, d: str) -> DataFrame:
-    flags = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("node")).agg(F.bool_or(F.col("l_returnflag") == "R").alias("r"), F.max("l_quantity").alias("q"))
-    return papers(spark, d).select("node").join(flags, "node", "left").select("node", F.coalesce("r", F.lit(False)).alias("any_returned"), F.coalesce("q", F.lit(0.0)).alias("most"))
+    flags = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("node"), "l_returnflag", "l_quantity")
+    return L.collapse(papers(spark, d), flags, {"any_returned": F.col("l_returnflag") == "R"}, {"most": F.col("l_quantity")})
 
 
 @query(f"WITH {PAPERS}, {CITATIONS}, n AS (SELECT dst, count(*) AS n FROM citations GROUP BY 1) SELECT node, coalesce(n, 0)::BIGINT AS n FROM papers LEFT JOIN n ON node = dst")
 def c7_c8_m1_attach_counts(spark: SparkSession, d: str) -> DataFrame:
-    n = citations(spark, d).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"))
-    return papers(spark, d).select("node").join(n, "node", "left").na.fill(0, ["n"])
+    return L.attach_counts(papers(spark, d).select("node"), citations(spark, d).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")))
 
 
 @query(f"WITH {PAPERS}, {AUTHORSHIP}, claims AS (SELECT s_suppkey AS author, s_nationkey AS org, (1995 + s_suppkey % 3)::VARCHAR || '-06-01' AS valid_from, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE '1999-12-31' END AS valid_to FROM supplier WHERE s_suppkey % 2 = 0) SELECT DISTINCT c.org, p.node FROM authorship a JOIN claims c USING (author) JOIN papers p USING (node) WHERE p.date >= c.valid_from AND (c.valid_to IS NULL OR p.date <= c.valid_to)")
 def c9_roster_in_time(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").filter("s_suppkey % 2 = 0")
     claims = s.select(F.col("s_suppkey").alias("author"), F.col("s_nationkey").alias("org"), F.concat((1995 + F.col("s_suppkey") % 3).cast("string"), F.lit("-06-01")).alias("valid_from"), F.when(F.col("s_suppkey") % 4 == 0, None).otherwise("1999-12-31").alias("valid_to"))
-    p = papers(spark, d).select("node", "date")
-    return authorship(spark, d).join(claims, "author").join(p, "node").filter("date >= valid_from and (valid_to is null or date <= valid_to)").select("org", "node").distinct()
+    return L.claims_in_time(authorship(spark, d), claims, papers(spark, d)).select("org", "node").distinct()
 
 
 @query("SELECT s_name AS ror, count(*)::BIGINT AS n FROM supplier WHERE regexp_extract(s_name, '([^#]+)$', 1) NOT IN (SELECT regexp_extract(c_name, '([^#]+)$', 1) FROM customer WHERE c_custkey % 2 = 0) GROUP BY 1 ORDER BY n DESC, ror LIMIT 5")
 def c10_f20_unmapped(spark: SparkSession, d: str) -> DataFrame:
-    key = lambda c: F.regexp_extract(c, "([^#]+)$", 1)
-    s = table(spark, d, "supplier").select(F.col("s_name").alias("ror"), key("s_name").alias("k"))
-    c = table(spark, d, "customer").filter("c_custkey % 2 = 0").select(key("c_name").alias("k"))
-    return s.join(c, "k", "left_anti").groupBy("ror").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ror").limit(5)
+    known = table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.regexp_extract("c_name", "([^#]+)$", 1).alias("segment"))
+    return L.top_counts(L.bridge(table(spark, d, "supplier").select(F.col("s_name").alias("ror")), "ror", known)[1], "ror", 5)
 
 
 @query("WITH x AS (SELECT o_custkey AS author, o_orderkey AS node, epoch(o_orderdate)::BIGINT // 86400 AS day FROM orders) SELECT author, node, arg_min(other, gap * 100000000 + other) AS nearest, min(gap)::BIGINT AS gap FROM (SELECT a.author, a.node, b.node AS other, abs(a.day - b.day) AS gap FROM x a JOIN x b ON a.author = b.author AND a.node <> b.node) WHERE gap <= 365 GROUP BY 1, 2")
 def c11_nearest_in_time(spark: SparkSession, d: str) -> DataFrame:
-    """The nearest other paper of an author is the one before or after in time, so two window looks take the place of a self-join."""
-    x = table(spark, d, "orders").select(F.col("o_custkey").alias("author"), F.col("o_orderkey").alias("node"), F.unix_date(F.to_date("o_orderdate")).cast("bigint").alias("day"))
-    days = x.groupBy("author", "day").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
-    w = Window.partitionBy("author").orderBy("day")
-    near = days.withColumn("before", F.struct(F.lag("day").over(w).alias("day"), F.lag("nodes").over(w)[0].alias("other"))).withColumn("after", F.struct(F.lead("day").over(w).alias("day"), F.lead("nodes").over(w)[0].alias("other")))
-    each = near.select("author", "day", F.explode("nodes").alias("node"), "nodes", "before", "after")
-    same = F.try_element_at(F.filter("nodes", lambda n: n != F.col("node")), F.lit(1))
-    options = F.filter(F.array(F.struct(F.lit(0).cast("bigint").alias("gap"), same.alias("other")), F.struct((F.col("day") - F.col("before.day")).alias("gap"), F.col("before.other").alias("other")), F.struct((F.col("after.day") - F.col("day")).alias("gap"), F.col("after.other").alias("other"))), lambda o: o["other"].isNotNull() & (o["gap"] <= 365))
-    return each.withColumn("best", F.array_min(options)).filter("best is not null").select("author", "node", F.col("best.other").alias("nearest"), F.col("best.gap").alias("gap"))
+    x = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("node"), F.unix_date(F.to_date("o_orderdate")).cast("bigint").alias("day"))
+    return L.nearest_in_time(x).filter("gap <= 365").withColumnRenamed("key", "author")
 
 
 @query("SELECT o_orderkey AS node FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def c15_not_live(spark: SparkSession, d: str) -> DataFrame:
-    return papers(spark, d).select("node").join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("node")), "node", "left_anti")
+    return L.not_in(papers(spark, d).select("node"), table(spark, d, "lineitem").select(F.col("l_orderkey").alias("node")), "node")
 
 
 @query("WITH RECURSIVE up AS (SELECT n_nationkey AS leaf, n_nationkey AS ancestor, 0 AS hops FROM nation UNION ALL SELECT leaf, ancestor // 2, hops + 1 FROM up WHERE ancestor > 0 AND hops < 64) SELECT leaf, ancestor, hops FROM up")
 def c17_region_closure(spark: SparkSession, d: str) -> DataFrame:
-    table(spark, d, "nation").createOrReplaceTempView("skein_nation")
-    return spark.sql("WITH RECURSIVE up(leaf, at, hops) AS (SELECT n_nationkey, n_nationkey, 0 FROM skein_nation UNION ALL SELECT leaf, CAST(at DIV 2 AS INT), hops + 1 FROM up WHERE at > 0 AND hops < 64) SELECT leaf, at AS ancestor, hops FROM up")
+    """A region's parent is half its number here, up to 0."""
+    tree = spark.range(25).select("id", F.when(F.col("id") > 0, F.floor(F.col("id") / 2)).alias("parent"))
+    up = L.ancestors(tree).join(table(spark, d, "nation").select(F.col("n_nationkey").alias("leaf")), "leaf", "left_semi")
+    return up.select(F.col("leaf").cast("int").alias("leaf"), F.col("ancestor").cast("int").alias("ancestor"), "hops")
 
 
 @query(f"WITH {AUTHORSHIP} SELECT s.s_nationkey AS org, count(DISTINCT a.node)::BIGINT AS papers FROM supplier s JOIN authorship a ON a.author = s.s_suppkey GROUP BY 1")
 def c18_org_nodes(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("author"), F.col("s_nationkey").alias("org"))
-    return authorship(spark, d).join(s, "author").select("org", "node").distinct().groupBy("org").agg(F.count("*").alias("papers"))
+    return L.members(authorship(spark, d), s).groupBy("org").agg(F.count("*").alias("papers"))
 
 
 @query(f"WITH {EDGES}, r AS (SELECT src AS node, count(*) AS n_refs, min(dst) AS first_ref, max(dst) AS last_ref FROM edges GROUP BY 1), c AS (SELECT dst AS node, count(*) AS n_citers, min(src) AS first_citer FROM edges GROUP BY 1) SELECT coalesce(r.node, c.node) AS node, coalesce(n_refs, 0)::INT AS n_refs, first_ref, last_ref, coalesce(n_citers, 0)::INT AS n_citers, first_citer FROM r FULL JOIN c ON r.node = c.node")
@@ -108,32 +97,24 @@ def d1_d8_adjacency(spark: SparkSession, d: str) -> DataFrame:
 
 
 SHARED = f"""{EDGES}, deg AS (SELECT dst AS p, count(*) AS n FROM edges GROUP BY 1), dego AS (SELECT src AS p, count(*) AS n FROM edges GROUP BY 1),
-k AS (SELECT e.* FROM edges e JOIN deg ON e.dst = deg.p WHERE deg.n <= {HUBS}), ko AS (SELECT e.* FROM edges e JOIN dego ON e.src = dego.p WHERE dego.n <= {HUBS}),
+k AS (SELECT e.* FROM edges e JOIN deg ON e.dst = deg.p WHERE deg.n <= {HUB_DEGREE_LIMIT}), ko AS (SELECT e.* FROM edges e JOIN dego ON e.src = dego.p WHERE dego.n <= {HUB_DEGREE_LIMIT}),
 refs AS (SELECT x.src AS a, y.src AS b, count(*) AS n FROM k x JOIN k y ON x.dst = y.dst AND x.src <> y.src GROUP BY 1, 2), citers AS (SELECT x.dst AS a, y.dst AS b, count(*) AS n FROM ko x JOIN ko y ON x.src = y.src AND x.dst <> y.dst GROUP BY 1, 2),
 shared AS (SELECT coalesce(r.a, c.a) AS a, coalesce(r.b, c.b) AS b, coalesce(r.n, 0)::BIGINT AS refs, coalesce(c.n, 0)::BIGINT AS citers FROM refs r FULL JOIN citers c ON r.a = c.a AND r.b = c.b)"""
 
 
-@query(f"WITH {SHARED}, direct AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges) SELECT s.a, s.b, round(CASE WHEN d.a IS NOT NULL THEN 1.0 ELSE 0.5 * (CASE WHEN refs > 0 THEN refs::DOUBLE / (coalesce(oa.n, 0) + coalesce(ob.n, 0) - refs) ELSE 0 END + CASE WHEN citers > 0 THEN citers::DOUBLE / (coalesce(ia.n, 0) + coalesce(ib.n, 0) - citers) ELSE 0 END) END, 6) AS score FROM shared s LEFT JOIN direct d ON d.a = s.a AND d.b = s.b LEFT JOIN dego oa ON oa.p = s.a LEFT JOIN dego ob ON ob.p = s.b LEFT JOIN deg ia ON ia.p = s.a LEFT JOIN deg ib ON ib.p = s.b WHERE refs + citers >= 3")
-def d2_d3_citation_score(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d)
-    pairs = G.shared_neighbours(e, HUBS).filter("refs + citers >= 3")
-    return G.citation_scores(e, pairs).withColumn("score", F.round("score", 6))
+_TOP = "t AS (SELECT a, b, refs + citers AS overlap FROM shared QUALIFY row_number() OVER (PARTITION BY a ORDER BY refs + citers DESC, b) <= 10), direct AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), cand AS (SELECT a, b, overlap::BIGINT AS overlap FROM t UNION SELECT d.a, d.b, coalesce(s.refs + s.citers, 0)::BIGINT FROM direct d LEFT JOIN shared s ON s.a = d.a AND s.b = d.b)"
 
 
-@query(f"WITH {SHARED}, t AS (SELECT a, b, refs + citers AS overlap FROM shared QUALIFY row_number() OVER (PARTITION BY a ORDER BY refs + citers DESC, b) <= 10), direct AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges) SELECT a, b, overlap::BIGINT AS overlap FROM t UNION SELECT d.a, d.b, coalesce(s.refs + s.citers, 0)::BIGINT FROM direct d LEFT JOIN shared s ON s.a = d.a AND s.b = d.b")
+@query(f"WITH {SHARED}, {_TOP} SELECT * FROM cand")
 def d4_citation_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return G.citation_candidates(edges(spark, d), 10, HUBS)
-
-
-@query()
-def d4_citation_candidates_whole(spark: SparkSession, d: str) -> DataFrame:
-    """d4_citation_candidates with the reference's hub limit."""
     return G.citation_candidates(edges(spark, d), 10, HUB_DEGREE_LIMIT)
 
 
-@query()
-def d2_d3_citation_score_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of all candidates of D4, with shared works of any degree and no threshold."""
+@query(f"""WITH {SHARED}, {_TOP}, ar AS (SELECT x.src AS a, y.src AS b, count(*) AS n FROM edges x JOIN edges y ON x.dst = y.dst AND x.src <> y.src GROUP BY 1, 2), ac AS (SELECT x.dst AS a, y.dst AS b, count(*) AS n FROM edges x JOIN edges y ON x.src = y.src AND x.dst <> y.dst GROUP BY 1, 2)
+SELECT c.a, c.b, round(CASE WHEN d.a IS NOT NULL THEN 1.0 ELSE 0.5 * (CASE WHEN ar.n > 0 THEN ar.n::DOUBLE / (coalesce(oa.n, 0) + coalesce(ob.n, 0) - ar.n) ELSE 0 END + CASE WHEN ac.n > 0 THEN ac.n::DOUBLE / (coalesce(ia.n, 0) + coalesce(ib.n, 0) - ac.n) ELSE 0 END) END, 6) AS score
+FROM (SELECT DISTINCT a, b FROM cand) c LEFT JOIN ar ON ar.a = c.a AND ar.b = c.b LEFT JOIN ac ON ac.a = c.a AND ac.b = c.b LEFT JOIN direct d ON d.a = c.a AND d.b = c.b LEFT JOIN dego oa ON oa.p = c.a LEFT JOIN dego ob ON ob.p = c.b LEFT JOIN deg ia ON ia.p = c.a LEFT JOIN deg ib ON ib.p = c.b""")
+def d2_d3_citation_score(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of all candidates of D4, with shared works of any degree."""
     e = edges(spark, d)
     pairs = staged(G.citation_candidates(e, 10, HUB_DEGREE_LIMIT), "citation-candidates")
     return G.citation_scores(e, G.shared_of(e, pairs)).withColumn("score", F.round("score", 6))
@@ -147,14 +128,14 @@ def d9_citation_totals(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {PAPERS}, auth AS (SELECT l_orderkey AS node, sum(l_linenumber)::BIGINT AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) SELECT node, coalesce(n, cited)::BIGINT AS cited, (n IS NOT NULL OR cited > 100) AS available FROM papers LEFT JOIN auth USING (node)")
 def d10_d12_authoritative(spark: SparkSession, d: str) -> DataFrame:
     auth = table(spark, d, "lineitem").filter("l_returnflag = 'A'").groupBy(F.col("l_orderkey").alias("node")).agg(F.sum("l_linenumber").alias("n"))
-    return papers(spark, d).join(auth, "node", "left").select("node", F.coalesce("n", "cited").alias("cited"), (F.col("n").isNotNull() | (F.col("cited") > 100)).alias("available"))
+    return L.authoritative(papers(spark, d).select("node", "cited", (F.col("cited") > 100).alias("available")), auth).select("node", "cited", "available")
 
 
 @query(f"WITH {PAPERS}, primary_s2 AS (SELECT bool_or(o_orderstatus = 'P') AS x FROM orders) SELECT node, CASE WHEN (SELECT x FROM primary_s2) THEN cited ELSE cited * 2 END::BIGINT AS cited FROM papers")
 def d11_provider_materialise(spark: SparkSession, d: str) -> DataFrame:
     p = papers(spark, d)
-    flag = p.agg(F.bool_or(F.col("field") == "P").alias("primary_s2"))
-    return p.crossJoin(F.broadcast(flag)).select("node", F.when(F.col("primary_s2"), F.col("cited")).otherwise(F.col("cited") * 2).alias("cited"))  # one row
+    primary = bool(p.filter("field = 'P'").limit(1).count())
+    return L.provider_materialise(p.select("node", "cited"), p.select("node", (F.col("cited") * 2).alias("n")), primary).select("node", "cited")
 
 
 @query(f"WITH {PAPERS}, {EDGES}, n AS (SELECT dst AS node, count(*) AS n FROM edges GROUP BY 1), g AS (SELECT l_partkey AS node, count(*) AS g FROM lineitem GROUP BY 1), m AS (SELECT p.node, greatest(cited // 10, coalesce(g, 0), coalesce(n, 0)) AS cited_by, coalesce(n, 0) AS n FROM papers p LEFT JOIN n USING (node) LEFT JOIN g USING (node)) SELECT node, cited_by::BIGINT AS cited_by, n >= cited_by AS enumerable FROM m")
@@ -167,9 +148,7 @@ def d13_citation_floor(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderkey AS node, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus = 'O' END IS TRUE OR (o_orderstatus = 'P' AND count(l_orderkey) > 0) AS available, CASE WHEN CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus = 'O' END IS TRUE OR (o_orderstatus = 'P' AND count(l_orderkey) > 0) THEN count(l_orderkey) ELSE -1 END::BIGINT AS reference_count FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus")
 def d14_d15_reference_counts(spark: SparkSession, d: str) -> DataFrame:
     n = citations(spark, d).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"))
-    flag = F.when(F.col("field") == "P", None).otherwise(F.col("field") == "O")
-    known = papers(spark, d).join(n, "node", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("available", F.coalesce(flag, F.col("n") > 0))
-    return known.select("node", "available", F.when(F.col("available"), F.col("n")).otherwise(-1).alias("reference_count"))
+    return L.reference_counts(papers(spark, d).select("node", F.when(F.col("field") == "P", None).otherwise(F.col("field") == "O").alias("flag")), n)
 
 
 @query(f"WITH {PAPERS}, {EDGES}, r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY d.cited DESC, dst) AS ks, row_number() OVER (PARTITION BY dst ORDER BY s.cited DESC, src) AS kd FROM edges JOIN papers s ON s.node = src JOIN papers d ON d.node = dst) SELECT src, dst FROM r WHERE ks <= 3 OR kd <= 3")
@@ -236,8 +215,7 @@ def d24_similar_not_cited(spark: SparkSession, d: str) -> DataFrame:
 
     v = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
     pairs = v.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x")).join(v.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "label").filter("a <> b").select("a", "b", F.round(dot(F.col("x"), F.col("y")), 5).alias("s"))
-    linked = edges(spark, d).select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges(spark, d).select("dst", "src"))
-    return G.top_per(pairs.join(linked, ["a", "b"], "left_anti"), ["a"], [F.desc("s"), F.col("b")], 5).select("a", "b", "rank")
+    return L.similar_not_cited(pairs, edges(spark, d), 5)
 
 
 @query(f"WITH {EDGES} SELECT src, dst FROM edges WHERE xor(((src + 1) * 73856093) & 4294967295, ((dst + 1) * 19349663) & 4294967295) % 1000 < 50")

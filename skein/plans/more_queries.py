@@ -7,8 +7,18 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import arxiv_in, normal_title, without_version
 from skein.functions.vectors import dot
+from skein.operators import answers as A
+from skein.operators import client as CL
+from skein.operators import communities as CO
 from skein.operators import graph as G
+from skein.operators import hierarchy as H
+from skein.operators import labels as LB
+from skein.operators import lookups as L
+from skein.operators import orgs as O
+from skein.operators import records as R
+from skein.operators import shards as SH
 from skein.operators import spatial as P
+from skein.operators import stats as ST
 from skein.operators import vectors as V
 from skein.operators.graph import top_per
 from skein.plans.graph_queries import HUB_DEGREE_LIMIT
@@ -25,6 +35,10 @@ def points(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") * 7919 % 1009 * 10).cast("double").alias("y"), (F.col("c_custkey") * 31 % 977).cast("double").alias("importance"))
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").alias("v"))
+
+
 @query(f"WITH {_POINTS} SELECT a.node AS a, count(*)::BIGINT AS n FROM p a JOIN p b ON a.node <> b.node AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 < 90000 GROUP BY 1")
 def c12_spatial_range(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
@@ -36,42 +50,22 @@ def c14_nearest_points(spark: SparkSession, d: str) -> DataFrame:
     return P.nearest_points(points(spark, d), 4).select("a", "b", "rank")
 
 
-@query(f"WITH {_POINTS}, v AS (SELECT * FROM p WHERE node < 500), q AS (SELECT a.node AS a, b.node AS b, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d2 FROM v a JOIN v b ON a.node <> b.node), k AS (SELECT a, b FROM q QUALIFY row_number() OVER (PARTITION BY a ORDER BY d2, b) <= 4), u AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM k) SELECT u.a, u.b, round(greatest({_DOT.format('x.embedding', 'y.embedding')}, 0), 4) AS w FROM u JOIN embeddings x ON x.vec_id = u.a JOIN embeddings y ON y.vec_id = u.b")
+@query(f"WITH {_POINTS}, v AS (SELECT * FROM p), q AS (SELECT a.node AS a, b.node AS b, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d2 FROM v a JOIN v b ON a.node <> b.node), k AS (SELECT a, b FROM q QUALIFY row_number() OVER (PARTITION BY a ORDER BY d2, b) <= 4), u AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM k) SELECT u.a, u.b, round(greatest({_DOT.format('x.embedding', 'y.embedding')}, 0), 4) AS w FROM u JOIN embeddings x ON x.vec_id = u.a JOIN embeddings y ON y.vec_id = u.b")
 def d28_planar_graph(spark: SparkSession, d: str) -> DataFrame:
-    """The points of node < 500 alone, as in the SQL; d28_planar_graph_whole has all."""
-    return _planar(spark, d, points(spark, d).filter("node < 500"))
-
-
-def _planar(spark: SparkSession, d: str, p: DataFrame) -> DataFrame:
-    u = P.nearest_points(p, 4).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    u = P.nearest_points(points(spark, d), 4).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     v = lambda x: table(spark, d, "embeddings").select(F.col("vec_id").alias(x), F.col("embedding").alias(f"v{x}"))
     return u.join(v("a"), "a").join(v("b"), "b").select("a", "b", F.round(F.greatest(dot(F.col("va"), F.col("vb")), F.lit(0.0)), 4).alias("w"))
 
 
 @query()
-def d28_planar_graph_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _planar(spark, d, points(spark, d))
-
-
-@query("SELECT 0::BIGINT AS violations, true AS covered")
-def g2_thinning_invariants(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of points that are too near for the level at which both are in, and whether every point has a level."""
-    p, levels = points(spark, d), 5
-    got = P.thin(p, levels, 40.0, 0.01)
-    box = p.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    span, bad = max(box[1] - box[0], box[3] - box[2]), None
-    for level in range(levels - 1):
-        inside = p.join(got.filter(F.col("level") <= level).select("node"), "node", "left_semi")
-        n = P.pairs_within(inside, inside, span / 40 / 2**level).filter("a < b").agg(F.count("*").alias("n"))
-        bad = n if bad is None else bad.unionByName(n)
-    whole = p.select("node").join(got, "node", "left").agg(F.bool_and(F.col("level").isNotNull()).alias("covered"))
-    return bad.agg(F.sum("n").alias("violations")).crossJoin(whole)  # one row each
+def g2_thinning(spark: SparkSession, d: str) -> DataFrame:
+    """Every point's level. A test holds them against one pass in order."""
+    return P.thin(points(spark, d), 5, 40.0, 0.01)
 
 
 @query(f"WITH {_POINTS}, l AS (SELECT *, (node % 5)::INT AS level FROM p) SELECT level, count(*)::BIGINT AS n, sum(count(*)) OVER (ORDER BY level)::BIGINT AS total FROM l GROUP BY 1")
 def g3_point_tiles(spark: SparkSession, d: str) -> DataFrame:
-    n = points(spark, d).groupBy((F.col("node") % 5).cast("int").alias("level")).agg(F.count("*").alias("n"))
-    return n.withColumn("total", F.sum("n").over(Window.orderBy("level")))
+    return CL.tiles(points(spark, d).select((F.col("node") % 5).cast("int").alias("level")))
 
 
 @query("SELECT label AS band, vec_id AS id FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id % 17 DESC, vec_id) <= 20")
@@ -83,46 +77,43 @@ def g11_labels_per_band(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT z::INT AS zoom, least(1000000, round(2000 * pow(4, z / 2.0)))::BIGINT AS visible, round(least(1.0, z / 12.0), 4)::DOUBLE AS ramp FROM range(16) r(z)")
 def g12_lod_ramp(spark: SparkSession, d: str) -> DataFrame:
     z = spark.range(16).select(F.col("id").cast("int").alias("zoom"))
-    return z.select("zoom", F.least(F.lit(1000000), F.round(2000 * F.pow(F.lit(4.0), F.col("zoom") / 2))).cast("bigint").alias("visible"), F.round(F.least(F.lit(1.0), F.col("zoom") / 12), 4).alias("ramp"))
+    return z.select("zoom", CL.visible_count(F.col("zoom")).alias("visible"), CL.detail_ramp(F.col("zoom")).alias("ramp"))
 
 
 @query("SELECT count(*)::BIGINT AS held FROM documents WHERE doc_id * 2654435761 % 1000 < 100")
 def g13_hold_out(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").filter(F.col("doc_id") * 2654435761 % 1000 < 100).agg(F.count("*").alias("held"))
+    return ST.hold_out(table(spark, d, "documents"), "doc_id", 100).agg(F.count("*").alias("held"))
 
 
 @query("WITH b AS (SELECT i AS band FROM range(11) t(i)), c AS (SELECT unnest([0, 3, 10]) AS current, unnest([false, false, true]) AS restricted) SELECT current::INT AS current, band::INT AS band FROM b, c WHERE restricted OR band = 0 OR band <= current + 1")
 def g16_visible_levels(spark: SparkSession, d: str) -> DataFrame:
-    states = F.explode(F.array(*[F.struct(F.lit(c).alias("current"), F.lit(r).alias("restricted")) for c, r in ((0, False), (3, False), (10, True))]))
-    return spark.range(11).select(F.col("id").cast("int").alias("band"), states.alias("s")).filter("s.restricted or band = 0 or band <= s.current + 1").select("s.current", "band")
+    states = spark.createDataFrame([(0, False), (3, False), (10, True)], "current int, restricted boolean")
+    return CL.visible_levels(states, CL.bands(spark)).select("current", "band")
 
 
 @query(f"WITH {_POINTS}, b AS (SELECT node % 3 AS g, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p GROUP BY 1) SELECT g, x0, x1, y0, y1, round(log2(1000 / greatest(x1 - x0, y1 - y0, 1e-3)), 6) AS zoom FROM b")
 def g17_fit_extent(spark: SparkSession, d: str) -> DataFrame:
-    b = points(spark, d).groupBy((F.col("node") % 3).alias("g")).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    return b.withColumn("zoom", F.round(F.log2(1000 / F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1e-3))), 6))
+    return CL.fit_extent(points(spark, d), F.col("node") % 3)
 
 
 @query(f"WITH {PAPERS} SELECT node FROM papers WHERE node = 100 OR (cited >= 200 AND node % 7 <= 3)")
 def h3_h4_cull(spark: SparkSession, d: str) -> DataFrame:
-    return papers(spark, d).filter("node = 100 or cited >= 200 and node % 7 <= 3").select("node")
+    return CL.cull(papers(spark, d), 100, F.col("cited"), 200, F.col("node") % 7, 3.5).select("node")
 
 
 @query(f"WITH {PAPERS}, vis AS (SELECT node, (node % 32) + 32 AS leaf FROM papers WHERE topic = '2-HIGH'), chain AS (SELECT node, leaf >> k AS cell, 5 - k AS level FROM vis, range(6) r(k) WHERE leaf >> k > 0), v AS (SELECT cell, level, count(*) AS v FROM chain GROUP BY 1, 2 HAVING count(*) >= 2), n AS (SELECT count(*) AS n FROM vis) SELECT cell, level::INT AS level, v::BIGINT AS votes FROM v, n QUALIFY v >= greatest(2, 0.05 * n) OR row_number() OVER (PARTITION BY level ORDER BY v DESC, cell) <= 14")
 def h6_relevant_labels(spark: SparkSession, d: str) -> DataFrame:
     """Every visible paper votes for its region and all above it; a region's parent is half its number here."""
-    vis = papers(spark, d).filter("topic = '2-HIGH'").groupBy((F.col("node") % 32 + 32).alias("leaf")).agg(F.count("*").alias("c"))
-    chain = vis.select("leaf", "c", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k")).select(F.expr("shiftright(leaf, k)").alias("cell"), (5 - F.col("k")).alias("level"), "c")
-    v = chain.groupBy("cell", "level").agg(F.sum("c").alias("votes")).filter("votes >= 2").crossJoin(F.broadcast(vis.agg(F.sum("c").alias("n"))))  # one row
-    r = v.withColumn("r", F.row_number().over(Window.partitionBy("level").orderBy(F.desc("votes"), "cell")))
-    return r.filter((F.col("votes") >= F.greatest(F.lit(2), 0.05 * F.col("n"))) | (F.col("r") <= 14)).select("cell", "level", "votes")
+    vis = papers(spark, d).filter("topic = '2-HIGH'").select((F.col("node") % 32 + 32).alias("leaf"))
+    up = spark.range(32, 64).select(F.col("id").alias("leaf"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
+    return CL.relevant_labels(vis, up.select("leaf", F.expr("shiftright(leaf, k)").alias("cell"), (5 - F.col("k")).alias("level")))
 
 
 @query("WITH RECURSIVE t AS (SELECT r_regionkey::BIGINT AS id, r_name AS path, 0 AS depth FROM region UNION ALL SELECT 100 + n_nationkey, t.path || '/' || n_name, depth + 1 FROM nation JOIN t ON t.id = n_regionkey AND depth = 0) SELECT id, path, depth FROM t")
 def h12_org_tree(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "region").select(F.col("r_regionkey").cast("bigint").alias("id"), F.col("r_name").alias("path"), F.lit(0).alias("depth"))
-    n = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # 5 rows
-    return r.unionByName(n.select((F.col("n_nationkey") + 100).cast("bigint").alias("id"), F.concat_ws("/", "r_name", "n_name").alias("path"), F.lit(1).alias("depth")))
+    r = table(spark, d, "region").select(F.col("r_regionkey").cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("parent"), F.col("r_name").alias("name"))
+    n = table(spark, d, "nation").select((F.col("n_nationkey") + 100).cast("bigint").alias("id"), F.col("n_regionkey").cast("bigint").alias("parent"), F.col("n_name").alias("name"))
+    return O.org_tree(r.unionByName(n)).select("id", "path", "depth")
 
 
 @query(r"""WITH d AS (SELECT doc_id, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', ' ', 'g')) AS t FROM documents), f AS (SELECT t, min(doc_id) AS node FROM d WHERE t <> '' GROUP BY 1),
@@ -139,26 +130,19 @@ def c16_m31_reading_list(spark: SparkSession, d: str) -> DataFrame:
     return found.select("key", F.coalesce("by_id", "by_title").alias("node")).filter("node is not null")
 
 
-@query(f"""WITH {EDGES}, e AS (SELECT * FROM edges WHERE src < 500 AND dst < 500), deg AS (SELECT dst AS p, count(*) AS n FROM e GROUP BY 1), dego AS (SELECT src AS p, count(*) AS n FROM e GROUP BY 1),
-refs AS (SELECT x.src AS a, y.src AS b, count(*) AS n FROM e x JOIN e y ON x.dst = y.dst AND x.src <> y.src GROUP BY 1, 2), citers AS (SELECT x.dst AS a, y.dst AS b, count(*) AS n FROM e x JOIN e y ON x.src = y.src AND x.dst <> y.dst GROUP BY 1, 2),
-s AS (SELECT coalesce(r.a, c.a) AS a, coalesce(r.b, c.b) AS b, coalesce(r.n, 0) AS r, coalesce(c.n, 0) AS c FROM refs r FULL JOIN citers c ON r.a = c.a AND r.b = c.b), dir AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
-pairs AS (SELECT a, b FROM s UNION SELECT a, b FROM dir), cs AS (SELECT p.a, p.b, CASE WHEN d.a IS NOT NULL THEN 1.0 ELSE 0.5 * (CASE WHEN coalesce(s.r, 0) > 0 THEN s.r::DOUBLE / (coalesce(oa.n, 0) + coalesce(ob.n, 0) - s.r) ELSE 0 END + CASE WHEN coalesce(s.c, 0) > 0 THEN s.c::DOUBLE / (coalesce(ia.n, 0) + coalesce(ib.n, 0) - s.c) ELSE 0 END) END AS score
-FROM pairs p LEFT JOIN s ON s.a = p.a AND s.b = p.b LEFT JOIN dir d ON d.a = p.a AND d.b = p.b LEFT JOIN dego oa ON oa.p = p.a LEFT JOIN dego ob ON ob.p = p.b LEFT JOIN deg ia ON ia.p = p.a LEFT JOIN deg ib ON ib.p = p.b),
-f AS (SELECT a, b, round(0.6 * least(1.0, greatest(0.0, {_DOT.format('x.embedding', 'y.embedding')})) + (1 - 0.6) * score, 6) AS score FROM cs JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b)
-SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b)::INT AS rank FROM f QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5""")
+@query(f"""WITH {EDGES}, deg AS (SELECT dst AS p, count(*) AS n FROM edges GROUP BY 1), dego AS (SELECT src AS p, count(*) AS n FROM edges GROUP BY 1), dir AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
+k AS (SELECT e.* FROM edges e JOIN deg ON e.dst = deg.p WHERE deg.n <= {HUB_DEGREE_LIMIT}), ko AS (SELECT e.* FROM edges e JOIN dego ON e.src = dego.p WHERE dego.n <= {HUB_DEGREE_LIMIT}),
+near AS (SELECT a, b, sum(n) AS overlap FROM (SELECT x.src AS a, y.src AS b, count(*) AS n FROM k x JOIN k y ON x.dst = y.dst AND x.src <> y.src GROUP BY 1, 2 UNION ALL SELECT x.dst, y.dst, count(*) FROM ko x JOIN ko y ON x.src = y.src AND x.dst <> y.dst GROUP BY 1, 2) GROUP BY 1, 2),
+cand AS (SELECT a, b FROM near QUALIFY row_number() OVER (PARTITION BY a ORDER BY overlap DESC, b) <= 60 UNION SELECT a, b FROM dir), v AS (SELECT vec_id AS node, embedding AS v FROM embeddings),
+text AS (SELECT x.node AS a, y.node AS b FROM v x JOIN v y ON x.node <> y.node QUALIFY row_number() OVER (PARTITION BY x.node ORDER BY round({_DOT.format('x.v', 'y.v')}, 5) DESC, y.node) <= 60),
+pairs AS (SELECT a, b FROM text UNION SELECT a, b FROM cand WHERE a IN (SELECT node FROM v) AND b IN (SELECT node FROM v)),
+r AS (SELECT x.src AS a, y.src AS b, count(*) AS n FROM edges x JOIN edges y ON x.dst = y.dst AND x.src <> y.src GROUP BY 1, 2), c AS (SELECT x.dst AS a, y.dst AS b, count(*) AS n FROM edges x JOIN edges y ON x.src = y.src AND x.dst <> y.dst GROUP BY 1, 2),
+cs AS (SELECT p.a, p.b, CASE WHEN dir.a IS NOT NULL THEN 1.0 ELSE 0.5 * (CASE WHEN coalesce(r.n, 0) > 0 THEN r.n::DOUBLE / (coalesce(oa.n, 0) + coalesce(ob.n, 0) - r.n) ELSE 0 END + CASE WHEN coalesce(c.n, 0) > 0 THEN c.n::DOUBLE / (coalesce(ia.n, 0) + coalesce(ib.n, 0) - c.n) ELSE 0 END) END AS score
+FROM pairs p LEFT JOIN r ON r.a = p.a AND r.b = p.b LEFT JOIN c ON c.a = p.a AND c.b = p.b LEFT JOIN dir ON dir.a = p.a AND dir.b = p.b LEFT JOIN dego oa ON oa.p = p.a LEFT JOIN dego ob ON ob.p = p.b LEFT JOIN deg ia ON ia.p = p.a LEFT JOIN deg ib ON ib.p = p.b),
+f AS (SELECT a, b, round(0.6 * least(1.0, greatest(0.0, {_DOT.format('x.v', 'y.v')})) + (1 - 0.6) * score, 6) AS score FROM cs JOIN v x ON x.node = a JOIN v y ON y.node = b),
+m AS (SELECT 'fused' AS mode, * FROM f UNION ALL SELECT 'text', f.* FROM f JOIN text USING (a, b))
+SELECT mode, a, b, score, row_number() OVER (PARTITION BY mode, a ORDER BY score DESC, b)::INT AS rank FROM m QUALIFY row_number() OVER (PARTITION BY mode, a ORDER BY score DESC, b) <= 15""")
 def d5_d6_fused_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d).filter("src < 500 and dst < 500")
-    direct = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(e.select("dst", "src")).distinct()
-    shared = G.shared_neighbours(e)
-    pairs = shared.unionByName(direct.join(shared, ["a", "b"], "left_anti").select("a", "b", F.lit(0).alias("refs"), F.lit(0).alias("citers")))
-    cited = G.citation_scores(e, pairs)
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").alias("v"))
-    out = G.fused_neighbours(cited.select("a", "b").limit(0), cited, v, 0.6, 5)
-    return out.select("a", "b", "score", "rank")
-
-
-@query()
-def d5_d6_fused_neighbours_whole(spark: SparkSession, d: str) -> DataFrame:
     """All nodes: candidates from text and citations together (D5), and from the text list alone (D6); mode says which."""
     e = edges(spark, d)
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").alias("v"))
@@ -171,30 +155,6 @@ def d5_d6_fused_neighbours_whole(spark: SparkSession, d: str) -> DataFrame:
     return d5.unionByName(d6).select("mode", "a", "b", "score", "rank")
 
 
-@query("SELECT true AS partition, true AS sizes")
-def e13_e15_e17_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    """Two levels of splits: every vector has one leaf, leaves lie in their parents, and no child is smaller than the least size unless its parent was not split."""
-    v = table(spark, d, "embeddings").select(F.lit(0).cast("bigint").alias("cell"), F.col("vec_id").alias("node"), F.col("embedding").alias("v"))
-    one = P.split_cells(v, 8, 8)
-    down = one.join(v.select("node", "v"), "node").select((F.col("cell") * 8 + F.col("child")).cast("bigint").alias("cell"), "node", "v")
-    two = P.split_cells(down, 3, 8)
-    sizes = two.groupBy("cell", "child").agg(F.count("*").alias("n")).groupBy("cell").agg(F.min("n").alias("least"), F.count("*").alias("children"))
-    whole = two.agg((F.count("*") == F.count_distinct("node")).alias("one")).crossJoin(v.agg(F.count("*").alias("n"))).crossJoin(two.agg(F.count("*").alias("m")))  # one row each
-    return sizes.agg(F.bool_and((F.col("least") >= 8) | (F.col("children") == 1)).alias("sizes")).crossJoin(whole).select((F.col("one") & (F.col("n") == F.col("m"))).alias("partition"), "sizes")
-
-
-@query("SELECT true AS better")
-def d29_communities(spark: SparkSession, d: str) -> DataFrame:
-    """More of the weight of a nearest-neighbour graph lies inside communities than labels dealt at random would hold."""
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").alias("v"))
-    w = G.undirected(V.exact_neighbours(v, v, 5, 4).select(F.col("node").alias("a"), F.col("nbr").alias("b"), F.greatest("score", F.lit(0.0)).alias("w")))
-    lab = P.communities(w)
-    side = lambda x: lab.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
-    inside = w.join(side("a"), "a").join(side("b"), "b").agg((F.sum(F.when(F.col("la") == F.col("lb"), F.col("w")).otherwise(0)) / F.sum("w")).alias("share"))
-    chance = lab.groupBy("label").agg(F.count("*").alias("n")).agg((F.sum(F.col("n") * F.col("n")) / F.sum("n") / F.sum("n")).alias("chance"))
-    return inside.crossJoin(chance).select((F.col("share") > F.col("chance") + 0.1).alias("better"))  # one row each
-
-
 @query(f"WITH c AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), s AS (SELECT label, i, sum(x) AS s FROM c GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(s * s)) AS n FROM s GROUP BY 1), m AS (SELECT s.label, list(s / n ORDER BY i) AS c FROM s JOIN n USING (label) GROUP BY 1), r AS (SELECT e.label, vec_id AS node, round({_DOT.format('embedding', 'c')}, 5) AS sim FROM embeddings e JOIN m USING (label)) SELECT label, node FROM r QUALIFY row_number() OVER (PARTITION BY label ORDER BY sim DESC, node) <= 12")
 def e21_representatives(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("node"), F.col("embedding").alias("v"))
@@ -206,10 +166,7 @@ def e21_representatives(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, refused, CASE WHEN refused THEN NULL ELSE len(cited) END::INT AS cited, CASE WHEN refused THEN NULL ELSE len(list_filter(cited, lambda x: x BETWEEN 1 AND 8)) END::INT AS valid, CASE WHEN refused THEN NULL ELSE 1 END::INT AS uncited_sentences FROM c""")
 def e23_refusal_and_citations(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "documents").select("doc_id", (F.col("doc_id") * 37 % 100 / 100).alias("top1"), F.concat(F.lit("First claim ["), F.col("doc_id") % 9, F.lit("]. Second claim. Third [2] and ["), F.col("doc_id") % 13, F.lit("].")).alias("answer"))
-    cited = F.array_distinct(F.transform(F.regexp_extract_all("answer", F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int")))
-    sentences = F.filter(F.split("answer", r"(?<=[.!?])\s+"), lambda s: (F.trim(s) != "") & ~F.contains(s, F.lit("[")))
-    refused = F.col("top1") < 0.78
-    return a.select("doc_id", refused.alias("refused"), F.when(~refused, F.size(cited)).alias("cited"), F.when(~refused, F.size(F.filter(cited, lambda x: x.between(1, 8)))).alias("valid"), F.when(~refused, F.size(sentences)).alias("uncited_sentences"))
+    return A.citations(A.gate(a), 8).select("doc_id", "refused", "cited", "valid", "uncited_sentences")
 
 
 _HELD = "o_orderkey % 10 = 3"
@@ -220,100 +177,157 @@ n AS (SELECT g.gap, a.node, a.inst AS truth, arg_min(b.inst, abs(a.day - b.day)
 SELECT gap::INT AS gap, count(*)::BIGINT AS scored, count(pred)::BIGINT AS predicted, count(*) FILTER (WHERE pred = truth)::BIGINT AS tp, count(*) FILTER (WHERE pred <> truth)::BIGINT AS fp, count(*) FILTER (WHERE pred IS DISTINCT FROM truth)::BIGINT AS fn FROM n GROUP BY 1""")
 def e26_carry_over(spark: SparkSession, d: str) -> DataFrame:
     """How well the institution of an author's paper nearest in time foretells a held-out paper's."""
-    x = table(spark, d, "orders").select(F.col("o_custkey").alias("author"), F.col("o_orderkey").alias("node"), F.unix_date(F.to_date("o_orderdate")).cast("bigint").alias("day"), F.col("o_orderpriority").alias("inst"))
-    held = x.filter("node % 10 = 3")
-    other = x.select("author", F.col("node").alias("o"), F.col("day").alias("od"), F.col("inst").alias("pred"))
-    near = held.join(other, "author").filter("node <> o").groupBy("node").agg(F.min(F.struct(F.abs(F.col("day") - F.col("od")).alias("gap"), "o", "pred")).alias("n"))
-    gaps = F.explode(F.array(F.lit(365), F.lit(730), F.lit(100000))).alias("gap")
-    p = held.join(near, "node", "left").select("inst", "n", gaps).withColumn("pred", F.when(F.col("n.gap") <= F.col("gap"), F.col("n.pred")))
-    return p.groupBy("gap").agg(F.count("*").alias("scored"), F.count("pred").alias("predicted"), F.count_if(F.col("pred") == F.col("inst")).alias("tp"), F.count_if(F.col("pred") != F.col("inst")).alias("fp"), F.count_if(~F.col("pred").eqNullSafe(F.col("inst"))).alias("fn"))
+    x = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("node"), F.unix_date(F.to_date("o_orderdate")).cast("bigint").alias("day"), F.col("o_orderpriority").alias("value"))
+    return ST.carry_over(x, F.col("node") % 10 == 3, [365, 730, 100000])
 
 
 @query(f"WITH {AUTHORSHIP}, roster AS (SELECT s_nationkey AS org, node, CASE WHEN s_suppkey % 2 = 0 THEN 'roster' ELSE 'affiliation' END AS method FROM authorship JOIN supplier ON s_suppkey = author WHERE s_nationkey < 6) SELECT org, count(DISTINCT node)::BIGINT AS papers, list_aggregate(list_sort(list(DISTINCT method)), 'string_agg', ',') AS methods FROM roster GROUP BY 1 UNION ALL SELECT 100 + s_nationkey, count(DISTINCT node), 'affiliation_name' FROM authorship JOIN supplier ON s_suppkey = author WHERE s_nationkey BETWEEN 6 AND 9 GROUP BY 1")
 def f5_f6_m4_roster_orgs(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("author"), F.col("s_nationkey").alias("org"), F.when(F.col("s_suppkey") % 2 == 0, "roster").otherwise("affiliation").alias("method"))
     a = authorship(spark, d).join(s, "author")
-    roster = a.filter("org < 6").groupBy("org").agg(F.count_distinct("node").alias("papers"), F.array_join(F.array_sort(F.collect_set("method")), ",").alias("methods"))
-    named = a.filter("org between 6 and 9").groupBy((F.col("org") + 100).alias("org")).agg(F.count_distinct("node").alias("papers"), F.lit("affiliation_name").alias("methods"))
-    return roster.unionByName(named)
-
-
-@query("WITH w AS (SELECT doc_id, source, regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z]+') AS w FROM documents), g AS (SELECT DISTINCT source, doc_id, n, array_to_string(w[i + 1 : i + n], ' ') AS phrase FROM w, range(2, 4) t(n), range(0, 60) r(i) WHERE i + n <= len(w)), s AS (SELECT source, phrase, n, count(*) AS df FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 2) SELECT source, phrase, df::BIGINT AS df FROM s QUALIFY row_number() OVER (PARTITION BY source ORDER BY df DESC, n DESC, phrase) = 1")
-def i18_shared_phrase(spark: SparkSession, d: str) -> DataFrame:
-    """The phrase of two or three words that most titles of a source share; first 60 places of a title, which is short."""
-    w = titles(spark, d).select("doc_id", "source", F.regexp_extract_all(F.lower("title"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
-    size = lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.lit(60)), lambda i: i + n - 1 <= F.size("w")), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("w", i, F.lit(n)), " ").alias("phrase")))
-    g = w.select("doc_id", "source", F.explode(F.array_distinct(F.concat(size(2), size(3)))).alias("g")).groupBy("source", "g.phrase", "g.n").agg(F.count("*").alias("df")).filter("df >= 2")
-    return top_per(g, ["source"], [F.desc("df"), F.desc("n"), F.col("phrase")], 1).select("source", "phrase", "df")
-
-
-@query("WITH p AS (SELECT p_partkey AS id, list_distinct(string_split(lower(p_type), ' ')) AS t, p_type FROM part WHERE p_partkey < 60) SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id < b.id WHERE a.p_type = b.p_type OR len(list_intersect(a.t, b.t)) >= 0.9 * least(len(a.t), len(b.t))")
-def i16_i17_redundant_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Labels that share a token are compared; 60 labels here, so that the pairs of a token are few."""
-    p = table(spark, d, "part").filter("p_partkey < 60").select(F.col("p_partkey").alias("id"), F.array_distinct(F.split(F.lower("p_type"), " ")).alias("t"))
-    side = lambda x: p.select(F.col("id").alias(x), F.col("t").alias(f"t{x}"), F.explode("t").alias("token"))
-    near = side("a").join(side("b"), "token").filter("a < b").filter(F.size(F.array_intersect("ta", "tb")) >= 0.9 * F.least(F.size("ta"), F.size("tb")))
-    return near.select("a", "b").distinct()
-
-
-@query()
-def i18_shared_phrase_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The phrase of two to six words that most titles of a source share; all places of a title, of any length."""
-    w = titles(spark, d).select("doc_id", "source", F.regexp_extract_all(F.lower("title"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
-    size = lambda n: F.when(F.size("w") >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " ")))).otherwise(F.array().cast("array<string>"))
-    each = w.withColumn("n", F.explode(F.array(*map(F.lit, range(2, 7))))).repartition(F.xxhash64("doc_id", "n"))
-    phrases = F.coalesce(*[F.when(F.col("n") == n, size(n)) for n in range(2, 7)])
-    g = each.select("source", "n", F.explode(phrases).alias("phrase")).groupBy("source", "phrase", "n").agg(F.count("*").alias("df")).filter("df >= 2")
-    best = g.groupBy("source").agg(F.min(F.struct((-F.col("df")).alias("d"), (-F.col("n")).alias("m"), "phrase")).alias("best"))
-    return best.select("source", F.col("best.phrase").alias("phrase"), (-F.col("best.d")).alias("df"))
-
-
-@query()
-def i16_i17_redundant_labels_whole(spark: SparkSession, d: str) -> DataFrame:
-    """All labels. Distinct token sets are compared: the smaller one's rarest tokens, one of which a redundant pair must share, meet all of the other's."""
-    p = staged(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_sort(F.array_distinct(F.split(F.lower("p_type"), " "))).alias("t")).filter("t is not null"), "labels")
-    sets = staged(p.select("t").distinct(), "label-sets")
-    each = sets.select("t", F.explode("t").alias("token"))
-    order = each.join(each.groupBy("token").agg(F.count("*").alias("n")), "token").groupBy("t").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("r"))
-    need = F.ceil(F.size("t") * 9 / 10).cast("int")  # of the smaller set's tokens
-    rare = order.select(F.col("t").alias("ta"), F.explode(F.slice("r", F.lit(1), F.size("t") - need + 1)).alias("token"))
-    near = rare.join(each.withColumnRenamed("t", "tb"), "token").filter("size(ta) <= size(tb)").select("ta", "tb").distinct().filter(10 * F.size(F.array_intersect("ta", "tb")) >= 9 * F.size("ta"))
-    side = lambda x: p.select(F.col("id").alias(x), F.col("t").alias(f"t{x}"))
-    met = side("a").join(near, "ta").join(side("b"), "tb").filter("a <> b")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    keys = lambda lo, hi, add: spark.range(lo, hi + 1).select((F.col("id") + add).cast("int").alias("key"))
+    claims = a.filter("org < 6").select("org", "node", "method")
+    roster = O.roster_orgs(keys(0, -1, 0), claims.select(F.col("org").alias("key")).distinct(), claims)
+    named = O.named_orgs(roster.select("key"), keys(6, 9, 100), a.filter("org between 6 and 9").select((F.col("org") + 100).alias("org"), "node"))
+    return roster.unionByName(named).select(F.col("key").alias("org"), "papers", F.array_join("methods", ",").alias("methods"))
 
 
 @query("SELECT c_name AS name, min(c_custkey) AS first_id FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1")
 def m33_one_per_person(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").filter("c_custkey % 3 = 0").groupBy(F.col("c_name").alias("name")).agg(F.min("c_custkey").alias("first_id"))
+    return O.one_per_person(table(spark, d, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))
 
 
 @query(f"WITH {EDGES}, tier AS (SELECT src, dst FROM edges WHERE src % 4 = 0), shard AS (SELECT src, dst FROM edges WHERE src // 2048 = 0), complete AS (SELECT DISTINCT src FROM shard) SELECT src, dst FROM shard UNION ALL SELECT src, dst FROM tier WHERE src NOT IN (SELECT src FROM complete)")
 def m20_m21_shard_over_tier(spark: SparkSession, d: str) -> DataFrame:
     """A node whose shard is loaded is complete: the shard's edges take the place of the tier's."""
     e = edges(spark, d)
-    tier, shard = e.filter("src % 4 = 0"), e.filter("src < 2048")
-    return shard.unionByName(tier.join(shard.select("src").distinct(), "src", "left_anti"))
+    return L.shard_over_tier(e.filter("src % 4 = 0"), e.filter("src < 2048"))
 
 
 @query("SELECT label AS node_label, count(*)::BIGINT AS n, min(vec_id) AS lo FROM embeddings WHERE vec_id // 64 IN (0, 3, 5) GROUP BY 1")
 def m22_position_shards(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "embeddings").filter(F.floor(F.col("vec_id") / 64).isin(0, 3, 5))
-    return v.groupBy(F.col("label").alias("node_label")).agg(F.count("*").alias("n"), F.min("vec_id").alias("lo"))
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), "label")
+    near = L.position_shards(v, spark.createDataFrame([(1,), (200,), (321,)], "node bigint"), 64)
+    return near.groupBy(F.col("label").alias("node_label")).agg(F.count("*").alias("n"), F.min("node").alias("lo"))
 
 
 @query(f"WITH k AS (SELECT a.vec_id AS node, b.vec_id AS nbr, round({_DOT.format('a.embedding', 'b.embedding')}, 5) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY s DESC, nbr) AS k FROM k) SELECT node, string_agg(nbr::VARCHAR, ',' ORDER BY k) AS neighbours, count(*)::INT AS n FROM r WHERE k <= 6 GROUP BY 1")
 def m5_m29_neighbour_table(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("node"), F.col("embedding").alias("v"))
-    pairs = v.join(v.select("label", F.col("node").alias("nbr"), F.col("v").alias("w")), "label").filter("node <> nbr").select("node", "nbr", F.round(dot(F.col("v"), F.col("w")), 5).alias("s"))
-    k = top_per(pairs, ["node"], [F.desc("s"), F.col("nbr")], 6).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("rank", "nbr"))).alias("a"))
-    return k.select("node", F.array_join(F.transform("a", lambda x: x["nbr"]), ",").alias("neighbours"), F.size("a").alias("n"))
+    pairs = v.join(v.select("label", F.col("node").alias("nbr"), F.col("v").alias("w")), "label").filter("node <> nbr").select("node", "nbr", F.round(dot(F.col("v"), F.col("w")), 5).alias("score"))
+    return SH.neighbour_table(pairs, 6).select("node", F.array_join("neighbours", ",").alias("neighbours"), F.size("neighbours").alias("n"))
 
 
 @query("SELECT l_orderkey AS node, string_agg(author_id::VARCHAR, ',' ORDER BY k) AS authors FROM (SELECT l_orderkey, l_suppkey AS author_id, min(l_linenumber * 1000000 + l_suppkey) AS k FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 5 > 0) GROUP BY 1, 2) GROUP BY 1")
 def k9_m8_author_ids(spark: SparkSession, d: str) -> DataFrame:
     """Ordered authors of a paper, first place of each; unknown ones dropped."""
-    known = table(spark, d, "supplier").filter("s_suppkey % 5 > 0").select(F.col("s_suppkey").alias("author_id"))
-    a = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("node"), F.col("l_suppkey").alias("author_id"), (F.col("l_linenumber") * 1000000 + F.col("l_suppkey")).alias("k"))
-    first = a.join(known, "author_id", "left_semi").groupBy("node", "author_id").agg(F.min("k").alias("k"))
-    return first.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("k", "author_id"))).alias("x")).select("node", F.array_join(F.transform("x", lambda x: x["author_id"]), ",").alias("authors"))
+    known = table(spark, d, "supplier").filter("s_suppkey % 5 > 0").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("local"))
+    lists = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("node"), F.col("l_suppkey").alias("id"), (F.col("l_linenumber") * 1000000 + F.col("l_suppkey")).alias("position"))
+    return R.ordered_known(lists, known).select("node", F.array_join("ids", ",").alias("authors"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, source, n_chars, regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z0-9][a-z0-9\-]*') AS w FROM documents WHERE text NOT LIKE '%:%' AND text NOT LIKE '%=%' AND text NOT LIKE '%<%' AND text NOT LIKE '%&%' AND text NOT LIKE '%www.%'),
+g AS (SELECT DISTINCT source, doc_id, n_chars, n, array_to_string(w[i + 1 : i + n], ' ') AS phrase, len(list_distinct(w[i + 1 : i + n])) AS different FROM w, range(2, 7) t(n), LATERAL (SELECT unnest(range(0, greatest(len(w) - n + 1, 0))) AS i) r),
+s AS (SELECT source, phrase, n, count(*) AS df, sum(n_chars) AS cites FROM g WHERE different = n GROUP BY 1, 2, 3), z AS (SELECT source, count(*) AS titles FROM w GROUP BY 1)
+SELECT source, phrase, df::BIGINT AS df FROM s JOIN z USING (source) WHERE df >= 2 OR titles = 1 QUALIFY row_number() OVER (PARTITION BY source ORDER BY df DESC, n DESC, cites DESC, phrase) = 1""")
+def i18_shared_phrase(spark: SparkSession, d: str) -> DataFrame:
+    """The phrase of two to six words that most titles of a source share; all places of a title, of any length. Texts with signs that markup has are left out, as SQL cleans none."""
+    plain = table(spark, d, "documents").filter("not (contains(text, ':') or contains(text, '=') or contains(text, '<') or contains(text, '&') or contains(text, 'www.'))")
+    t = plain.select(F.col("source").alias("set"), F.col("doc_id").alias("node"), F.substring_index("text", "\n", 1).alias("title"), F.col("n_chars").alias("cited"))
+    return LB.shared_phrase(t).withColumnRenamed("set", "source")
+
+
+@query("WITH p AS (SELECT p_partkey AS id, list_distinct(regexp_extract_all(lower(p_type), '[a-z0-9]+')) AS t FROM part) SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id < b.id WHERE len(list_intersect(a.t, b.t)) >= 0.9 * least(len(a.t), len(b.t))")
+def i16_i17_redundant_labels(spark: SparkSession, d: str) -> DataFrame:
+    return LB.redundant_pairs(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("text")))
+
+
+@query()
+def e13_e15_e17_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    """Levels of splits by vectors: each node's cell and its parent. A test holds the tree against its rules."""
+    return H.hierarchy(_vectors(spark, d), roots=8, branching=3, depth=3, least=8)
+
+
+@query()
+def e17_graph_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    """Two levels of splits by communities of the neighbour graph."""
+    v = _vectors(spark, d)
+    w = G.undirected(V.exact_neighbours(v, v, 5, 4).select(F.col("node").alias("a"), F.col("nbr").alias("b"), F.greatest("score", F.lit(0.0)).alias("w")))
+    return H.hierarchy(v, H.by_graph(w, 2), roots=6, branching=3, depth=2, least=8)
+
+
+@query()
+def e16_fill_to_target(spark: SparkSession, d: str) -> DataFrame:
+    """Labels as cells; each cell's one group is bisected until there are four."""
+    m = table(spark, d, "embeddings").select(F.col("label").cast("bigint").alias("cell"), F.col("vec_id").alias("node"), F.col("embedding").alias("v"))
+    return H.fill_to_target(m, m.select("node", "cell", F.lit(0).alias("child")), 4, 8)
+
+
+@query()
+def d29_communities(spark: SparkSession, d: str) -> DataFrame:
+    """Communities of the neighbour graph, about ten of them. Tests compare their modularity with what is known."""
+    v = _vectors(spark, d)
+    w = G.undirected(V.exact_neighbours(v, v, 5, 4).select(F.col("node").alias("a"), F.col("nbr").alias("b"), F.greatest("score", F.lit(0.0)).alias("w")))
+    return CO.communities_near(w, 10, 4)[0]
+
+
+@query(f"""WITH RECURSIVE {_POINTS}, q AS (SELECT a.node AS a, b.node AS b, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d2 FROM p a JOIN p b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 < 160000), core AS (SELECT a AS node FROM q GROUP BY 1 HAVING count(*) >= 9),
+e AS (SELECT a, b FROM q WHERE a IN (SELECT node FROM core) AND b IN (SELECT node FROM core)), reach AS (SELECT node AS root, node FROM core UNION SELECT root, e.b FROM reach JOIN e ON e.a = reach.node), comp AS (SELECT node, min(root) AS cluster FROM reach GROUP BY 1),
+rim AS (SELECT a AS node, arg_min(b, d2 * 1000000 + b) AS by FROM q WHERE a NOT IN (SELECT node FROM core) AND b IN (SELECT node FROM core) GROUP BY 1), m AS (SELECT * FROM comp UNION ALL SELECT rim.node, cluster FROM rim JOIN comp ON comp.node = rim.by),
+big AS (SELECT cluster FROM m GROUP BY 1 HAVING count(*) >= 20) SELECT p.node, CASE WHEN cluster IN (SELECT cluster FROM big) THEN cluster ELSE -1 END::BIGINT AS cluster FROM p LEFT JOIN m USING (node)""")
+def e11_density_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return H.density_clusters(points(spark, d), 400.0, 9, 20)
+
+
+@query()
+def i19_choose_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Regions over nations; a nation's phrases are its customers' segments, the most frequent first."""
+    seg = table(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
+    best = seg.groupBy("c_nationkey").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "c_mktsegment"))), 1, 4), lambda x: F.lower(x["c_mktsegment"])).alias("phrases"), F.sum("n").alias("n"))
+    none, text = F.lit(None).cast("string").alias("leaf"), F.array().cast("array<string>")
+    n = table(spark, d, "nation").join(best, F.col("n_nationkey") == F.col("c_nationkey")).select((F.col("n_nationkey") + 100).cast("bigint").alias("cell"), F.col("n_regionkey").cast("bigint").alias("parent"), F.lit(1).alias("band"), "n", F.array("n_name").alias("topics"), "phrases", none)
+    r = table(spark, d, "region").select(F.col("r_regionkey").cast("bigint").alias("cell"), F.lit(None).cast("bigint").alias("parent"), F.lit(0).alias("band"), F.lit(1).cast("bigint").alias("n"), F.array("r_name").alias("topics"), text.alias("phrases"), none)
+    return LB.choose_labels(r.unionByName(n), 2)
+
+
+@query()
+def g9_declutter(spark: SparkSession, d: str) -> DataFrame:
+    """Points as labels of one screen. A test holds the choice against one pass in order."""
+    p = points(spark, d)
+    labels = p.select(F.col("node").alias("id"), F.concat(F.lit("label "), F.col("node") % 97).alias("text"), (F.col("x") / 12 + 100).alias("px"), (F.col("y") / 12 + 50).alias("py"), F.lit(12.0).alias("size"), F.col("importance").alias("priority"))
+    return CL.declutter(labels, 1000.0, 900.0).select("id")
+
+
+@query(f"WITH {AUTHORSHIP} SELECT DISTINCT node, s_name AS label FROM authorship JOIN supplier ON s_suppkey = author WHERE s_suppkey % 4 > 0 UNION SELECT node, 'N' || s_nationkey FROM authorship JOIN supplier ON s_suppkey = author WHERE s_nationkey < 5")
+def m3_node_labels(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("author"), "s_nationkey", "s_name")
+    a = authorship(spark, d).join(s, "author")
+    registry = s.select(F.col("author").alias("institution"), F.when(F.col("author") % 4 > 0, F.col("s_name")).alias("display_name"))
+    names = spark.range(5).select(F.col("id").cast("int").alias("key"), F.concat(F.lit("N"), "id").alias("display_name"))
+    return O.node_labels(a.select(F.col("author").alias("institution"), "node"), registry, a.select(F.col("s_nationkey").alias("org"), "node"), names)
+
+
+@query(f"WITH {PAPERS}, {EDGES}, n AS (SELECT dst AS node, count(*) AS n FROM edges GROUP BY 1), g AS (SELECT l_partkey AS node, count(*) AS g FROM lineitem GROUP BY 1), m AS (SELECT p.*, greatest(p.cited // 10, coalesce(g, 0), coalesce(n, 0)) AS most, coalesce(n, 0) AS n FROM papers p LEFT JOIN n USING (node) LEFT JOIN g USING (node)) SELECT node::INT AS node_id, most::INT AS cited_by_count, year::SMALLINT AS year, (field = 'O' OR n >= most) AS citation_count_available, node % 3 = 0 AS references_available, node % 50 = 0 AS has_figure FROM m")
+def k11_papers_index(spark: SparkSession, d: str) -> DataFrame:
+    from skein.plans.tables import citations
+    from skein.sources.sinks import papers_index
+
+    p = papers(spark, d)
+    floor = G.citation_floor(p.select("node", F.floor(F.col("cited") / 10).alias("cited")), citations(spark, d).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("provided")), edges(spark, d))
+    corpus = p.select(F.col("node").alias("node_id"), "year", (F.col("field") == "O").alias("available"))
+    return papers_index(corpus, floor, p.select("node", (F.col("node") % 3 == 0).alias("available")), p.filter("node % 50 = 0").select("node"))
+
+
+@query(f"WITH {_POINTS}, e AS (SELECT vec_id AS node, embedding FROM embeddings) SELECT b.node AS nbr, round({_DOT.format('a.embedding', 'b.embedding')}, 5) AS score, p.x AS nx, p.y AS ny FROM e a JOIN e b ON a.node = 7 AND b.node <> 7 JOIN p ON p.node = b.node ORDER BY score DESC, nbr LIMIT 10")
+def m29_related_links(spark: SparkSession, d: str) -> DataFrame:
+    v = _vectors(spark, d)
+    return L.related_links(7, V.exact_neighbours(v.filter("node = 7"), v, 10), points(spark, d)).select("nbr", "score", "nx", "ny")
+
+
+@query(f"WITH {AUTHORSHIP}, s AS (SELECT s_suppkey, s_nationkey FROM supplier) SELECT 'u' || (a.author % 3) AS unit, s_nationkey AS org, count(DISTINCT a.node)::BIGINT AS papers FROM authorship a JOIN s ON s_suppkey = a.author WHERE a.node IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1, 2")
+def f4_evidence_units(spark: SparkSession, d: str) -> DataFrame:
+    """Units count among their organisation's papers alone, here those of one status."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("author"), F.col("s_nationkey").alias("org"))
+    a = authorship(spark, d).join(s, "author")
+    mine = a.join(papers(spark, d).filter("field = 'F'").select("node"), "node", "left_semi").select("org", "node")
+    return O.evidence_units(a.select("org", F.concat(F.lit("u"), (F.col("author") % 3).cast("int")).alias("unit"), "node"), mine)

@@ -56,6 +56,23 @@ def parse_oai(records: DataFrame, xml: str = "xml") -> DataFrame:
                     m["title"].alias("title"), m["abstract"].alias("abstract"), m["categories"].alias("categories"), F.split(m["categories"], " ")[0].alias("primary"), m["created"].alias("created"))
 
 
+OAI_PAGE = "error struct<_code:string,_VALUE:string>, ListRecords struct<record:array<struct<" + OAI.replace("header struct", "header:struct").replace("metadata struct", "metadata:struct") + ">>,resumptionToken:struct<_VALUE:string,_cursor:string>>"
+
+
+def parse_oai_page(pages: DataFrame, xml: str = "xml") -> tuple[DataFrame, DataFrame]:
+    """(records as parse_oai gives them, and page state: token, error) of a column of whole OAI-PMH answers. An empty token is null: the list has ended.
+
+    An error answer has no records; `noRecordsMatch` is no error.
+    """
+    r = pages.select(F.from_xml(F.col(xml), OAI_PAGE).alias("r"))
+    rows = r.select(F.explode("r.ListRecords.record").alias("r"))
+    m = F.col("r.metadata.arXiv")
+    records = rows.select(F.coalesce(m["id"], F.regexp_extract("r.header.identifier", "([^:]+)$", 1)).alias("id"), F.col("r.header.datestamp").alias("datestamp"), F.coalesce(F.col("r.header._status") == "deleted", F.lit(False)).alias("deleted"),
+                          m["title"].alias("title"), m["abstract"].alias("abstract"), m["categories"].alias("categories"), F.split(m["categories"], " ")[0].alias("primary"), m["created"].alias("created"))
+    code = F.col("r.error._code")
+    return records, r.select(F.nullif(F.trim("r.ListRecords.resumptionToken._VALUE"), F.lit("")).alias("token"), F.when(code != "noRecordsMatch", F.concat_ws(": ", code, "r.error._VALUE")).alias("error"))
+
+
 def write_shards(df: DataFrame, path: str, key: str, size: int) -> None:
     """Parquet in a folder for each range of `size` ids, so that a lookup reads one folder."""
     df.withColumn("shard", F.floor(F.col(key) / size)).repartition("shard").write.partitionBy("shard").option("compression", "zstd").parquet(path)
@@ -70,5 +87,3 @@ def manifest(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
         out = one if out is None else out.unionByName(one)
     return out
 
-
-EXPORT_ITEM = _struct(key=_S, title=_S, DOI=_S, URL=_S, year=DoubleType())

@@ -1,4 +1,4 @@
-"""Queries over whole tables, where the SQL-checked ones of the same operator are subsets."""
+"""Queries held against plain Python statements of their rules."""
 
 import os
 from collections import Counter, defaultdict
@@ -43,7 +43,7 @@ def score(refs, citers, a, b):
 @tables
 def test_fused_neighbours_of_all_nodes(spark):
     refs, citers = neighbours()
-    got = run(spark, "d5_d6_fused_neighbours_whole")
+    got = run(spark, "d5_d6_fused_neighbours")
     v = dict(sql("SELECT vec_id, embedding FROM embeddings"))
     assert {r.a for r in got if r["mode"] == "text"} == set(v) and any(r.a >= 500 for r in got if r["mode"] == "fused") == any(n >= 500 for n in v)
     for r in got[:: max(1, len(got) // 500)]:
@@ -51,25 +51,11 @@ def test_fused_neighbours_of_all_nodes(spark):
         assert abs(r.score - (0.6 * cos + 0.4 * score(refs, citers, r.a, r.b))) < 1e-4
 
 
-@tables
-def test_planar_graph_of_all_points(spark):
-    where = entry.oracle_sql()["d28_planar_graph"].replace(" WHERE node < 500", "")
-    got = run(spark, "d28_planar_graph_whole")
-    assert {(r.a, r.b) for r in got} == {x[:2] for x in sql(where)}
-
-
-@tables
-def test_redundant_labels_of_all_parts(spark):
-    where = entry.oracle_sql()["i16_i17_redundant_labels"].replace(" WHERE p_partkey < 60", "")
-    got = run(spark, "i16_i17_redundant_labels_whole")
-    assert sorted((r.a, r.b) for r in got) == sorted(sql(where))
-
-
 def test_phrases_of_all_places_and_lengths(spark, tmp_path):
     late = " ".join("word" + chr(97 + i % 26) + chr(97 + i // 26) for i in range(200))
     rows = [(1, f"{late} five words in a row", "x"), (2, f"other five words in a row {late[::-1]}", "x"), (3, "alone here", "y"), (4, "alone", "y"), (5, "a b", "z"), (6, "a b", "z")]
     spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r.source, r.phrase, r.df) for r in run(spark, "i18_shared_phrase_whole", str(tmp_path))}
+    got = {(r.source, r.phrase, r.df) for r in run(spark, "i18_shared_phrase", str(tmp_path))}
     want = set()
     for source in "xyz":
         df = Counter()
@@ -85,7 +71,7 @@ def test_phrases_of_all_places_and_lengths(spark, tmp_path):
 @tables
 def test_citation_scores_through_hubs(spark):
     refs, citers = neighbours()
-    got = run(spark, "d2_d3_citation_score_whole")
+    got = run(spark, "d2_d3_citation_score")
     direct = {(a, b) for a in refs for b in refs[a]}
     assert direct | {(b, a) for a, b in direct} <= {(r.a, r.b) for r in got}
     assert all(abs(r.score - score(refs, citers, r.a, r.b)) < 2e-6 for r in got)
