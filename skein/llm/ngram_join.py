@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.components import components
 from skein.llm.store import bound_batches, broadcast_if_small, cut
 from skein.llm.textkit import Words, as_long, chunks, column, mix, release
+from skein.operators.communities import components
 
 _U = np.uint64
 #: Members of a key that are compared at once after the first round.

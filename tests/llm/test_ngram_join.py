@@ -3,7 +3,7 @@ import re
 import string
 
 from skein.llm import ngram_join as J
-from skein.llm.components import components
+from skein.operators.communities import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 A_Z = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
