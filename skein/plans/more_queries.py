@@ -318,7 +318,7 @@ def k11_papers_index(spark: SparkSession, d: str) -> DataFrame:
     return papers_index(corpus, floor, p.select("node", (F.col("node") % 3 == 0).alias("available")), p.filter("node % 50 = 0").select("node"))
 
 
-@query(f"WITH {_POINTS}, e AS (SELECT vec_id AS node, embedding FROM embeddings) SELECT b.node AS nbr, round({_DOT.format('a.embedding', 'b.embedding')}, 5) AS score, p.x AS nx, p.y AS ny FROM e a JOIN e b ON a.node = 7 AND b.node <> 7 JOIN p ON p.node = b.node ORDER BY score DESC, nbr LIMIT 10")
+@query(f"WITH {_POINTS}, e AS (SELECT vec_id AS node, embedding FROM embeddings), k AS (SELECT b.node AS nbr, round({_DOT.format('a.embedding', 'b.embedding')}, 5) AS score FROM e a JOIN e b ON a.node = 7 AND b.node <> 7 ORDER BY score DESC, nbr LIMIT 10) SELECT nbr, score, p.x AS nx, p.y AS ny FROM k JOIN p ON p.node = nbr")
 def m29_related_links(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
     return L.related_links(7, V.exact_neighbours(v.filter("node = 7"), v, 10), points(spark, d)).select("nbr", "score", "nx", "ny")
