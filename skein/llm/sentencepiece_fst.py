@@ -1,14 +1,16 @@
 """SentencePiece encoding and decoding as shortest paths in a weighted transducer.
 
-A model compiles to three machines: the normaliser (blanks to the meta symbol, one added in front), the pieces (one
-arc per piece, from its characters to its id) and the byte fallback (for a character without a piece, the ids of its UTF-8
-bytes). Composed with an input they form a lattice whose nodes are (position, last piece); the tropical-semiring
-shortest path from its start to its end spells the ids. Weights: in a unigram model the negated score of a piece; in a BPE
-model an arc weighs 0 if the merges leave its piece and the one before it apart, and is infinite (absent) otherwise. A
-sequence of pieces is what BPE makes of a text exactly if each neighbouring pair is what BPE makes of that pair, so one path of
-weight 0 remains and it is the model's own result.
-
-No piece spans a place where the characters on both sides never meet inside a piece; the lattice falls apart there, and the paths of
+A model compiles to machines over the tropical semiring (min, +), whose weights are costs and in which no arc is an infinite one:
+
+* `Normaliser`: one state before the text and one inside; it writes the meta symbol first and for each blank, and every other character as it is.
+* `Lexicon`: a tree of the pieces' characters; the arc that completes a piece gives its id and costs the negated score in a unigram model, 0 in a BPE model. A character that no piece
+  consists of has an arc of its own, the byte fallback, to the ids of its UTF-8 bytes (or to the unknown id, at the unknown cost).
+* `Junctions`, of BPE models: its states are pieces; an arc from one to the next costs 0 if the merges leave the two apart as they are, and there is none otherwise. A sequence of pieces is what BPE
+  makes of a text exactly if each neighbouring pair is what BPE makes of that pair, so one path remains and it is the model's own result.
+
+`Transducer` composes them with an input lazily. The nodes of the composition are (place, last piece). Dijkstra's algorithm expands them by cost, and looks an arc's junction up only when the arc is next.
+
+No piece spans a place where the characters on both sides never meet inside a piece; the composition falls apart there, and the paths of
 the parts, words as a rule, are kept in a bounded table.
 """
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 import re
 import string
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +27,97 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from skein.llm.store import bound_batches
+from skein.llm.store import bound_batches, tidy
 from skein.llm.textkit import chunks, column
 
 META = "▁"
-#: Entries of the two tables of paths and of the table of pairs in a Python worker. A full table of paths becomes the older one, from which what is used comes back.
+#: Entries of the two tables of paths and of the table of junctions in a Python worker. A full table of paths becomes the older one, from which what is used comes back.
 PATHS, PAIRS = 200_000, 300_000
+#: No piece is longer.
+LONGEST = 128
+END, NEW = "", object()
+
+
+class Normaliser:
+    """Blanks to the meta symbol, one before a text that has a character; deterministic, so its composition with a text is a string."""
+
+    def __init__(self, dummy: bool):
+        self.first, self.arcs = META if dummy else "", {" ": META}
+
+    def __call__(self, text: str) -> str:
+        for read, written in self.arcs.items():
+            text = text.replace(read, written)
+        return self.first + text if text else ""
+
+
+class Lexicon:
+    """From a place of a normalised text to the places after each piece that begins there."""
+
+    def __init__(self, score: dict[str, float], ids: dict[str, tuple[int, ...]], byte: list[int], unknown: int, cost: float | None):
+        self.ids, self.byte, self.unknown = ids, byte, unknown
+        self.costs = {} if cost is None else {p: -x for p, x in score.items()}
+        self.otherwise = cost or 0.0
+        self.root: dict = {}  # a state: character to state, and END to the piece that is complete there
+        for piece in score:
+            state = self.root
+            for c in piece:
+                state = state.setdefault(c, {})
+            state[END] = piece
+
+    def arcs(self, text: str, at: int) -> list[str]:
+        """Pieces of the arcs from a place, the shortest first: one character at least, by the byte fallback if it is no piece."""
+        first = text[at]
+        state = self.root.get(first)
+        out = [first]
+        if state is not None:
+            for c in text[at + 1 : at + LONGEST]:
+                state = state.get(c)
+                if state is None:
+                    break
+                piece = state.get(END)
+                if piece is not None:
+                    out.append(piece)
+        return out
+
+    def cost(self, piece: str) -> float:
+        return self.costs.get(piece, self.otherwise)
+
+    def spell(self, piece: str) -> tuple[int, ...]:
+        known = self.ids.get(piece)
+        return known if known is not None else tuple([self.byte[b] for b in piece.encode()]) if min(self.byte) >= 0 else (self.unknown,)
+
+
+class Junctions:
+    """Which pieces a BPE model leaves beside each other."""
+
+    def __init__(self, score: dict[str, float]):
+        self.score, self.known, self.size = score, {}, 0
+
+    def merged(self, text: str) -> list[str]:
+        """BPE by its definition: merge the best-scored neighbouring pair, the leftmost of equals, until none is a piece."""
+        s, score = list(text), self.score
+        while True:
+            best, at = None, -1
+            for i in range(len(s) - 1):
+                x = score.get(s[i] + s[i + 1])
+                if x is not None and (best is None or x > best):
+                    best, at = x, i
+            if best is None:
+                return s
+            s[at : at + 2] = [s[at] + s[at + 1]]
+
+    def cost(self, last: str, piece: str) -> float | None:
+        """0, or None for no arc; last is empty at the start."""
+        row = self.known.get(last)
+        if row is None:
+            row = self.known[last] = {}
+        if piece not in row:
+            if self.size >= PAIRS:
+                self.known, self.size = {last: {}}, 0
+                row = self.known[last]
+            self.size += 1
+            row[piece] = 0.0 if self.merged(last + piece) == ([last, piece] if last else [piece]) else None
+        return row[piece]
 
 
 class Transducer:
@@ -41,34 +129,25 @@ class Transducer:
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(model)
         norm = proto.normalizer_spec
+        kinds = {"normal": 1, "unknown": 2, "control": 3, "user": 4, "byte": 6}
         if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError("only models whose normaliser keeps characters and blanks as they are can be compiled")
-        if proto.trainer_spec.model_type not in (1, 2):
-            raise ValueError("only unigram and BPE models can be compiled")
+        if any(len(p.piece) > LONGEST for p in proto.pieces):
+            raise ValueError(f"only models of pieces of up to {LONGEST} characters can be compiled")
+        if proto.trainer_spec.model_type not in (1, 2) or any(p.type == kinds["user"] for p in proto.pieces):
+            raise ValueError("only unigram and BPE models without user-defined pieces can be compiled")
         self.bpe, self.dummy = proto.trainer_spec.model_type == 2, norm.add_dummy_prefix
-        kinds = {"normal": 1, "unknown": 2, "control": 3, "user": 4, "byte": 6}
-        self.score = {p.piece: p.score for p in proto.pieces if p.type in (kinds["normal"], kinds["user"])}
-        self.id = {p.piece: i for i, p in enumerate(proto.pieces) if p.piece in self.score}
-        self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == kinds["unknown"])
-        self.byte = [-1] * 256
+        score = {p.piece: p.score for p in proto.pieces if p.type == kinds["normal"]}
+        unknown, byte = next(i for i, p in enumerate(proto.pieces) if p.type == kinds["unknown"]), [-1] * 256
         for i, p in enumerate(proto.pieces):
             if p.type == kinds["byte"]:
-                self.byte[int(p.piece[1:-1], 16)] = i
-        self.fallback = min(self.byte) >= 0
+                byte[int(p.piece[1:-1], 16)] = i
+        self.normalise = Normaliser(self.dummy)
+        self.lexicon = Lexicon(score, {p.piece: (i,) for i, p in enumerate(proto.pieces) if p.piece in score}, byte, unknown, None if self.bpe else 10 - min(score.values(), default=0))
+        self.junctions = Junctions(score) if self.bpe else None
         #: What each id stands for in decoding; ids of control pieces for nothing.
-        self.spelled = [p.piece.replace(META, " ").encode() if p.piece in self.score else bytes([int(p.piece[1:-1], 16)]) if p.type == kinds["byte"] else " ⁇ ".encode() if p.type == kinds["unknown"] else b"" for p in proto.pieces]
-        self.lengths: dict[str, list[int]] = {}  # of the pieces that end in a character
-        for p in self.score:
-            self.lengths.setdefault(p[-1], []).append(len(p))
-        self.lengths = {c: sorted({*n, 1}, reverse=True) for c, n in self.lengths.items()}
-        # The pieces that can begin where so many characters come, the longest first; 4 characters stand for more.
-        self.begins: dict[str, list[str]] = {p[:n]: [] for p in self.score for n in (1, 2, 3, 4)}
-        for p in self.score:
-            if len(p) > 4:
-                self.begins[p[:4]].append(p)
-        self.begins = {k: [*sorted(longer, key=len, reverse=True), *[k[:n] for n in range(len(k), 0, -1) if n == 1 or k[:n] in self.score]] for k, longer in self.begins.items()}
-        self.unknown_cost = 10 - min(self.score.values(), default=0)
-        inner = {(a, b) for p in self.score for a, b in zip(p, p[1:])}
+        self.spelled = [p.piece.replace(META, " ").encode() if p.piece in score else bytes([int(p.piece[1:-1], 16)]) if p.type == kinds["byte"] else " ⁇ ".encode() if p.type == kinds["unknown"] else b"" for p in proto.pieces]
+        inner = {(a, b) for p in score for a, b in zip(p, p[1:])}
         splits = not any(b == META != a for a, b in inner) and not any("\n" in x for x in inner)
         self.parts = re.compile(f"{META}*[^{META}\n]+|\n|{META}+" if splits else r"(?s:.+)").findall
         # Signs that no piece has beside a letter or digit, nor any other character that is no sign: a part falls apart there too.
@@ -78,88 +157,52 @@ class Transducer:
         self.subparts = re.compile(f"(?<=[^{other}])(?=[{sign}])|(?<=[{sign}])(?=[^{other}])").split if signs and splits else lambda part: [part]
         self._paths: dict[str, tuple[int, ...]] = {}
         self._older: dict[str, tuple[int, ...]] = {}
-        self._pairs: dict[str, dict[str, bool]] = {}
-        self._known = 0
-
-    def normalise(self, text: str) -> str:
-        return (META if self.dummy and text else "") + text.replace(" ", META)
-
-    def merged(self, text: str) -> list[str]:
-        """BPE by its definition: merge the best-scored neighbouring pair, the leftmost of equals, until none is a piece."""
-        s, score = list(text), self.score
-        while True:
-            best, at = None, -1
-            for i in range(len(s) - 1):
-                x = score.get(s[i] + s[i + 1])
-                if x is not None and (best is None or x > best):
-                    best, at = x, i
-            if best is None:
-                return s
-            s[at : at + 2] = [s[at] + s[at + 1]]
-
-    def _meet(self, last: str, piece: str) -> bool:
-        """Whether BPE keeps the two apart as they are; last is empty at the start."""
-        known = self.merged(last + piece) == ([last, piece] if last else [piece])
-        if self._known >= PAIRS:
-            self._pairs.clear()
-            self._known = 0
-        self._known += 1
-        self._pairs.setdefault(last, {})[piece] = known
-        return known
 
     def path(self, part: str) -> tuple[int, ...]:
-        """Ids on the shortest path of a part's lattice."""
-        return self._bpe_path(part) if self.bpe else self._unigram_path(part)
-
-    def _options(self, part: str, at: int) -> list[str]:
-        b = self.begins
-        return b.get(part[at : at + 3]) or b.get(part[at : at + 2]) or b.get(part[at : at + 1]) or [part[at : at + 1]]
-
-    def _bpe_path(self, part: str) -> tuple[int, ...]:
-        """Only one path has the weight 0, so the first one found is the shortest: depth first, the longest piece first, back from dead ends."""
-        begins, pairs, starts, size = self.begins, self._pairs, part.startswith, len(part)
-        at, last, row = 0, "", pairs.get("", {})
-        options = iter(begins.get(part[:4]) or self._options(part, 0))
-        out, left, dead = [], [], set()
-        while at < size:
-            for piece in options:
-                if starts(piece, at):
-                    known = row.get(piece)
-                    if (self._meet(last, piece) if known is None else known) and not (dead and (at, piece) in dead):
-                        left.append((options, last, row))
-                        out.append(piece)
-                        at += len(piece)
-                        last, row = piece, pairs.get(piece, {})
-                        options = iter(begins.get(part[at : at + 4]) or self._options(part, at))
-                        break
-            else:
-                at -= len(last)
-                dead.add((at, last))
-                out.pop()
-                options, last, row = left.pop()
-        ids = self.id
-        try:
-            return tuple([ids[p] for p in out])
-        except KeyError:
-            return tuple([i for p in out for i in self._ids(p)])
-
-    def _unigram_path(self, part: str) -> tuple[int, ...]:
-        best: list[tuple[float, int]] = [(0.0, 0)]  # weight, length of the last piece
-        for j in range(1, len(part) + 1):
-            found = [(best[j - n][0] - self.score[piece], n) for n in self.lengths.get(part[j - 1], ()) if n <= j and (piece := part[j - n : j]) in self.score]
-            if part[j - 1] not in self.score:
-                found.append((best[j - 1][0] + self.unknown_cost, 1))
-            best.append(min(found))
-        j, out = len(part), []
-        while j:
-            out.append(part[j - best[j][1] : j])
-            j -= best[j][1]
-        return tuple(i for p in reversed(out) for i in self._ids(p))
-
-    def _ids(self, piece: str) -> list[int]:
-        if (i := self.id.get(piece)) is not None:
-            return [i]
-        return [self.byte[b] for b in piece.encode()] if self.fallback else [self.unknown]
+        """Ids on the shortest path through the composition with a part of a normalised text."""
+        lexicon, junctions, end = self.lexicon, self.junctions, len(part)
+        settled: dict[tuple[int, str], tuple[int, str, str]] = {}  # node: the node before it, and the piece between
+        if junctions:
+            # All arcs cost 0, so any order of the queue is one by cost; last in, first out goes furthest first.
+            arcs, stack, known = lexicon.arcs, [(lexicon.arcs(part, 0), 0, "", junctions.known.get("") or {})], junctions.known
+            while True:
+                open_, at, last, row = stack[-1]
+                if not open_:
+                    stack.pop()
+                    continue
+                piece = open_.pop()
+                cost = row.get(piece, NEW)
+                if cost is NEW:
+                    cost, known = junctions.cost(last, piece), junctions.known
+                if cost is None:
+                    continue
+                place = at + len(piece)
+                node = (place, piece)
+                if node in settled:
+                    continue
+                settled[node] = (at, last, piece)
+                if place == end:
+                    break
+                stack.append((arcs(part, place), place, piece, known.get(piece) or {}))
+        else:
+            queue = [(lexicon.cost(piece), -len(piece), piece, 0) for piece in lexicon.arcs(part, 0)]
+            heapify(queue)
+            while True:
+                cost, place, piece, at = heappop(queue)
+                node = (-place, "")
+                if node in settled:
+                    continue
+                settled[node] = (at, "", piece)
+                if -place == end:
+                    break
+                for x in lexicon.arcs(part, -place):
+                    heappush(queue, (cost + lexicon.cost(x), place - len(x), x, -place))
+        out: list[tuple[int, ...]] = []
+        while node[0]:
+            at, last, piece = settled[node]
+            out.append(lexicon.spell(piece))
+            node = (at, last)
+        return tuple([i for ids in reversed(out) for i in ids])
 
     def encode(self, text: str | None) -> list[int]:
         paths, out = self._paths, []
@@ -188,6 +231,7 @@ class Transducer:
 
 def _shared(docs: DataFrame, model: str):
     bound_batches(docs.sparkSession)
+    tidy(docs.sparkSession)
     with open(model, "rb") as f:  # on the driver alone
         return docs.sparkSession.sparkContext.broadcast(f.read())
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.llm.textkit import release
 from skein.sources.staging import shared_dir
 from skein.sources.staging import staged as cut
 
-__all__ = ["bound_batches", "broadcast_if_small", "cut", "shared_dir"]
+__all__ = ["bound_batches", "broadcast_if_small", "cut", "shared_dir", "tidy"]
 
 #: Rows that a side may have to be broadcast; rows are a few numbers wide.
 BROADCAST_ROWS = 500_000
@@ -33,3 +36,10 @@ def bound_batches(spark: SparkSession) -> None:
 def _bytes(setting: str | None) -> int:
     digits = "".join(c for c in setting or "" if c.isdigit())
     return int(digits) if setting and setting == digits else 1 << 31
+
+
+def tidy(spark: SparkSession) -> None:
+    """Have the driver let go of the plans, generated classes and Python objects of what has run: an operator of many jobs leaves hundreds of each behind, and a long session adds them up."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+    release()
