@@ -20,8 +20,8 @@ END = "<|end|>"
 def positions(turns: DataFrame) -> DataFrame:
     """turns (conv_id, turn, role, text) with pos: place in the conversation by turn (null first), role and text, from 0.
 
-    A conversation's rows are numbered in spans, whose sizes alone are summed over the whole conversation; no window holds more
-    than a span's rows.
+    A conversation's rows are numbered in spans, whose sizes alone are summed over the whole conversation. A window holds a span's rows: SPAN of them where turn numbers differ, and as
+    many as repeat a number, or have none, where they do not.
     """
     span = F.coalesce(F.floor(F.col("turn") / SPAN), F.lit(-(1 << 60)))
     rows = turns.withColumn("span", span)

@@ -11,6 +11,8 @@ delta at most over all strata. A ratio without a proven cutoff rejects nothing.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,17 +68,30 @@ def ratios() -> dict[str, Column]:
     return {"symbol_ratio": part("n_symbols", "word_chars"), "dup_line_ratio": part("n_dup_lines", "n_lines"), "repeat_ratio": part("n_repeat_words", "n_words"), "word_length": part("word_chars", "n_words")}
 
 
+def log_factorial(x: Column) -> Column:
+    """ln(x!), by Stirling's series of x + 8."""
+    z = x.cast("double") + 9
+    series = (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
+    return series - F.log((x + 1) * (x + 2.0)) - F.log((x + 3) * (x + 4.0)) - F.log((x + 5) * (x + 6.0)) - F.log((x + 7) * (x + 8.0))
+
+
 def binomial_cdf(n: Column, k: Column, p: float) -> Column:
-    """P(Bin(n, p) <= k), summed term by term in logarithms; from the mean upwards, where no test can pass, 1."""
-    log_odds = F.log(F.lit(p / (1 - p)))
+    """P(Bin(n, p) <= k) from the term of k downwards, in logarithms; from the mean upwards, where no test can pass, 1.
+
+    Below the mean each term is a smaller part of the one before; what lies ten standard deviations and fifty terms below k is less than a part in 10 ** 20 and left out, so
+    that a row holds no more than some sqrt(n) terms.
+    """
+    many = F.least(k, F.ceil(10 * F.sqrt(n * (p * (1 - p)))).cast("long") + 50)
+    first = log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * math.log(p) + (n - k) * math.log1p(-p)
 
-    def step(acc: Column, j: Column) -> Column:
-        term = acc["term"] + F.log((n - j + 1) / j) + log_odds
-        return F.struct(term.alias("term"), (F.greatest(acc["total"], term) + F.log1p(F.exp(-F.abs(acc["total"] - term)))).alias("total"))
+    def step(acc: Column, i: Column) -> Column:
+        j = k - i + 1  # from the term of j to that of j - 1
+        term = acc["term"] * (j * (1 - p)) / ((n - j + 1) * p)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
 
-    first = (n * F.log1p(F.lit(-p))).cast("double")
-    total = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1))), F.struct(first.alias("term"), first.alias("total")), step)["total"]
-    return F.when(k >= n * p, F.lit(1.0)).when(k == 0, F.exp(first)).otherwise(F.exp(total))
+    one = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+    share = F.when(many < 1, 1.0).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(many, F.lit(1))), one, step)["total"])
+    return F.when(k >= n * p, F.lit(1.0)).when(k == 0, F.exp(n * math.log1p(-p))).otherwise(F.exp(first + F.log(share)))
 
 
 def thresholds(counted: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
@@ -108,3 +123,21 @@ def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk:
     joined = counted.join(broadcast_if_small(cutoffs, 50_000), F.col(stratum).eqNullSafe(F.col("_s")), "left")
     rejected = F.array_compact(F.array(*[F.when(x > F.col("_c")[r], F.lit(r)) for r, x in ratios().items()]))
     return joined.withColumn("rejected_by", rejected).drop("_s", "_c").withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
+
+
+_SQL_RATIOS = {"symbol_ratio": "n_symbols::DOUBLE / greatest(word_chars, 1)", "dup_line_ratio": "n_dup_lines::DOUBLE / greatest(n_lines, 1)", "repeat_ratio": "n_repeat_words::DOUBLE / greatest(n_words, 1)", "word_length": "word_chars::DOUBLE / greatest(n_words, 1)"}
+_SQL_SCORES = ", ".join(f"{{'rule': '{r}', 'place': {k}, 'score': {x}, 'cutoffs': {GRID[r]}::DOUBLE[]}}" for k, (r, x) in enumerate(_SQL_RATIOS.items()))
+#: DuckDB SQL for apply_rules() by lang, with rejected_by joined by commas.
+ORACLE = rf"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT rid, i, array_to_string(w[i : i + 4], ' ') AS g FROM w, LATERAL (SELECT unnest(range(1, greatest(len(w) - 3, 1))) AS i) u), r AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+c AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM r) GROUP BY 1), l AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM w),
+b AS (SELECT w.rid, doc_id, lang, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words FROM w JOIN l ON l.rid = w.rid LEFT JOIN c ON c.rid = w.rid),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b), x AS (SELECT rid, doc_id, lang, base_failed, unnest([{_SQL_SCORES}]) AS s FROM f),
+good AS (SELECT doc_id FROM labels GROUP BY 1 HAVING max(quality) = 1),
+h AS (SELECT lang, rule, cutoff, count(*) AS n, count(*) FILTER (WHERE score > cutoff) AS k FROM (SELECT lang, s.rule AS rule, s.score AS score, unnest(s.cutoffs) AS cutoff FROM x WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)) GROUP BY 1, 2, 3),
+q AS (SELECT lang, rule, min(cutoff) AS cutoff FROM h WHERE k < n * {RISK / len(GRID)} AND list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK / len(GRID)}) + (n - j) * ln(1 - {RISK / len(GRID)})))) <= {DELTA} / (SELECT count(*) FROM h) GROUP BY 1, 2),
+z AS (SELECT x.rid, string_agg(x.s.rule, ',' ORDER BY x.s.place) AS rejected_by FROM x JOIN q ON q.lang IS NOT DISTINCT FROM x.lang AND q.rule = x.s.rule AND x.s.score > q.cutoff GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by IS NULL AS kept, coalesce(rejected_by, '') AS rejected_by FROM f LEFT JOIN z ON z.rid = f.rid
+"""

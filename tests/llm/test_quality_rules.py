@@ -44,3 +44,41 @@ def test_thresholds_limit_false_rejection(spark):
     assert none == []
     unlabelled = Q.apply_rules(docs, labels.limit(0)).collect()
     assert all(r.kept != r.base_failed for r in unlabelled) and len(unlabelled) == 4000
+
+
+def test_binomial_of_many(spark):
+    n, p = 2_000_000, 0.005
+    for k in (9_300, 9_700, 9_990):
+        top = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+        term = total = 1.0
+        for j in range(k, max(0, k - 20_000), -1):
+            term *= j * (1 - p) / ((n - j + 1) * p)
+            total += term
+        got = spark.range(1).select(Q.binomial_cdf(F.lit(n).cast("long"), F.lit(k).cast("long"), p).alias("p")).first().p
+        assert abs(got / (math.exp(top) * total) - 1) < 1e-5
+
+
+def test_cutoffs_against_brute_force(spark):
+    import random
+
+    r = random.Random(9)
+    rows = [(i, " ".join(r.choice(["alpha", "be#ta", "g&", "delta%|", "epsilon"]) + str(r.randrange(r.choice([3, 4000]))) for _ in range(r.randrange(8, 60))), r.choice(["en", "fr", None])) for i in range(900)]
+    labels = [(i, int(r.random() < 0.8)) for i, _, _ in rows if i % 5]
+    counted = Q.base_counts(spark.createDataFrame(rows, "doc_id long, text string, lang string")).withColumns({k: v for k, v in Q.ratios().items()}).collect()
+    good = {i for i, q in labels if q}
+    m = len({c.lang for c in counted if c.doc_id in good and not c.base_failed}) * sum(map(len, Q.GRID.values()))
+    want = {}
+    for lang in {c.lang for c in counted}:
+        for rule, grid in Q.GRID.items():
+            scores = [c[rule] for c in counted if c.lang == lang and c.doc_id in good and not c.base_failed]
+            n, alpha = len(scores), 0.4 / len(Q.GRID)
+            for cutoff in grid:
+                k = sum(s > cutoff for s in scores)
+                if k < n * alpha and sum(math.comb(n, j) * alpha**j * (1 - alpha) ** (n - j) for j in range(k + 1)) <= 0.2 / m:
+                    want[lang, rule] = cutoff
+                    break
+    out = Q.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int"), risk=0.4, delta=0.2).collect()
+    assert want
+    for c, o in zip(sorted(counted, key=lambda x: x.doc_id), sorted(out, key=lambda x: x.doc_id), strict=True):
+        hit = [rule for rule in Q.GRID if (c.lang, rule) in want and c[rule] > want[c.lang, rule]]
+        assert sorted(o.rejected_by) == sorted(hit) and o.kept == (not c.base_failed and not hit)
