@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline as P
-from skein.llm import mixing
+from skein.llm import mixing, substring_dedup
 from tests.llm.test_ngram_join import brute
 
 DIR = "/root/testdata/sf0.001"
@@ -38,8 +38,16 @@ def test_stages(spark, tmp_path):
         for i in range(len(w) - 49):
             where.setdefault(tuple(x.lower() for x in w[i : i + 50]), set()).add(d)
     shared = set().union(*[v for v in where.values() if len(v) > 1], set())
-    changed = {d for d in texts[2] if texts[3].get(d) != texts[2][d]}
-    assert len(changed - shared) <= 0.05 * len(texts[2])  # changed copies of passages, without 50 equal words in a row
+    changed, spans = {d for d in texts[2] if texts[3].get(d) != texts[2][d]}, {}
+    for r in substring_dedup.report(kept[2]).collect():  # every cut is a passage that another text has, and nothing else goes
+        x, y = words[r.doc_id][r.begin : r.end], words[r.first_doc_id][r.first_begin : r.first_end]
+        gx, gy = ({tuple(t.lower() for t in z[i : i + 5]) for i in range(len(z) - 4)} for z in (x, y))
+        assert min(len(x), len(y)) >= 50 and len(gx & gy) >= 0.8 * len(gx | gy) - 1e-9 and r.doc_id != r.first_doc_id
+        spans.setdefault(r.doc_id, set()).update(range(r.begin, r.end))
+    assert changed == set(spans)
+    for d, gone in spans.items():
+        assert (texts[3].get(d) or "").split() == [x for k, x in enumerate(words[d]) if k not in gone]
+    assert len(shared - changed) <= len(shared) / 2
     again = Counter(x for d, t in texts[3].items() for x in {tuple(x.lower() for x in (t or "").split()[i : i + 60]) for i in range(len((t or "").split()) - 59)})
     assert max(again.values(), default=0) <= 1
     assert all(r.n_chars == len(r.text or "") for r in rows[3])
