@@ -1,317 +1,105 @@
-"""Token ids in compressed files: an adaptive context-mixing range coder over independent blocks.
+"""Token ids in compressed files: frames of whole documents, coded by `token_coder` in independent blocks.
 
-A block is up to BLOCK ids, coded from an empty state and checked by a CRC-32 of its ids. For each id the two ids and the
-one id before it look up what came after them last time (order 2 and order 1), with a count of how often that held. "Is it order 2's id?" is one
-binary decision, "is it order 1's id?" the next; the chance of yes is mixed in the logistic domain from three adaptive estimates by
-weights that are learned as well. An id that neither foretells is spelled by order 0: its bits 12-15 and 8-11 by adaptive frequencies,
-its low byte as it is. All decisions go through one range coder. Integer arithmetic alone drives the coder, so that any
-machine decodes what another one wrote. Blocks do not depend on each other and are coded side by side, one array lane each.
-
-A frame holds the ids of some whole documents: `SKCM`, version, block size, numbers of documents, ids and blocks; per
-document a flag (1: it has an id), doc_id and number of ids; per block length in bytes and CRC; a CRC of all this; the blocks. A
-file is the frames of one range of documents in ascending doc_id order, kept as rows (part, frame, n_ids, data) of a
-Parquet table, so that Spark's commit protocol and any store that it writes to hold for them.
+A frame holds the ids of some whole documents. It is a row of a Parquet table, so that any store and Spark's commit protocol serve: part and frame (its place), version, n_ids, nibbles (of the
+largest id), docs (doc_id and place of the first id of each document), head_sum (a 64-bit hash of all this), body (the blocks, each with its length and the CRC-32 of its ids). A file is the
+frames of one range of documents in ascending doc_id order. Blocks of a frame start anew every token_coder.BLOCK ids and depend on nothing else.
 """
 
 from __future__ import annotations
 
+import os
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.llm import token_coder
 from skein.llm.store import bound_batches, broadcast_if_small
 from skein.llm.textkit import chunks, column
 
-BLOCK = 2048
 #: Ids after which a frame ends at the next document.
-FRAME_IDS = 1 << 20
-SLOTS = 12  # bits of the order-1 and order-2 tables of a block
-MAGIC, VERSION = b"SKCM", 1
-
-_M32, _TOP, _BOT = (1 << 32) - 1, 1 << 24, 1 << 16
-_SQUASH = np.round(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256))).astype(np.int64).clip(1, 4095)
-_STRETCH = np.searchsorted(_SQUASH, np.arange(4096)).astype(np.int64).clip(0, 4094) - 2047
-
-
-class _Coder:
-    """A carry-less range coder in each lane. Its methods take lane indexes and, when encoding, what to code; they return what was coded."""
-
-    def __init__(self, lanes: int, coded: np.ndarray | None):
-        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, _M32, np.int64)
-        self.at, self.decoding = np.zeros(lanes, np.int64), coded is not None
-        self.bytes = coded if coded is not None else np.zeros((lanes, BLOCK * 8 + 16), np.uint8)
-        if self.decoding:
-            self.code = np.zeros(lanes, np.int64)
-            for _ in range(4):
-                self.code = self.code << 8 | self._next(np.arange(lanes))
-
-    def _next(self, i: np.ndarray) -> np.ndarray:
-        b = self.bytes[i, np.minimum(self.at[i], self.bytes.shape[1] - 1)]  # a damaged block may ask for more than there is
-        self.at[i] += 1
-        return b.astype(np.int64)
-
-    def _point(self, i: np.ndarray, total: np.ndarray | int) -> np.ndarray:
-        return np.minimum(((self.code[i] - self.low[i]) & _M32) // (self.range[i] // total), total - 1)
-
-    def _take(self, i: np.ndarray, below: np.ndarray, size: np.ndarray | int, total: np.ndarray | int) -> None:
-        r = self.range[i] // total
-        low, r = (self.low[i] + below * r) & _M32, r * size
-        self.low[i], self.range[i] = low, r
-        k = i
-        while True:
-            done = (low ^ ((low + r) & _M32)) < _TOP
-            done &= low + r <= _M32
-            short = ~done & (r < _BOT)
-            go = done | short
-            if not go.any():
-                return
-            k, low, r = k[go], low[go], np.where(short, -low & (_BOT - 1), r)[go]
-            if self.decoding:
-                self.code[k] = (self.code[k] << 8 | self._next(k)) & _M32
-            else:
-                self.bytes[k, self.at[k]] = low >> 24
-                self.at[k] += 1
-            low, r = (low << 8) & _M32, (r << 8) & _M32
-            self.low[k], self.range[k] = low, r
-
-    def flag(self, i: np.ndarray, chance: np.ndarray, yes: np.ndarray | None) -> np.ndarray:
-        """chance: of yes, in 4096ths."""
-        if self.decoding:
-            yes = self._point(i, 4096) < chance
-        self._take(i, np.where(yes, 0, chance), np.where(yes, chance, 4096 - chance), 4096)
-        return yes
-
-    def symbol(self, i: np.ndarray, counts: np.ndarray, s: np.ndarray | None) -> np.ndarray:
-        """counts: a row of frequencies per lane."""
-        upto = counts.cumsum(1)
-        if self.decoding:
-            s = (upto <= self._point(i, upto[:, -1])[:, None]).sum(1)
-        rows = np.arange(len(i))
-        size = counts[rows, s]
-        self._take(i, upto[rows, s] - size, size, upto[:, -1])
-        return s
-
-    def plain(self, i: np.ndarray, v: np.ndarray | None) -> np.ndarray:
-        if self.decoding:
-            v = self._point(i, 256)
-        self._take(i, v, 1, 256)
-        return v
-
-    def finish(self) -> list[bytes]:
-        for shift in (24, 16, 8, 0):
-            self.bytes[np.arange(len(self.low)), self.at] = (self.low >> shift) & 255
-            self.at += 1
-        return [b[:n].tobytes() for b, n in zip(self.bytes, self.at, strict=True)]
-
-
-class _Mixer:
-    """The chance of one kind of decision, mixed from three adaptive estimates per lane."""
-
-    def __init__(self, lanes: int, sizes: tuple[int, int, int]):
-        self.p = [np.full((lanes, n), 1 << 15, np.int64) for n in sizes]
-        self.w = np.full((lanes, 3), 24_000, np.int64)
-
-    def chance(self, i: np.ndarray, contexts: tuple[np.ndarray, ...]) -> np.ndarray:
-        self.i, self.contexts = i, contexts
-        self.s = np.stack([_STRETCH[p[i, c] >> 4] for p, c in zip(self.p, contexts, strict=True)], 1)
-        self.out = _SQUASH[((self.w[i] * self.s).sum(1) >> 16).clip(-2047, 2047) + 2047]
-        return self.out
-
-    def learn(self, yes: np.ndarray) -> None:
-        to = np.where(yes, 65535, 0)
-        for p, c in zip(self.p, self.contexts, strict=True):
-            now = p[self.i, c]
-            p[self.i, c] = now + ((to - now) >> 4)
-        error = (np.where(yes, 4095, 0) - self.out) * 10
-        self.w[self.i] += (self.s * error[:, None] + 0x8000) >> 16
-
-
-class _Table:
-    """What followed a context last, and how often that held, per lane."""
-
-    def __init__(self, lanes: int):
-        self.id, self.held = np.zeros(lanes << SLOTS, np.int32), np.zeros(lanes << SLOTS, np.int8)
-
-    def look(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        self.at = (np.arange(len(context)) << SLOTS) + ((context * 0x9E3779B1 & _M32) >> (32 - SLOTS))
-        return self.id[self.at].astype(np.int64), self.held[self.at].astype(np.int64)
-
-    def learn(self, ids: np.ndarray, guess: np.ndarray, held: np.ndarray) -> None:
-        right = (guess == ids) & (held > 0)
-        self.held[self.at] = np.where(right, np.minimum(held + 1, 7), np.where(held > 1, held // 2, 1))
-        self.id[self.at] = np.where(right | (held > 1), guess, ids)
-
-
-def _code(coder: _Coder, sizes: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-    """Code blocks of the given sizes (descending), rows of ids, or decode them."""
-    lanes = len(sizes)
-    out = np.zeros((lanes, BLOCK), np.int64)
-    two, one = _Table(lanes), _Table(lanes)
-    mix2, mix1 = _Mixer(lanes, (8, 16, 16)), _Mixer(lanes, (8, 8, 16))
-    high, middle = np.ones((lanes, 16), np.int64), np.ones((lanes * 16, 16), np.int64)
-    past2, past1 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    for t in range(int(sizes[0]) if lanes else 0):
-        n = int(np.searchsorted(-sizes, -t))  # lanes of more than t ids
-        before, last = (out[:n, t - 2] if t > 1 else np.full(n, 70_001)), (out[:n, t - 1] if t else np.full(n, 70_002))
-        g2, h2 = two.look(before * 70_003 + last + 1)
-        g1, h1 = one.look(last + 1)
-        want = ids[:n, t] if ids is not None else None
-        got = np.full(n, -1, np.int64)
+FRAME_IDS = 1 << 19
+VERSION = 2
+_ROW = "part int, frame int, version int, n_ids bigint, nibbles int, docs array<struct<doc_id:bigint,begin:bigint>>"
 
-        def ask(i: np.ndarray, guess: np.ndarray, mixer: _Mixer, contexts: tuple, past: np.ndarray, want=want, got=got) -> None:
-            yes = coder.flag(i, mixer.chance(i, contexts), None if want is None else want[i] == guess[i])
-            mixer.learn(yes)
-            past[i] = (past[i] << 1 | yes) & 15
-            got[i[yes]] = guess[i[yes]]
 
-        if len(i := np.flatnonzero(h2)):
-            ask(i, g2, mix2, (h2[i], h1[i] * 2 + (g1[i] == g2[i]), past2[i]), past2)
-        if len(i := np.flatnonzero((got < 0) & (h1 > 0) & ((h2 == 0) | (g1 != g2)))):
-            ask(i, g1, mix1, (h1[i], h2[i], past1[i]), past1)
-        if len(i := np.flatnonzero(got < 0)):
-            v = None if want is None else want[i]
-            a = coder.symbol(i, high[i], None if v is None else v >> 12)
-            b = coder.symbol(i, middle[i * 16 + a], None if v is None else v >> 8 & 15)
-            c = coder.plain(i, None if v is None else v & 255)
-            for counts, row, s in ((high, i, a), (middle, i * 16 + a, b)):
-                counts[row, s] += 24
-                counts[row] = np.where((counts[row].sum(1) > 4096)[:, None], (counts[row] + 1) >> 1, counts[row])
-            got[i] = a << 12 | b << 8 | c
-        two.learn(got, g2, h2)
-        one.learn(got, g1, h1)
-        out[:n, t] = got
-    return out
+def _head_sum() -> Column:
+    return F.xxhash64("part", "frame", "version", "n_ids", "nibbles", "docs")
 
 
-def encode_ids(ids: np.ndarray) -> list[bytes]:
-    """The blocks of a sequence of ids from 0 to 65535."""
-    if len(ids) and (ids.min() < 0 or ids.max() > 65535):
-        raise ValueError("ids must be in 0..65535")
-    lanes = -(-len(ids) // BLOCK)
-    rows = np.zeros((lanes, BLOCK), np.int64)
-    rows.ravel()[: len(ids)] = ids
-    coder = _Coder(lanes, None)
-    _code(coder, _sizes(len(ids)), rows)
-    return coder.finish()
-
-
-def decode_ids(blocks: list[bytes], n: int) -> np.ndarray:
-    sizes = _sizes(n)
-    if len(sizes) != len(blocks):
-        raise ValueError("number of blocks and ids differ")
-    coded = np.zeros((len(blocks), max(map(len, blocks), default=0) + 8), np.uint8)
-    for row, b in zip(coded, blocks, strict=True):
-        row[: len(b)] = np.frombuffer(b, np.uint8)
-    return _code(_Coder(len(blocks), coded), sizes, None).ravel()[:n]
-
-
-def _sizes(n: int) -> np.ndarray:
-    return np.minimum(BLOCK, n - np.arange(0, n, BLOCK))
-
-
-def write_frame(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    blocks = encode_ids(ids)
-    head = struct.pack("<4sBIIQI", MAGIC, VERSION, BLOCK, len(doc_ids), len(ids), len(blocks))
-    head += b"".join(struct.pack("<BqQ", d is not None, d or 0, n) for d, n in zip(doc_ids, lengths, strict=True))
-    le = ids.astype("<u4")
-    head += b"".join(struct.pack("<II", len(b), zlib.crc32(le[k * BLOCK : (k + 1) * BLOCK].tobytes())) for k, b in enumerate(blocks))
-    return head + struct.pack("<I", zlib.crc32(head)) + b"".join(blocks)
-
-
-def read_frame(data: bytes) -> tuple[list[int | None], list[int], np.ndarray]:
-    """doc_ids, numbers of ids, and all the ids; ValueError if anything is not as it was written."""
-    try:
-        magic, version, block, n_docs, n, n_blocks = struct.unpack_from("<4sBIIQI", data)
-        if (magic, version, block) != (MAGIC, VERSION, BLOCK):
-            raise ValueError("no frame of this version")
-        at = struct.calcsize("<4sBIIQI")
-        docs = [struct.unpack_from("<BqQ", data, at + k * 17) for k in range(n_docs)]
-        at += 17 * n_docs
-        table = [struct.unpack_from("<II", data, at + k * 8) for k in range(n_blocks)]
-        at += 8 * n_blocks
-        if struct.unpack_from("<I", data, at)[0] != zlib.crc32(data[:at]):
-            raise ValueError("damaged frame head")
-    except struct.error as e:
-        raise ValueError("frame cut short") from e
-    ends = np.cumsum([at + 4, *[size for size, _ in table]])
-    ids = decode_ids([data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], n)
-    le = ids.astype("<u4")
-    for k, (_, crc) in enumerate(table):
-        if zlib.crc32(le[k * BLOCK : (k + 1) * BLOCK].tobytes()) != crc:
-            raise ValueError(f"damaged block {k}")
-    return [d if has else None for has, d, _ in docs], [n for _, _, n in docs], ids
+_tokenizers: dict[int, object] = {}
 
 
-_tokenizers: dict[int, object] = {}
+def _tokenizer(spec: str):
+    """One for each file and Python worker. Spark runs as many workers as there are cores, so none starts threads of its own."""
+    from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    key = hash(spec)
+    if key not in _tokenizers:
+        _tokenizers.clear()
+        _tokenizers[key] = Tokenizer.from_str(spec)
+    return _tokenizers[key]
 
-def write_tokens(docs: DataFrame, tokenizer: str, to: str, end_id: int | None = 2) -> None:
-    """Encode the whole texts of docs (doc_id, text) with a tokenizers file, append end_id to each, and write the ids to the folder `to`.
 
-    Null text is empty. Documents lie in ascending order of doc_id, null first, those of one doc_id in order of text. The file at `tokenizer` is read on
-    the driver.
-    """
+def frames(docs: DataFrame, tokenizer: str, end_id: int | None = 2) -> DataFrame:
+    """Rows of frames with packed ids in place of the body, from docs (doc_id, text) that lie as they shall be written."""
     bound_batches(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        key = hash(shared.value)
-        if key not in _tokenizers:
-            _tokenizers[key] = Tokenizer.from_str(shared.value)
-        encode, part, frame = _tokenizers[key].encode_batch_fast, TaskContext.get().partitionId(), 0
-        held: list[tuple[list, list, np.ndarray]] = []
+        encode, part, frame = _tokenizer(shared.value).encode_batch_fast, TaskContext.get().partitionId(), 0
+        end = b"" if end_id is None else struct.pack("<I", end_id)
+        docs_, texts = [], []
 
         def flush() -> pa.RecordBatch:
-            data = write_frame([d for x in held for d in x[0]], [n for x in held for n in x[1]], np.concatenate([x[2] for x in held]))
-            row = [[part], [frame], [sum(len(x[2]) for x in held)], [data]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["part", "frame", "n_ids", "data"])
+            packed = b"".join(texts)
+            ids, ends = np.frombuffer(packed, "<u4"), np.cumsum([0, *[len(t) // 4 for t in texts]])
+            heads = pa.StructArray.from_arrays([pa.array(docs_, pa.int64()), pa.array(ends[:-1])], ["doc_id", "begin"])
+            row = [pa.array([part], pa.int32()), pa.array([frame], pa.int32()), pa.array([VERSION], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([token_coder.nibbles_of(ids)], pa.int32()),
+                   pa.ListArray.from_arrays(pa.array([0, len(docs_)], pa.int32()), heads), pa.array([packed], pa.binary())]
+            return pa.RecordBatch.from_arrays(row, names=["part", "frame", "version", "n_ids", "nibbles", "docs", "ids"])
 
         for batch in chunks(batches):
             for k in range(0, len(batch), 64):
                 some = batch.slice(k, 64)
-                ids = [e.ids for e in encode([t or "" for t in column(some, "text").to_pylist()], add_special_tokens=False)]
-                if end_id is not None:
-                    for x in ids:
-                        x.append(end_id)
-                held.append((column(some, "doc_id").to_pylist(), list(map(len, ids)), np.fromiter((i for x in ids for i in x), np.int64)))
-                if sum(len(x[2]) for x in held) >= FRAME_IDS:
+                docs_ += column(some, "doc_id").to_pylist()
+                texts += [np.array(e.ids, "<u4").tobytes() + end for e in encode([t or "" for t in column(some, "text").to_pylist()], add_special_tokens=False)]
+                if sum(map(len, texts)) >= 4 * FRAME_IDS:
                     yield flush()
-                    held.clear()
-                    frame += 1
-        if held:
+                    docs_, texts, frame = [], [], frame + 1
+        if docs_:
             yield flush()
 
+    return docs.select("doc_id", "text").mapInArrow(run, f"{_ROW}, ids binary")
+
+
+def write_tokens(docs: DataFrame, tokenizer: str, to: str, end_id: int | None = 2) -> None:
+    """Encode the whole texts of docs (doc_id, text) with a tokenizers file, append end_id to each, and write the ids to the folder `to`.
+
+    Null text is empty. Documents lie in ascending order of doc_id, null first, those of one doc_id in order of text. Ids are below token_coder.LIMIT, or ValueError. The file at `tokenizer` is
+    read on the driver.
+    """
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(run, "part int, frame int, n_ids bigint, data binary").write.parquet(to)
+    coded = frames(ordered, tokenizer, end_id).withColumn("body", token_coder.encoded(docs.sparkSession, F.col("ids"), F.col("nibbles"))).drop("ids")
+    coded.withColumn("head_sum", _head_sum()).write.option("compression", "none").parquet(to)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids (packed little-endian 32-bit) of every document in a folder of files."""
-    files = spark.read.schema("part int, frame int, n_ids bigint, data binary").parquet(path)
+    """doc_id, start (ids of all documents before it), n_tokens and ids (packed little-endian 32-bit) of every document in a folder of files. What is not as it was written fails the query."""
+    files = spark.read.schema(f"{_ROW}, body binary, head_sum bigint").parquet(path)
     per = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     parts = per.select("part", F.coalesce(F.sum("n").over(before(Window.orderBy("part"))), F.lit(0)).alias("base"))  # a row a file
     starts = files.select("part", "frame", "n_ids").withColumn("inside", F.coalesce(F.sum("n_ids").over(before(Window.partitionBy("part").orderBy("frame"))), F.lit(0))).join(parts, "part")
     offsets = starts.select("part", "frame", (F.col("base") + F.col("inside")).alias("offset"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(len(batch)):
-                docs, lengths, ids = read_frame(column(batch, "data")[r].as_py())
-                ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-                le = ids.astype("<u4")
-                start = column(batch, "offset")[r].as_py() + ends[:-1]
-                for k in range(0, len(docs), 1024):
-                    part = range(k, min(k + 1024, len(docs)))
-                    yield pa.RecordBatch.from_arrays([pa.array([docs[j] for j in part], pa.int64()), pa.array(start[part.start : part.stop]), pa.array([lengths[j] for j in part], pa.int64()), pa.array([le[ends[j] : ends[j + 1]].tobytes() for j in part], pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
-
-    return files.select("part", "frame", "data").join(broadcast_if_small(offsets), ["part", "frame"]).select("offset", "data").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    ends = F.concat(F.slice(F.transform("docs", lambda x: x["begin"]), 2, F.greatest(F.size("docs") - 1, F.lit(0))), F.array("n_ids"))
+    whole = F.when((F.col("head_sum") == _head_sum()) & (F.col("version") == VERSION), F.arrays_zip("docs", ends.alias("end"))).otherwise(F.raise_error(F.lit("damaged frame head")))
+    frame = files.join(broadcast_if_small(offsets), ["part", "frame"]).select("offset", whole.alias("docs"), token_coder.decoded(spark, F.col("n_ids"), F.col("body"), F.col("nibbles")).alias("ids"))
+    each = frame.select("offset", "ids", F.explode("docs").alias("x")).select("offset", "ids", F.col("x.docs.doc_id").alias("doc_id"), F.col("x.docs.begin").alias("begin"), (F.col("x.end") - F.col("x.docs.begin")).alias("n"))
+    return each.select("doc_id", (F.col("offset") + F.col("begin")).alias("start"), F.col("n").alias("n_tokens"), F.substring("ids", (4 * F.col("begin") + 1).cast("int"), (4 * F.col("n")).cast("int")).alias("ids"))
