@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from skein.llm.store import bound_batches, broadcast_if_small
+from skein.llm.store import bound_batches, broadcast_if_small, tidy
 from skein.llm.textkit import chunks, column, release, utf8
 
 #: The model is fitted on about so many labelled documents at most: in all, and of one language.
@@ -107,6 +107,7 @@ def fit(docs: DataFrame, sample_all: int = SAMPLE_ALL, sample_one: int = SAMPLE_
     about sample_all in all. However often a text is repeated, it is drawn once.
     """
     bound_batches(docs.sparkSession)
+    tidy(docs.sparkSession)
     train = docs.select("text", "lang").filter("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
     n = train.groupBy(F.col("lang").alias("_l")).agg(F.count("*").alias("_n"))
     per = min(sample_one, sample_all // max(1, n.count()) or 1)

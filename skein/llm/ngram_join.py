@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.store import bound_batches, broadcast_if_small, cut
+from skein.llm.store import bound_batches, broadcast_if_small, cut, tidy
 from skein.llm.textkit import Words, as_long, chunks, column, mix, release
 from skein.operators.communities import components
 
@@ -245,6 +245,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     component has no other. Shingles are compared as 64-bit hashes.
     """
     bound_batches(docs.sparkSession)
+    tidy(docs.sparkSession)
     table = cut(sketches(docs, width), "sketches")
     nodes = cut(table.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("c")), "nodes")
     # The texts are read again for their keys, which are many; a set's first document stands for its copies.
@@ -261,6 +262,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     # Twice each row is tried with the closest one of another component, which leaves few components; then with all of them that are left.
     crowd = members.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")  # the first member has met all
     for closest in (True, True, False):
+        tidy(docs.sparkSession)
         more = cut(_open_pairs(members, crowd, comp, nodes, percent, closest), "open-pairs")
         if not more.limit(1).count():
             continue
@@ -287,3 +289,14 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
     once, often = named.filter("n = 1 or id is null"), named.filter("n > 1 and id is not null")
     return kept(once).unionByName(kept(often).dropDuplicates(["doc_id"])) if often.limit(1).count() else kept(once)
+
+
+#: DuckDB SQL for near_duplicates() at three words and 90 percent.
+ORACLE = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 90 * (na.n + nb.n - i)), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS start, doc_id AS node FROM n UNION SELECT start, e.b FROM r JOIN e ON e.a = r.node), c AS (SELECT start, min(node) AS least FROM r GROUP BY 1)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.least, w.doc_id) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.start = w.doc_id
+"""

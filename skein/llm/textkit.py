@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Text bytes worked on at once; one text may be longer and is then worked on alone.
-CHUNK_BYTES = 1 << 20
+#: Text bytes worked on at once; one text may be longer and is then worked on alone. After so many of them, freed memory goes back.
+CHUNK_BYTES, RELEASE_BYTES = 1 << 18, 1 << 25
 
 _U = np.uint64
 WHITE = np.zeros(256, bool)
@@ -36,6 +36,7 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches, cut where more than CHUNK_BYTES of text would come together."""
+    done = 0
     for batch in batches:
         size = pc.fill_null(pc.binary_length(column(batch, text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         part, begin = np.cumsum(size) // CHUNK_BYTES, 0
@@ -43,6 +44,10 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             if end > begin:
                 yield batch.slice(begin, end - begin)
             begin = end
+        done += int(size.sum())
+        if done > RELEASE_BYTES:
+            done = 0
+            release()
     release()
 
 
