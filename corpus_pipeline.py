@@ -19,8 +19,9 @@ from skein.llm.store import shared_dir
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model, fitted on the documents not held out, does not reject."""
     model = language_id.fit(docs.filter(~language_id.held_out(F.col("doc_id"))))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")  # names of docs cannot clash with the operator's
-    return language_id.predict(rows, model, ["row"]).filter("not rejected").select("row.*")
+    names = ["text" if c == "text" else f"_{k}" for k, c in enumerate(docs.columns)]  # so names of docs cannot clash with the operator's
+    kept = language_id.predict(docs.toDF(*names), model, names).filter("not rejected")
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
