@@ -131,7 +131,7 @@ def b15_b16_author_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(F.col("c_custkey").alias("author"), name.alias("name"), T.name_id(F.col("c_name")).alias("name_id"))
 
 
-@query()
+@query("WITH x AS (SELECT p_partkey, list_transform(range(1, length(p_type) + 1), lambda i: ascii(substr(p_type, i, 1))::BIGINT) AS bytes FROM part), c AS (SELECT p_partkey, list_reduce(list_concat([4294967295::BIGINT], bytes), lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, k: xor(x >> 1, 3988292384 * (x % 2)))) AS crc FROM x) SELECT p_partkey, xor(crc, 4294967295) & 2147483647 AS topic_id FROM c")
 def b17_topic_hash(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", T.hash_id(F.col("p_type")).alias("topic_id"))
 
