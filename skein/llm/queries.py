@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +25,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenizer_file(name: str) -> str:
-    """Where the public vocabulary files lie on the driver; executors get their contents from it."""
-    return f"{os.environ.get('SKEIN_TOKENIZERS', '/opt/tokenizers')}/{name}"
+    """Where a public vocabulary file lies on the driver; executors get its contents from it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +70,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_format, op3_language_id, op4_fingerprints, op5_mixing, op6_sentencepiece, op7_ngram_join, op8_quality_rules, op9_token_files, op10_substring_dedup)}
-ORACLES = {"op2_chat_format": chat_format.ORACLE}
+ORACLES = {"op1_url_filters": url_filters.ORACLE, "op2_chat_format": chat_format.ORACLE, "op7_ngram_join": ngram_join.ORACLE, "op8_quality_rules": quality_rules.ORACLE}

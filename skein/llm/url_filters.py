@@ -1,22 +1,25 @@
 """URL filtering by association rules.
 
-A URL is a set of tokens: scheme, host labels, words of the path, query keys; digits read as `#`. The
-token combinations of labelled URLs are mined level by level; a combination blocks if it is seen often enough, if
+A URL is a set of tokens: scheme, host labels, words of the path, query keys; digits read as `#`. FP-growth mines the
+token combinations of bad labelled URLs; each is then counted over all labelled URLs, and it blocks if it is seen often enough, if
 enough of the URLs that have it are bad, and if no part of it blocks already. Rules are matched through an inverted index on each
 rule's rarest token. Lists of allowed and blocked places come first.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.store import broadcast_if_small, cut
 
-#: A rule's least number of URLs and share of bad ones among them.
-SUPPORT, CONFIDENCE = 5, 0.8
+#: A rule's least number of URLs, at least and as a share of the labelled ones, and the share of bad ones among them.
+SUPPORT, SUPPORT_SHARE, CONFIDENCE = 5, 1e-5, 0.8
+#: Tokens of a URL that are mined together. Of a longer URL all choices of SETS groups are, so that any SETS tokens of it meet in one.
+GROUP, SETS = 4, 4
 
 
 @dataclass(frozen=True)
@@ -65,43 +68,61 @@ def tokens(url: str = "url") -> Column:
         typed("p:", F.split(number(F.lower(F.col("path"))), "[/._-]+")), typed("q:", F.transform(query, lambda x: number(F.substring_index(x, "=", 1)))))))
 
 
-def mine(labelled: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def _baskets(bad: DataFrame) -> DataFrame:
+    """items: the tokens of each row (an array, sorted), GROUP * SETS of them at most; of a longer row, every choice of SETS of its groups of GROUP tokens."""
+    whole, long = bad.filter(F.size("items") <= GROUP * SETS), bad.filter(F.size("items") > GROUP * SETS).withColumn("_last", F.ceil(F.size("items") / GROUP).cast("int") - 1)
+    for k in range(SETS):
+        first = F.lit(0) if k == 0 else F.col(f"_g{k - 1}") + 1
+        long = long.withColumn(f"_g{k}", F.explode(F.sequence(first, F.col("_last") - (SETS - 1 - k))))
+    chosen = F.array(*[F.col(f"_g{k}") for k in range(SETS)])
+    return whole.select("items").union(long.select(F.filter("items", lambda x, i: F.array_contains(chosen, F.floor(i / GROUP).cast("int")))))
+
+
+def mine(labelled: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, share: float = SUPPORT_SHARE) -> DataFrame:
     """labelled: tokens, bad (boolean). Rules: items (array), key (the rarest item), confidence, support.
 
-    No labelled URL, or none that is bad: no rule. The result is materialised.
+    All rules of up to SETS tokens are found, and longer ones of URLs of up to GROUP * SETS tokens; the numbers are those of all labelled URLs. Tokens that exactly the same labelled URLs
+    have are mined as one, and a rule of it is given for each of them. No labelled URL, or none that is bad: no rule. The result is materialised.
     """
+    from pyspark.ml.fpm import FPGrowth
+
     spark = labelled.sparkSession
     rows = cut(labelled.select("tokens", "bad").filter(F.size("tokens") > 0).withColumn("id", F.monotonically_increasing_id()), "url-labelled")
-    n = rows.count()
-    empty = spark.createDataFrame([], "items array<string>, key string, confidence double, support long")
-    if not n:
-        return empty
-    each = rows.select("id", "bad", F.explode("tokens").alias("token"))
+    support = max(support, math.ceil(share * rows.count()))
     # A combination that blocks is as frequent among the bad ones as it has to be in all, and so is each token of it.
-    frequent = cut(each.groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("b")).filter(F.col("b") >= confidence * support), "url-tokens")
-    # Combinations grow by one token a level. None goes on that blocks, as only minimal ones are rules, and none that as many URLs have as a part of it,
-    # as the two are then the same URLs. So tokens that always come together make one combination and not all of their subsets.
-    enough = F.col("b") >= confidence * support
+    least = math.ceil(confidence * support)
+    each = rows.select("id", "bad", F.explode("tokens").alias("token"))
+    seen = each.groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("b"), F.sum(F.xxhash64("id").bitwiseAND(F.lit((1 << 30) - 1))).alias("s1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("s2"))
+    tokens_ = cut(seen.filter(F.col("b") >= least).withColumn("one", F.min("token").over(Window.partitionBy("n", "b", "s1", "s2"))), "url-tokens")
     strong = (F.col("n") >= support) & (F.col("b") / F.col("n") >= confidence)
-    counts = frequent.select(F.array("token").alias("items"), "n", "b")
-    held = each.join(broadcast_if_small(frequent.select("token")), "token").select("id", "bad", F.array("token").alias("items"))
+    counts = tokens_.filter("token = one").select(F.array("token").alias("items"), "n", "b")
     rules = counts.filter(strong)
-    while True:
-        alive = cut(counts.filter(enough & ~strong).select("items", "n"), "url-alive")
-        if not alive.limit(1).count():
-            break
-        held = cut(held.join(broadcast_if_small(alive.select("items")), "items", "left_semi"), "url-held")
-        side = held.select("id", "bad", F.slice("items", 1, F.size("items") - 1).alias("prefix"), F.element_at("items", -1).alias("last"))
-        longer = side.withColumnRenamed("last", "x").join(side.select("id", "prefix", F.col("last").alias("y")), ["id", "prefix"]).filter("x < y")
-        held = longer.select("id", "bad", F.concat("prefix", F.array("x", "y")).alias("items"))
-        some = held.groupBy("items").agg(F.count("*").alias("n"), F.count_if("bad").alias("b")).filter(enough)
-        parts = some.withColumn("part", F.explode(F.transform("items", lambda x: F.array_remove("items", x))))
-        whole = parts.join(broadcast_if_small(alive.select(F.col("items").alias("part"), F.col("n").alias("of"))), "part").groupBy("items", "n", "b").agg(F.count("*").alias("known"), F.min("of").alias("least"))
-        counts = cut(whole.filter((F.col("known") == F.size("items")) & (F.col("least") > F.col("n"))).select("items", "n", "b"), "url-counts")
-        rules = rules.unionByName(counts.filter(strong))
-    found = rules.select("items", (F.col("b") / F.col("n")).alias("confidence"), F.col("n").alias("support"))
-    rarest = found.select("*", F.explode("items").alias("token")).join(frequent.select("token", "n"), "token").groupBy("items", "confidence", "support").agg(F.min(F.struct("n", "token"))["token"].alias("key"))
-    return cut(rarest.select("items", "key", "confidence", "support"), "url-rules")
+    alive = cut(counts.filter(~strong), "url-alive")
+    weak = broadcast_if_small(cut(alive.select(F.col("items")[0].alias("token")), "url-weak"))
+    baskets = cut(_baskets(each.filter("bad").join(weak, "token").groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("items")).select("items")), "url-baskets")
+    total = baskets.count()
+    if total:
+        found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total).fit(baskets).freqItemsets
+        found = cut(found.select(F.array_sort("items").alias("items")).filter(F.size("items") > 1), "url-combinations")
+        longest = found.agg(F.max(F.size("items"))).first()[0] or 1
+        rarity = broadcast_if_small(cut(tokens_.select("token", F.col("n").alias("rarity")), "url-rarity"))
+        for size in range(2, longest + 1):
+            # A combination is tried if none of its parts blocks and all are frequent. One that as many URLs have as a part of it is left: the two are the same URLs.
+            parts = found.filter(F.size("items") == size).select("items", F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("part"))
+            tried = parts.join(broadcast_if_small(alive.select(F.col("items").alias("part"), F.col("n").alias("of"))), "part").groupBy("items").agg(F.count("*").alias("known"), F.min("of").alias("of")).filter(F.col("known") == size)
+            keyed = cut(tried.select("items", "of", F.explode("items").alias("token")).join(rarity, "token").groupBy("items", "of").agg(F.min(F.struct("rarity", "token"))["token"].alias("token")), "url-tried")
+            if not keyed.limit(1).count():
+                break
+            had = rows.select("tokens", "bad", F.explode("tokens").alias("token")).join(broadcast_if_small(keyed), "token").filter(F.size(F.array_except("items", "tokens")) == 0)
+            counts = cut(had.groupBy("items", "of").agg(F.count("*").alias("n"), F.count_if("bad").alias("b")).filter((F.col("b") >= least) & (F.col("n") < F.col("of"))).select("items", "n", "b"), "url-counts")
+            rules, alive = rules.unionByName(counts.filter(strong)), counts.filter(~strong)
+    numbered = rules.select((F.col("b") / F.col("n")).alias("confidence"), F.col("n").alias("support"), "items", F.array().cast("array<string>").alias("done"))
+    same = tokens_.select(F.col("one").alias("first"), F.col("token").alias("other"))
+    while numbered.filter(F.size("items") > 0).limit(1).count():  # each token stands for all that the same URLs have
+        step = numbered.filter(F.size("items") > 0).withColumn("first", F.element_at("items", 1)).join(broadcast_if_small(same), "first")
+        numbered = cut(numbered.filter(F.size("items") == 0).unionByName(step.select("confidence", "support", F.slice("items", 2, 1 << 20).alias("items"), F.concat("done", F.array("other")).alias("done"))), "url-spread")
+    keyed = numbered.select(F.array_sort("done").alias("items"), "confidence", "support").withColumn("token", F.explode("items")).join(tokens_.select("token", "n"), "token").groupBy("items", "confidence", "support").agg(F.min(F.struct("n", "token"))["token"].alias("key"))
+    return cut(keyed.select("items", "key", "confidence", "support"), "url-rules")
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -125,3 +146,23 @@ def judge(pages: DataFrame, labels: DataFrame, places: tuple[Place, ...] = PLACE
     best = best.select(F.col("of.page_id").alias("_p"), F.col("of.url").alias("_u"), "pattern")
     joined = urls.join(best, F.col("page_id").eqNullSafe(F.col("_p")) & F.col("url").eqNullSafe(F.col("_u")), "left").withColumn("place", place(F.col("host"), F.col("path"), places))
     return joined.select("page_id", "host", "path", F.col("place.rule").alias("rule"), F.coalesce("place.verdict", F.when(F.col("pattern").isNotNull(), "block"), F.lit("allow")).alias("verdict"), "pattern")
+
+
+_SQL_PLACES = " ".join(f"WHEN (host = '{p.host}' OR ends_with(host, '.{p.host}')) AND starts_with(path, '{p.path}') THEN '{p.name}|{p.verdict}'" for p in sorted(PLACES, key=lambda p: (len(p.name), p.name), reverse=True))
+_SQL_TYPED = "list_transform(list_filter({}, lambda x: x <> ''), lambda x: '{}:' || x)"
+_SQL_NUMBER = "regexp_replace({}, '[0-9]+', '#', 'g')"
+#: DuckDB SQL for judge(): all subsets of the labelled URLs' tokens are counted, which takes URLs of up to some 20 tokens.
+ORACLE = rf"""
+WITH u AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest, lower(coalesce(url, '')) AS low FROM pages),
+h AS (SELECT page_id, url, low, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+t AS (SELECT page_id, url, host, path, CASE {_SQL_PLACES} END AS place, list_sort(list_distinct(list_concat({_SQL_TYPED.format("[regexp_extract(low, '^([a-z]+)://', 1)]", "s")}, {_SQL_TYPED.format("string_split(" + _SQL_NUMBER.format("host") + ", '.')", "h")},
+  {_SQL_TYPED.format("string_split_regex(" + _SQL_NUMBER.format("lower(path)") + ", '[/._-]+')", "p")}, {_SQL_TYPED.format("list_transform(string_split(regexp_extract(low, '[?]([^#]*)', 1), '&'), lambda x: " + _SQL_NUMBER.format("split_part(x, '=', 1)") + ")", "q")}))) AS tokens FROM h),
+y AS (SELECT doc_id AS page_id, max((coalesce(quality = 0, false) OR coalesce(toxic = 1, false))::INT) AS bad FROM labels GROUP BY 1), l AS (SELECT tokens, bad, unnest(range(1, (1 << len(tokens))::BIGINT)) AS m FROM t JOIN y USING (page_id)),
+c AS (SELECT list_filter(tokens, lambda x, i: (m >> (i - 1)) % 2 = 1) AS items, bad FROM l), n AS (SELECT items, count(*) AS n, sum(bad) AS b FROM c GROUP BY 1),
+s AS (SELECT items, b::DOUBLE / n AS confidence, n FROM n WHERE n >= greatest({SUPPORT}, ceil({SUPPORT_SHARE} * (SELECT count(*) FROM t JOIN y USING (page_id) WHERE len(tokens) > 0))) AND b::DOUBLE / n >= {CONFIDENCE}),
+r AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s z WHERE len(z.items) < len(s.items) AND list_has_all(s.items, z.items))),
+p AS (SELECT DISTINCT t.page_id, t.url, array_to_string(r.items, ' ') AS pattern, confidence, n FROM (SELECT DISTINCT page_id, url, tokens FROM t) t JOIN r ON list_has_all(t.tokens, r.items)),
+best AS (SELECT page_id, url, pattern FROM p QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY confidence DESC, n DESC, pattern DESC) = 1)
+SELECT t.page_id, host, path, split_part(place, '|', 1) AS rule, coalesce(split_part(place, '|', 2), CASE WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, pattern
+FROM t LEFT JOIN best ON best.page_id IS NOT DISTINCT FROM t.page_id AND best.url IS NOT DISTINCT FROM t.url
+"""

@@ -78,3 +78,27 @@ def test_rules_of_the_most_frequent_of_many_tokens(spark):
     for q in got:
         has = [bad for t, bad in rows if set(q["items"]) <= set(t)]
         assert q.support == len(has) >= U.SUPPORT and abs(q.confidence - sum(has) / len(has)) < 1e-9 and q.confidence >= U.CONFIDENCE
+
+
+def test_all_rules_of_up_to_four_tokens_of_long_urls(spark):
+    r, rows = random.Random(11), []
+    for i in range(300):
+        t = {f"t{k:02d}" for k in range(40) if r.random() < 0.45}
+        rows.append((sorted(t), {"t01", "t14", "t27", "t39"} <= t or {"t05", "t33"} <= t and r.random() < 0.9))
+    got = {tuple(q["items"]): (q.support, round(q.confidence, 9)) for q in U.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 12, 0.85).collect()}
+    sets = [(set(t), y) for t, y in rows]
+    strong = {}
+    for k in range(1, 5):
+        for c in itertools.combinations([f"t{j:02d}" for j in range(40)], k):
+            if any(set(x) < set(c) for x in strong):
+                continue
+            has = [y for t, y in sets if t.issuperset(c)]
+            if len(has) >= 12 and sum(has) >= 0.85 * len(has):
+                strong[c] = (len(has), round(sum(has) / len(has), 9))
+    assert {c: v for c, v in got.items() if len(c) <= 4} == strong and len(strong) > 1
+
+
+def test_support_grows_with_the_labelled_urls(spark):
+    rows = [(["a"], True)] * 6 + [(["b"], True)] * 40 + [(["c"], False)] * 54
+    df = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    assert {tuple(r["items"]) for r in U.mine(df).collect()} == {("a",), ("b",)} and {tuple(r["items"]) for r in U.mine(df, share=0.1).collect()} == {("b",)}
