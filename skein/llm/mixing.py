@@ -1,13 +1,14 @@
 """Mixing sources to target weights by pivotal dependent rounding. Column expressions only.
 
 Every document of a source should be taken target / source_size times. The whole part is fixed; the fractions are
-rounded dependently: two documents i and j trade word mass, which keeps f_i * s_i + f_j * s_j, until one of
-the fractions is 0 or 1, and a coin weighted by the two possible trades keeps every document's expectation. The one
-still fractional trades with the next one. Groups of about FAN documents, dealt by hash, do this side by side and each
-leaves at most one fractional document; those meet in groups of FAN again, level by level, and at last one group
-per source is left. That group also holds one group of documents kept back for it, and settles from the largest to the
-smallest, each passing its rounding error on to the next, so that a source misses its target by about
-its smallest documents and not by its largest.
+rounded dependently: two units i and j trade word mass, which keeps f_i * s_i + f_j * s_j, until one of
+the fractions is 0 or 1, and a coin weighted by the two possible trades keeps every document's expectation. Rows that repeat each other are
+one unit with a count, whose copies are dealt to the rows evenly.
+
+In a group of documents of one fraction (`_pivot`) the units are a document and all smaller ones of the group, which keep a common fraction, so that
+large documents are settled first and at most one, the least as a rule, stays fractional. Groups of about FAN documents, dealt by hash, do this side by side;
+what they leave trades one by one (`_trade`) in groups of FAN again, level by level, until one unit per source is left. About RESERVE documents of a source are kept back
+for the root: there the last unit trades with all of them and they among themselves, so a source misses its target by about its smallest document.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.store import broadcast_if_small, cut
+from skein.llm.store import broadcast_if_small, cut, tidy
 
 FAN = 64
-ITEM = "struct<h:bigint,doc_id:bigint,size:bigint,f:double,whole:bigint>"
+#: Documents of a source at its root, about.
+RESERVE = 1024
+ITEM = "struct<h:bigint,doc_id:bigint,size:bigint,f:double,whole:bigint,n:bigint>"
 
 
 def word_count(text: str) -> Column:
@@ -66,15 +69,32 @@ def _trade(items: Column, seed: int) -> Column:
     return F.aggregate(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), start, step)
 
 
-def _settle(items: Column, seed: int) -> Column:
-    """items from the largest to the smallest: each is rounded at its fraction less the error so far, and its own error is passed on."""
-    def step(acc: Column, x: Column) -> Column:
-        chance = F.least(F.lit(1.0), F.greatest(F.lit(0.0), x["f"] - acc["error"] / x["size"]))
-        rounded = F.struct(x.alias("x"), F.when(_coin(x["h"], F.lit(seed + 1)) < chance, 1.0).otherwise(0.0).alias("to"))
-        return F.transform(F.array(rounded), lambda r: F.struct(
-            F.concat(acc["done"], F.array(r["x"].withField("f", r["to"]).cast(ITEM))).alias("done"), (acc["error"] + (r["to"] - x["f"]) * x["size"]).alias("error")))[0]
+def _pivot(items: Column, seed: int, lead: Column | None = None) -> Column:
+    """Round items, an array of ITEM of one f in descending order of size, and before them the item `lead` of any f: array of ITEM, at most one of them fractional.
 
-    return F.aggregate(items, F.struct(F.array().cast(f"array<{ITEM}>").alias("done"), F.lit(0.0).alias("error")), step)["done"]
+    Each item trades with the unit of all after it. The mass that this unit gains or loses is shared out in proportion to size, so its documents keep a common f.
+    """
+    def step(acc: Column, x: Column, f: Column) -> Column:
+        rest = F.when(acc["first"], acc["rest"]).otherwise(F.greatest(acc["rest"] - x["size"], F.lit(0.0)))
+        return F.transform(F.array(F.struct(acc["f"].alias("g"), rest.alias("rest"), f.alias("f"), x["size"].cast("double").alias("s"))), lambda u: F.struct(
+            u.alias("u"), F.least((1 - u["f"]) * u["s"], u["g"] * u["rest"]).alias("up"), F.least(u["f"] * u["s"], (1 - u["g"]) * u["rest"]).alias("down")))[0]
+
+    def moved(acc: Column, x: Column, f: Column) -> Column:
+        def settle(y: Column) -> Column:
+            u, up, down = y["u"], y["up"], y["down"]
+            rises = _coin(x["h"], F.lit(seed)) * (up + down) < down
+            to = F.when(rises, F.when(up >= (1 - u["f"]) * u["s"], 1.0).otherwise(u["f"] + up / u["s"])).otherwise(F.when(down >= u["f"] * u["s"], 0.0).otherwise(u["f"] - down / u["s"]))
+            g = (F.when(u["rest"] <= 0, u["g"]).when(rises, F.when(up >= u["g"] * u["rest"], 0.0).otherwise(u["g"] - up / u["rest"]))
+                 .otherwise(F.when(down >= (1 - u["g"]) * u["rest"], 1.0).otherwise(u["g"] + down / u["rest"])))
+            return F.struct(F.concat(acc["done"], F.array(x.withField("f", to).cast(ITEM))).alias("done"), g.alias("f"), u["rest"].alias("rest"), F.lit(False).alias("first"))
+
+        return F.transform(F.array(step(acc, x, f)), settle)[0]
+
+    total = F.aggregate(items, F.lit(0.0), lambda t, x: t + x["size"])
+    start = F.struct(F.array().cast(f"array<{ITEM}>").alias("done"), F.coalesce(F.get(items, F.lit(0))["f"], F.lit(0.0)).alias("f"), total.alias("rest"), F.lit(False).alias("first"))
+    if lead is not None:  # the lead is no part of the total
+        start = F.when(lead.isNull(), start).otherwise(moved(start.withField("first", F.lit(True)), lead, lead["f"]))
+    return F.aggregate(items, start, lambda acc, x: moved(acc, x, acc["f"]))["done"]
 
 
 def row_hash(docs: DataFrame) -> Column:
@@ -82,44 +102,78 @@ def row_hash(docs: DataFrame) -> Column:
     return F.xxhash64(*[F.col(c) for c, t in docs.dtypes if "map<" not in t])
 
 
-def copies(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 7, fan: int = FAN) -> DataFrame:
+def copies(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 7, fan: int = FAN, reserve: int = RESERVE) -> DataFrame:
     """One row per row of docs (doc_id, text, source): h, doc_id, size, source_size, target, copies (0 to cap).
 
-    h hashes the whole row, so repeated rows share it; they are rounded each for itself. size is the number of words
+    h hashes the whole row, so repeated rows share it; their copies differ by one at most. size is the number of words
     `[^\\x20\\x09-\\x0D]+`, 0 for null text. Documents without words weigh nothing; their copies are rounded alone. Null
     sources are a source. Nothing depends on the order or partitioning of docs, so reruns agree. Empty docs: no rows.
     """
-    sized = cut(docs.select(row_hash(docs).alias("h"), "doc_id", "source", word_count("text").alias("size")), "mix-sizes")
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    units = unit_copies(docs, weights, cap, seed, fan, reserve)
+    # Of n equal rows the first total % n have one copy more than the others; rows are unfolded in two steps, so that no array is longer than UNFOLD.
+    blocks = units.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / UNFOLD))))
+    rows = blocks.withColumn("r", F.explode(F.sequence(F.col("k") * UNFOLD, F.least(F.col("n"), (F.col("k") + 1) * UNFOLD) - 1)))
+    each = F.floor(F.col("total") / F.col("n")) + F.when(F.col("r") < F.col("total") % F.col("n"), 1).otherwise(0)
+    return rows.select("h", "doc_id", "size", "source_size", "target", each.cast("long").alias("copies"))
+
+
+#: Rows that one row is unfolded to at once.
+UNFOLD = 4096
+
+
+def unit_copies(docs: DataFrame, weights: tuple[float, ...], cap: float, seed: int, fan: int = FAN, reserve: int = RESERVE) -> DataFrame:
+    """One row per different row of docs: h, doc_id, size, n (rows like it), total (copies of all of them), source_size, target."""
+    tidy(docs.sparkSession)
+    sized = docs.select(row_hash(docs).alias("h"), "doc_id", "source", word_count("text").alias("size"))
+    sized = cut(sized.groupBy("h", "doc_id", "source", "size").agg(F.count("*").alias("n")), "mix-sizes")
+    per = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count("*").alias("units"))
     plan = targets(per.select("source", "source_size"), weights, cap).select(F.col("source").alias("_s"), "source_size", "target", F.dense_rank().over(Window.orderBy(F.col("source").asc_nulls_last())).alias("sid"))
-    plan = cut(plan.join(per.select(F.col("source").alias("_p"), "n"), F.col("_s").eqNullSafe(F.col("_p"))).drop("_p"), "mix-targets")
+    plan = cut(plan.join(per.select(F.col("source").alias("_p"), "units"), F.col("_s").eqNullSafe(F.col("_p"))).drop("_p"), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    groups = F.greatest(F.ceil(F.col("n") / fan), F.lit(1))
+    groups = F.greatest(F.ceil(F.col("units") / fan), F.lit(1))
+    wanted = F.col("n") * rate
     items = (sized.join(broadcast_if_small(plan), F.col("source").eqNullSafe(F.col("_s")))
-             .withColumn("whole", F.floor(rate)).withColumn("f", rate - F.col("whole")).withColumn("g", F.pmod(F.xxhash64("h", F.lit(seed)), groups)))
+             .withColumn("whole", F.floor(wanted)).withColumn("f", wanted - F.col("whole")).withColumn("g", F.pmod(F.xxhash64("h", F.lit(seed)), groups))
+             .withColumn("back", (F.col("n") == 1) & (F.pmod(F.xxhash64("h", F.lit(seed + 1)), F.col("units")) < reserve)))
     open_ = (F.col("f") > 0) & (F.col("size") > 0)
-    out = [items.filter(~open_).select("sid", "h", "doc_id", "size", (F.col("whole") + F.when(_coin(F.col("h"), F.lit(seed)) < F.col("f"), 1).otherwise(0)).alias("copies"))]
-    item = F.struct("h", "doc_id", "size", F.col("f").cast("double").alias("f"), F.col("whole").cast("long").alias("whole")).cast(ITEM)
-    left = items.filter(open_).select("sid", "g", item.alias("item"))
-    kept_back, left = left.filter("g = 0").drop("g"), left.filter("g > 0")
+    alone = F.col("whole") + F.when(_coin(F.col("h"), F.lit(seed)) < F.col("f"), 1).otherwise(0)
+    out = [items.filter(~open_).select("sid", "h", "doc_id", "size", "n", alone.alias("total"))]
+    item = F.struct("h", "doc_id", "size", F.col("f").cast("double").alias("f"), F.col("whole").cast("long").alias("whole"), "n").cast(ITEM)
+    left = items.filter(open_).select("sid", "g", "n", "back", item.alias("item"))
+    total = lambda x: x.select("sid", F.col("item.h").alias("h"), F.col("item.doc_id").alias("doc_id"), F.col("item.size").alias("size"), F.col("item.n").alias("n"), (F.col("item.whole") + F.col("item.f").cast("long")).alias("total"))
+    settled, open_item = (F.col("item.f") <= 0) | (F.col("item.f") >= 1), (F.col("item.f") > 0) & (F.col("item.f") < 1)
+    by_size = F.sort_array(F.collect_list(F.struct(F.col("item.size").alias("size"), "item")), asc=False)["item"]
+
+    # Single documents of a source share one fraction; units of several rows have their own.
+    first = left.filter("n = 1 and not back").groupBy("sid", "g").agg(by_size.alias("items")).select("sid", "g", F.explode(_pivot(F.col("items"), seed)).alias("item"))
+    level = cut(first, "mix-level")
+    out.append(total(level.filter(settled)))
+    carried = level.filter(open_item).unionByName(left.filter("n > 1").select("sid", "g", "item"))
     most = plan.agg(F.max(groups)).first()[0] or 1
-    while most > 1:  # log_fan(documents) levels
-        dealt = left.groupBy("sid", "g").agg(F.sort_array(F.collect_list("item")).alias("items"))
-        level = cut(dealt.select("sid", "g", _trade(F.col("items"), seed).alias("r")).select("sid", "g", "r.*"), "mix-level")
-        out.append(level.select("sid", F.inline("done")).select("sid", "h", "doc_id", "size", (F.col("whole") + F.col("f").cast("long")).alias("copies")))
-        left, most = level.select("sid", F.floor(F.col("g") / fan).alias("g"), F.col("carry").alias("item")), -(-most // fan)
-    root = kept_back.unionByName(left.drop("g")).groupBy("sid").agg(F.sort_array(F.collect_list(F.struct(F.col("item.size").alias("size"), "item")), asc=False)["item"].alias("items"))
-    done = root.select("sid", F.inline(_settle(F.col("items"), seed)))
-    out.append(done.select("sid", "h", "doc_id", "size", (F.col("whole") + F.col("f").cast("long")).alias("copies")))
+    while True:  # log_fan(documents) levels
+        dealt = carried.groupBy("sid", "g").agg(F.sort_array(F.collect_list("item")).alias("items"))
+        traded = dealt.select("sid", "g", _trade(F.col("items"), seed).alias("r")).select("sid", "g", F.explode(F.concat(F.col("r.done"), F.array(F.col("r.carry").cast(ITEM)))).alias("item"))
+        level = cut(traded, "mix-level")
+        out.append(total(level.filter(settled)))
+        carried = level.filter(open_item).select("sid", F.floor(F.col("g") / fan).alias("g"), "item")
+        if most == 1:
+            break
+        most = -(-most // fan)
+    kept = left.filter("back").groupBy("sid").agg(by_size.alias("items"))
+    root = kept.join(carried.select("sid", F.col("item").alias("lead")), "sid", "full").withColumn("items", F.coalesce("items", F.array().cast(f"array<{ITEM}>")))
+    end = cut(root.select("sid", F.explode(_pivot(F.col("items"), seed, F.col("lead"))).alias("item")), "mix-root")
+    out.append(total(end.filter(settled)))
+    out.append(total(end.filter(open_item).withColumn("item", F.col("item").withField("f", F.when(_coin(F.col("item.h"), F.lit(seed + 2)) < F.col("item.f"), 1.0).otherwise(0.0)))))
     rows = out[0]
     for x in out[1:]:
         rows = rows.unionByName(x)
     return rows.join(broadcast_if_small(plan.select("sid", "source_size", "target")), "sid").drop("sid")
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with the columns of docs, whatever their names."""
+def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 7) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, with the columns of docs, whatever their names. Rows that repeat each other come as often as all of them are taken."""
     keyed = docs.select(F.struct(*docs.columns).alias("row"), row_hash(docs).alias("h"), "doc_id").dropDuplicates(["h", "doc_id"])
-    n = copies(docs, **options).groupBy("h", F.col("doc_id").alias("d")).agg(F.sum("copies").cast("int").alias("n")).filter("n > 0")
-    taken = keyed.join(n, (keyed["h"] == n["h"]) & keyed["doc_id"].eqNullSafe(n["d"])).select("row", F.explode(F.sequence(F.lit(1), "n")))
-    return taken.select("row.*")
+    n = unit_copies(docs, weights, cap, seed).select("h", F.col("doc_id").alias("d"), "total").filter("total > 0")
+    taken = keyed.join(n, (keyed["h"] == n["h"]) & keyed["doc_id"].eqNullSafe(n["d"])).select("row", "total")
+    blocks = taken.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / UNFOLD))))
+    return blocks.select("row", F.explode(F.sequence(F.col("k") * UNFOLD, F.least(F.col("total"), (F.col("k") + 1) * UNFOLD) - 1)).alias("r")).select("row.*")

@@ -53,15 +53,40 @@ def test_reruns_agree_whatever_the_partitions(spark):
 
 
 def test_expectation(spark):
-    rows = [(i, "w " * (5 + i % 7), "ab"[i % 4 == 0]) for i in range(400)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    total = defaultdict(float)
-    for seed in range(6):
-        for r in M.copies(df, seed=seed).collect():
-            total[r.doc_id % 4 == 0, r.doc_id % 7] += r.copies / 6
-            rate = r.target / r.source_size
-            assert int(rate) <= r.copies <= int(rate) + 1
-    assert max(total.values()) > 0
+    """Over many seeds every document is taken as often as its rate says, in a source of one document, of few of skewed sizes, and of many."""
+    r = random.Random(5)
+    rows = [(i, "w " * r.choice([3, 5, 9, 40, 300]), "ab"[i % 25 == 0]) for i in range(300)] + [(900, "w " * 11, "one")] + [(901, "w " * 7, "c")] * 5
+    many = spark.createDataFrame([(i + 10_000 * k, t, f"{k:03d}{s}") for k in range(120) for i, t, s in rows[::3] + rows[-6:]], "doc_id long, text string, source string")
+    want, got, times = {}, defaultdict(float), 120
+    for x in M.copies(many, weights=(1,), reserve=40, fan=8).collect():
+        d = x.doc_id % 10_000
+        got[d] += x.copies / times
+        want[d] = want.get(d, 0) + x.target / x.source_size / times
+        assert 0 <= x.copies <= 3
+    for d in want:
+        f = want[d] % 1
+        assert abs(got[d] - want[d]) <= 4.5 * (max(f * (1 - f), 0.01) * (5 if d == 901 else 1) / times) ** 0.5 + 0.01, (d, got[d], want[d])
+
+
+def test_rates_of_seeds_in_a_small_source(spark):
+    sizes = [1000, 400, 100, 50, 50, 20, 20, 10, 5, 3] * 2
+    rows = [(i, "w " * n, f"s{k:03d}") for k in range(200) for i, n in enumerate(sizes)] + [(99, "w " * 40_000, "zz")]
+    out = [x for x in M.copies(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 3)).collect() if x.doc_id != 99]
+    rate, taken, per = {}, defaultdict(list), defaultdict(int)
+    for x in out:
+        rate[x.target / x.source_size] = 1
+        taken[round(x.target / x.source_size, 9), x.doc_id].append(x.copies)
+    for (f, d), c in taken.items():
+        p = f % 1
+        assert abs(sum(c) / len(c) - f) <= 4.5 * (p * (1 - p) / len(c)) ** 0.5 + 1e-6, (f, d)
+
+
+def test_repeated_rows_share_their_copies(spark):
+    df = spark.createDataFrame([(1, "a b c", "x")] * 500 + [(2, "a b c d", "x")] * 3 + [(i, "q " * 20, "y") for i in range(3, 60)], "doc_id long, text string, source string")
+    out = M.copies(df, weights=(1, 5)).collect()
+    mine = [r.copies for r in out if r.doc_id == 1]
+    assert len(out) == df.count() and len(mine) == 500 and max(mine) - min(mine) <= 1
+    assert M.mix_documents(df, weights=(1, 5)).count() == sum(r.copies for r in out)
 
 
 def test_rows_come_as_often_as_counted(spark):
