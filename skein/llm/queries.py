@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import chat_format, fill_middle, fingerprints, language_id, mixing, ngram_join, quality_rules, sentencepiece_fst, substring_dedup, token_files, url_filters
+from skein.llm import chat_format, fill_middle, fingerprints, language_id, line_dedup, mixing, ngram_join, quality_rules, sentencepiece_fst, substring_dedup, token_files, url_filters, vector_codes
 from skein.llm.store import shared_dir
 
 
@@ -69,11 +69,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(read(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(read(spark, sf_dir, "embeddings"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_lines(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
     out = fill_middle.restore(fill_middle.transform(read(spark, sf_dir, "documents")))
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest("restored").alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_format, op3_language_id, op4_fingerprints, op5_mixing, op6_sentencepiece, op7_ngram_join, op8_quality_rules, op9_token_files, op10_substring_dedup, op13_fill_middle)}
-ORACLES = {"op1_url_filters": url_filters.ORACLE, "op2_chat_format": chat_format.ORACLE, "op7_ngram_join": ngram_join.ORACLE, "op8_quality_rules": quality_rules.ORACLE, "op13_fill_middle": fill_middle.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_format, op3_language_id, op4_fingerprints, op5_mixing, op6_sentencepiece, op7_ngram_join, op8_quality_rules, op9_token_files, op10_substring_dedup, op11_vector_codes, op12_line_dedup, op13_fill_middle)}
+ORACLES = {"op1_url_filters": url_filters.ORACLE, "op2_chat_format": chat_format.ORACLE, "op7_ngram_join": ngram_join.ORACLE, "op8_quality_rules": quality_rules.ORACLE, "op11_vector_codes": vector_codes.ORACLE, "op12_line_dedup": line_dedup.ORACLE, "op13_fill_middle": fill_middle.ORACLE}

@@ -11,7 +11,7 @@ from skein.llm.textkit import release
 from skein.sources.staging import shared_dir
 from skein.sources.staging import staged as cut
 
-__all__ = ["bound_batches", "broadcast_if_small", "cut", "shared_dir", "tidy"]
+__all__ = ["bound_batches", "broadcast_if_small", "cut", "looked_up", "shared_dir", "tidy"]
 
 #: Rows that a side may have to be broadcast; rows are a few numbers wide.
 BROADCAST_ROWS = 500_000
@@ -22,6 +22,20 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """rows joined with the materialised table on keys that are not null, whatever share of the rows one key has. table: one row a key; weight: how many of the rows have the key.
+
+    A table of at most BROADCAST_ROWS is broadcast. Of a larger one the keys that have a BROADCAST_ROWS-th of the rows or more are, as there can be no more than so many of them; all others meet by
+    a shuffle, in which no key is heavier than that.
+    """
+    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table.drop(weight)), on)
+    floor = (table.agg(F.sum(weight)).first()[0] or 0) / BROADCAST_ROWS
+    heavy = F.broadcast(table.filter(F.col(weight) >= floor).drop(weight))
+    light = table.filter(F.col(weight) < floor).drop(weight)
+    return rows.join(heavy, on).unionByName(rows.join(heavy.select(*on), on, "left_anti").join(light, on))
+
+
 #: Bytes of one batch of rows between the JVM and a Python worker; a longer row is a batch of its own.
 BATCH_BYTES = 1 << 20
 
