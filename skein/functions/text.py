@@ -135,11 +135,23 @@ def month_index(date: Column, origin_year: Column | int) -> Column:
     return F.greatest(F.lit(0), 12 * (y - origin_year) + m - 1)
 
 
+_BLANKS = (" ", "\t", "\n", "\x0b", "\f", "\r")
+
+
 def first_caption(line: Column) -> Column:
     """Whether a line captions a paper's first figure or table, or number 1 of a chapter.
 
-    After a figure's number comes a blank, the line's end, or a colon or full stop and a blank; after a table's the line's end, or a colon or full stop and a blank, so that a sentence that begins
-    with a table is none.
+    The line is read as a label word, a number, and what follows. The number is 1, alone or with a number after a full stop. After a figure's comes a blank, the line's end, or a colon or full stop and a blank; after a
+    table's, blanks aside, the line's end, or a colon or full stop and a blank, so that a sentence that begins with a table is none.
     """
-    figure, table, number = r"fig(ure|\.)?", "table", r"\s*1(\.\d+)?\s*"
-    return F.trim(line).rlike(rf"(?i)^({figure}{number}([.:]\s|\s|$)|{table}{number}([.:]\s|$))")
+    whole = F.trim(line)
+    word = F.regexp_extract(whole, r"^[A-Za-z]+\.?", 0)
+    rest = F.regexp_replace(F.substring(whole, F.length(word) + 1, F.length(whole)), r"^\s+", "")
+    number = F.regexp_extract(rest, r"^\d+(\.\d+)?", 0)
+    after = F.substring(rest, F.length(number) + 1, F.length(rest))
+    bare = F.regexp_replace(after, r"^\s+", "")
+    marked = lambda c: F.substring(c, 1, 1).isin(":", ".") & F.substring(c, 2, 1).isin(*_BLANKS)
+    one = F.element_at(F.split(number, r"\."), 1) == "1"
+    figure = F.lower(word).isin("figure", "fig", "fig.") & ((after == "") | F.substring(after, 1, 1).isin(*_BLANKS) | marked(after))
+    table = (F.lower(word) == "table") & ((bare == "") | marked(bare))
+    return one & (figure | table)

@@ -152,7 +152,8 @@ def relevance(edges: DataFrame, cited: DataFrame, selected: int, most: int = 300
 def ambient(edges: DataFrame, per_mille: int) -> DataFrame:
     """A fixed sample of edges by a multiplicative hash of their ends in 32-bit arithmetic."""
     m32 = F.lit((1 << 32) - 1)
-    h = ((F.col("src") + 1) * 73856093).bitwiseAND(m32).bitwiseXOR(((F.col("dst") + 1) * 19349663).bitwiseAND(m32))
+    low = lambda c, by: ((F.col(c).bitwiseAND(m32) + 1) * by).bitwiseAND(m32)
+    h = low("src", 73856093).bitwiseXOR(low("dst", 19349663))
     return edges.filter(h % 1000 < per_mille)
 
 

@@ -143,7 +143,7 @@ def region_leaves(cells: DataFrame) -> DataFrame:
 
 def hold_out(rows: DataFrame, key: str, per_mille: int) -> DataFrame:
     """A fixed sample of rows by a multiplicative hash of their key."""
-    return rows.filter(F.col(key) * 2654435761 % 1000 < per_mille)
+    return rows.filter(F.pmod(F.pmod(F.col(key), F.lit(1000)) * (2654435761 % 1000), F.lit(1000)) < per_mille)  # reduced first, so that no key is too large
 
 
 def exact_quantiles(rows: DataFrame, column: str, qs: list[float]) -> list[float | None]:

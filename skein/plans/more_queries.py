@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.functions.text import arxiv_in, normal_title, without_version
+from skein.functions.text import MARKUP, arxiv_in, normal_title, without_version
 from skein.functions.vectors import dot
 from skein.operators import answers as A
 from skein.operators import client as CL
@@ -226,14 +228,16 @@ def k9_m8_author_ids(spark: SparkSession, d: str) -> DataFrame:
     return R.ordered_known(lists, known).select("node", F.array_join("ids", ",").alias("authors"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, source, n_chars, regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z0-9][a-z0-9\-]*') AS w FROM documents WHERE text NOT LIKE '%:%' AND text NOT LIKE '%=%' AND text NOT LIKE '%<%' AND text NOT LIKE '%&%' AND text NOT LIKE '%www.%'),
+_CLEAN = functools.reduce(lambda x, p: f"regexp_replace({x}, '{p.replace(chr(39), chr(39) * 2)}', ' ', 'g')", MARKUP, "split_part(text, chr(10), 1)")
+
+
+@query(rf"""WITH w AS (SELECT doc_id, source, n_chars, regexp_extract_all(lower({_CLEAN}), '[a-z0-9][a-z0-9\-]*') AS w FROM documents),
 g AS (SELECT DISTINCT source, doc_id, n_chars, n, array_to_string(w[i + 1 : i + n], ' ') AS phrase, len(list_distinct(w[i + 1 : i + n])) AS different FROM w, range(2, 7) t(n), LATERAL (SELECT unnest(range(0, greatest(len(w) - n + 1, 0))) AS i) r),
 s AS (SELECT source, phrase, n, count(*) AS df, sum(n_chars) AS cites FROM g WHERE different = n GROUP BY 1, 2, 3), z AS (SELECT source, count(*) AS titles FROM w GROUP BY 1)
 SELECT source, phrase, df::BIGINT AS df FROM s JOIN z USING (source) WHERE df >= 2 OR titles = 1 QUALIFY row_number() OVER (PARTITION BY source ORDER BY df DESC, n DESC, cites DESC, phrase) = 1""")
 def i18_shared_phrase(spark: SparkSession, d: str) -> DataFrame:
-    """The phrase of two to six words that most titles of a source share; all places of a title, of any length. Texts with signs that markup has are left out, as SQL cleans none."""
-    plain = table(spark, d, "documents").filter("not (contains(text, ':') or contains(text, '=') or contains(text, '<') or contains(text, '&') or contains(text, 'www.'))")
-    t = plain.select(F.col("source").alias("set"), F.col("doc_id").alias("node"), F.substring_index("text", "\n", 1).alias("title"), F.col("n_chars").alias("cited"))
+    """The phrase of two to six words that most titles of a source share; all places of a title, of any length, without its markup."""
+    t = table(spark, d, "documents").select(F.col("source").alias("set"), F.col("doc_id").alias("node"), F.substring_index("text", "\n", 1).alias("title"), F.col("n_chars").alias("cited"))
     return LB.shared_phrase(t).withColumnRenamed("set", "source")
 
 

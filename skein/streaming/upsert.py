@@ -76,11 +76,12 @@ class KeyedTable:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         fs = root.getFileSystem(conf)
-        for v in range(1, last + 1):
-            for b in range(self.buckets):
-                at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_at={v}/_bucket={b}")
-                if (v, b) not in used and fs.exists(at):
-                    fs.delete(at, True)
+        name = lambda at: int(at.getPath().getName().split("=")[1])
+        for old in fs.listStatus(root):  # the versions that are still there
+            if old.getPath().getName().startswith("_at="):
+                for part in fs.listStatus(old.getPath()):
+                    if part.getPath().getName().startswith("_bucket=") and (name(old), name(part)) not in used:
+                        fs.delete(part.getPath(), True)
 
 
 def upsert_stream(changes: DataFrame, table: KeyedTable, checkpoint: str, position: str, deleted: str) -> StreamingQuery:

@@ -10,7 +10,7 @@ import pytest
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
-MODULES = ("corpus_queries", "graph_queries", "view_queries", "more_queries", "flagship")
+MODULES = ("corpus_queries", "graph_queries", "view_queries", "more_queries", "neighbour_queries", "flagship")
 REGISTRIES = [importlib.import_module(f"skein.plans.{m}").query for m in MODULES]
 SQL = {k: v for r in REGISTRIES for k, v in r.sql.items()}
 QUERIES = {k: v for r in REGISTRIES for k, v in r.queries.items()}
