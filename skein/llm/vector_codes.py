@@ -253,8 +253,8 @@ def digest(embeddings: DataFrame) -> DataFrame:
 
 def _oracle(rounds: int = 6) -> str:
     """The query in DuckDB's SQL: a codebook b0, b1, ... a round, each from the assignment a0, a1, ... to the one before."""
-    ctes = ["""k AS (SELECT vec_id, label, list_transform(embedding, x -> floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-        WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0)""",
+    ctes = ["""k AS (SELECT vec_id, label, [floor(4096 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0)""",
             "x AS (SELECT vec_id, (i - 1) // (len(v) // 8) AS part, (i - 1) % (len(v) // 8) AS place, v[i] AS x FROM (SELECT vec_id, v, unnest(range(1, len(v) + 1)) AS i FROM k))",
             "f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k ORDER BY vec_id LIMIT 16)",
             "b0 AS (SELECT part, entry, place, x AS z FROM x JOIN f USING (vec_id))"]
