@@ -22,7 +22,7 @@ from skein.llm.store import bound_batches, broadcast_if_small
 from skein.llm.textkit import chunks, column
 
 #: Ids after which a frame ends at the next document.
-FRAME_IDS = 1 << 19
+FRAME_IDS = 1 << 17
 VERSION = 2
 _ROW = "part int, frame int, version int, n_ids bigint, nibbles int, docs array<struct<doc_id:bigint,begin:bigint>>"
 
@@ -82,10 +82,11 @@ def frames(docs: DataFrame, tokenizer: str, end_id: int | None = 2) -> DataFrame
 def write_tokens(docs: DataFrame, tokenizer: str, to: str, end_id: int | None = 2) -> None:
     """Encode the whole texts of docs (doc_id, text) with a tokenizers file, append end_id to each, and write the ids to the folder `to`.
 
-    Null text is empty. Documents lie in ascending order of doc_id, null first, those of one doc_id in order of text. Ids are below token_coder.LIMIT, or ValueError. The file at `tokenizer` is
+    Null text is empty. Documents lie in ascending order of doc_id, null first, those of one doc_id in order of the bytes of their text. Ids are below token_coder.LIMIT, or ValueError. The file at `tokenizer` is
     read on the driver.
     """
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    text = F.coalesce("text", F.lit("")).alias("text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")  # ranges are cut by samples of the keys, so these stay short
     coded = frames(ordered, tokenizer, end_id).withColumn("body", token_coder.encoded(docs.sparkSession, F.col("ids"), F.col("nibbles"))).drop("ids")
     coded.withColumn("head_sum", _head_sum()).write.option("compression", "none").parquet(to)
 

@@ -76,13 +76,13 @@ def test_documents(spark, tmp_path, monkeypatch):
     lib = Tokenizer.from_file(TOKENIZER)
     r = random.Random(4)
     rows = [(r.randrange(-5000, 5000) * 2, " ".join(r.choice(["the", "çon", "<|endoftext|>", "12", "\n", "中"]) for _ in range(r.randrange(0, 90)))) for _ in range(300)]
-    rows = list(dict(rows).items()) + [(9001, None), (9003, ""), (9005, "word " * 30_000), (None, "null id")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rows += [(9001, None), (9003, ""), (9005, "word " * 30_000), (None, "null id"), (None, None), (77, "same"), (77, "same"), (77, "Same"), (77, "same, and more"), (77, None), (77, "中"), (77, "z" * 40 + "b"), (77, "z" * 40 + "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit(1)).withColumn("part", F.lit(2))
     to = f"file://{tmp_path}/{uuid.uuid4().hex}"
     T.write_tokens(df.repartition(5), TOKENIZER, to)
     got = sorted((tuple(x) for x in T.read_tokens(spark, to).collect()), key=lambda x: x[1])
     at, want = 0, []
-    for d, t in sorted(rows, key=lambda x: (x[0] is not None, x[0])):
+    for d, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, (x[1] or "").encode())):
         ids = [*lib.encode(t or "", add_special_tokens=False).ids, 2]
         want.append((d, at, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
         at += len(ids)
