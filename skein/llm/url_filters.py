@@ -1,13 +1,14 @@
 """URL filtering by association rules.
 
 A URL is a set of tokens: scheme, host labels, words of the path, query keys; digits read as `#`. FP-growth mines the
-token combinations of bad labelled URLs; each is then counted over all labelled URLs, and it blocks if it is seen often enough, if
+token combinations of bad labelled URLs, and those of very long ones grow level by level; each is then counted over all labelled URLs, and it blocks if it is seen often enough, if
 enough of the URLs that have it are bad, and if no part of it blocks already. Rules are matched through an inverted index on each
 rule's rarest token. Lists of allowed and blocked places come first.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -18,8 +19,8 @@ from skein.llm.store import broadcast_if_small, cut
 
 #: A rule's least number of URLs, at least and as a share of the labelled ones, and the share of bad ones among them.
 SUPPORT, SUPPORT_SHARE, CONFIDENCE = 5, 1e-5, 0.8
-#: Tokens of a URL that are mined together. Of a longer URL all choices of SETS groups are, so that any SETS tokens of it meet in one.
-GROUP, SETS = 4, 4
+#: Usable tokens of a URL that FP-growth is given whole. What longer URLs have is grown level by level, as a set of n tokens has 2 ** n parts.
+WHOLE = 16
 
 
 @dataclass(frozen=True)
@@ -68,20 +69,20 @@ def tokens(url: str = "url") -> Column:
         typed("p:", F.split(number(F.lower(F.col("path"))), "[/._-]+")), typed("q:", F.transform(query, lambda x: number(F.substring_index(x, "=", 1)))))))
 
 
-def _baskets(bad: DataFrame) -> DataFrame:
-    """items: the tokens of each row (an array, sorted), GROUP * SETS of them at most; of a longer row, every choice of SETS of its groups of GROUP tokens."""
-    whole, long = bad.filter(F.size("items") <= GROUP * SETS), bad.filter(F.size("items") > GROUP * SETS).withColumn("_last", F.ceil(F.size("items") / GROUP).cast("int") - 1)
-    for k in range(SETS):
-        first = F.lit(0) if k == 0 else F.col(f"_g{k - 1}") + 1
-        long = long.withColumn(f"_g{k}", F.explode(F.sequence(first, F.col("_last") - (SETS - 1 - k))))
-    chosen = F.array(*[F.col(f"_g{k}") for k in range(SETS)])
-    return whole.select("items").union(long.select(F.filter("items", lambda x, i: F.array_contains(chosen, F.floor(i / GROUP).cast("int")))))
+def _grown(alive: DataFrame, long: DataFrame, size: int) -> DataFrame:
+    """items: combinations of a size that a long URL (items, sorted) may have and whose parts may all be alive: of two tokens the pairs of each URL, of more those that two living ones with all but their last token in common give."""
+    if size == 2:
+        pair = F.explode(F.flatten(F.transform("items", lambda x, i: F.transform(F.slice("items", i + 2, F.size("items")), lambda y: F.array(x, y)))))
+        return long.select(pair.alias("items")).distinct()
+    ends = alive.select(F.slice("items", 1, size - 2).alias("head"), F.element_at("items", -1).alias("end"))
+    return ends.join(ends.select("head", F.col("end").alias("other")), "head").filter("end < other").select(F.concat("head", F.array("end", "other")).alias("items"))
 
 
 def mine(labelled: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, share: float = SUPPORT_SHARE) -> DataFrame:
     """labelled: tokens, bad (boolean). Rules: items (array), key (the rarest item), confidence, support.
 
-    All rules of up to SETS tokens are found, and longer ones of URLs of up to GROUP * SETS tokens; the numbers are those of all labelled URLs. Tokens that exactly the same labelled URLs
+    FP-growth mines the bad URLs of up to WHOLE usable tokens; what occurs in a longer one is grown token by token from combinations that are frequent and do not block. So all rules are found, however long they or their
+    URLs are, and the numbers are those of all labelled URLs. Tokens that exactly the same labelled URLs
     have are mined as one, and a rule of it is given for each of them. No labelled URL, or none that is bad: no rule. The result is materialised.
     """
     from pyspark.ml.fpm import FPGrowth
@@ -99,16 +100,22 @@ def mine(labelled: DataFrame, support: int = SUPPORT, confidence: float = CONFID
     rules = counts.filter(strong)
     alive = cut(counts.filter(~strong), "url-alive")
     weak = broadcast_if_small(cut(alive.select(F.col("items")[0].alias("token")), "url-weak"))
-    baskets = cut(_baskets(each.filter("bad").join(weak, "token").groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("items")).select("items")), "url-baskets")
-    total = baskets.count()
-    if total:
-        found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total).fit(baskets).freqItemsets
+    bags = cut(each.filter("bad").join(weak, "token").groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("items")).select("items"), "url-bags")
+    short, long = bags.filter(F.size("items") <= WHOLE), bags.filter(F.size("items") > WHOLE)
+    total, grows, longest = short.count(), bool(long.limit(1).count()), 1
+    if total >= least:
+        found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total).fit(short).freqItemsets
         found = cut(found.select(F.array_sort("items").alias("items")).filter(F.size("items") > 1), "url-combinations")
         longest = found.agg(F.max(F.size("items"))).first()[0] or 1
+    if grows or longest > 1:
         rarity = broadcast_if_small(cut(tokens_.select("token", F.col("n").alias("rarity")), "url-rarity"))
-        for size in range(2, longest + 1):
+        size = 1
+        while grows or size < longest:
+            size += 1
             # A combination is tried if none of its parts blocks and all are frequent. One that as many URLs have as a part of it is left: the two are the same URLs.
-            parts = found.filter(F.size("items") == size).select("items", F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("part"))
+            some = [found.filter(F.size("items") == size).select("items")] if size <= longest else []
+            some += [_grown(alive, long, size)] if grows else []
+            parts = functools.reduce(DataFrame.union, some).distinct().select("items", F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("part"))
             tried = parts.join(broadcast_if_small(alive.select(F.col("items").alias("part"), F.col("n").alias("of"))), "part").groupBy("items").agg(F.count("*").alias("known"), F.min("of").alias("of")).filter(F.col("known") == size)
             keyed = cut(tried.select("items", "of", F.explode("items").alias("token")).join(rarity, "token").groupBy("items", "of").agg(F.min(F.struct("rarity", "token"))["token"].alias("token")), "url-tried")
             if not keyed.limit(1).count():

@@ -102,3 +102,22 @@ def test_support_grows_with_the_labelled_urls(spark):
     rows = [(["a"], True)] * 6 + [(["b"], True)] * 40 + [(["c"], False)] * 54
     df = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
     assert {tuple(r["items"]) for r in U.mine(df).collect()} == {("a",), ("b",)} and {tuple(r["items"]) for r in U.mine(df, share=0.1).collect()} == {("b",)}
+
+
+def test_a_rule_of_five_tokens_that_only_long_urls_carry(spark):
+    r, rows = random.Random(5), []
+    noise = [f"n{k:03d}" for k in range(200)]
+    bag = lambda times: sum((r.sample(noise, len(noise)) for _ in range(times)), [])
+    for bad, n in ((True, 50), (False, 100)):
+        some = bag(n * 20 // len(noise))
+        for i in range(n):
+            part = list("abcde")
+            if not bad:
+                part.remove("abcde"[i % 5])
+            rows.append((sorted({*part, *some[i * 20 : i * 20 + 20]}), bad))
+    assert min(len(t) for t, _ in rows) > 20
+    got = {tuple(q["items"]): (q.support, q.confidence) for q in U.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), support=8).collect()}
+    assert got[tuple("abcde")] == (50, 1.0)
+    for items, (support, confidence) in got.items():
+        has = [bad for t, bad in rows if set(items) <= set(t)]
+        assert support == len(has) >= 8 and abs(confidence - sum(has) / len(has)) < 1e-9 and not any(set(x) < set(items) for x in got)
