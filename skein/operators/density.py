@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.forest import ORDER, More, Rounds, chains, scanned, spanning_rounds
-from skein.operators.spatial import nearest_points
+from skein.operators.nearest import nearest_points
 from skein.sources.staging import staged
 
 #: Weights below it count as it where a density is taken of them.

@@ -45,10 +45,11 @@ def shared_neighbours(edges: DataFrame, hub_cap: int = 0) -> DataFrame:
         e = edges.select(F.col(pivot).alias("p"), F.col(end).alias("x"))
         if hub_cap:
             e = e.join(e.groupBy("p").agg(F.count("*").alias("n")).filter(F.col("n") <= hub_cap).select("p"), "p")
-        return e.withColumnRenamed("x", "a").join(e.withColumnRenamed("x", "b"), "p").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias(name))
+        return e.withColumnRenamed("x", "a").join(e.withColumnRenamed("x", "b"), "p").filter("a < b").select("a", "b", *[F.lit(int(name == c)).alias(c) for c in ("refs", "citers")])
 
-    both = through("dst", "src", "refs").withColumn("citers", F.lit(0)).unionByName(through("src", "dst", "citers").withColumn("refs", F.lit(0)))
-    return both.groupBy("a", "b").agg(F.sum("refs").alias("refs"), F.sum("citers").alias("citers"))
+    one = through("dst", "src", "refs").unionByName(through("src", "dst", "citers")).groupBy("a", "b").agg(F.sum("refs").alias("refs"), F.sum("citers").alias("citers"))
+    orders = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")  # counted in one order, given in both
+    return one.select(orders, "refs", "citers").select("e.a", "e.b", "refs", "citers")
 
 
 def shared_of(edges: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -151,6 +151,23 @@ def similar_not_cited(similar: DataFrame, edges: DataFrame, k: int = 5) -> DataF
     return similar.join(linked, ["a", "b"], "left_anti").withColumn("rank", first).filter(F.col("rank") <= k).select("a", "b", "rank")
 
 
+def similar_not_cited_among(vectors: DataFrame, edges: DataFrame, k: int = 5, within: str | None = None) -> DataFrame:
+    """As similar_not_cited, of all vectors (node, v) with one value of `within`, by exact search: first for k and a few more of each node, then for twice as many of those for which citations took too many, until none is left."""
+    from skein.operators.vectors import exact_neighbours
+
+    wanted, out, open_ = 2 * k + 6, None, vectors
+    while True:
+        near = staged(exact_neighbours(open_, vectors, wanted, within=within).select(F.col("node").alias("a"), F.col("nbr").alias("b"), F.col("score").alias("s")), "similar")
+        best = staged(similar_not_cited(near, edges, k), "similar-not-cited")
+        full = near.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= wanted)  # there may be more of it
+        short = full.join(best.groupBy("a").agg(F.count("*").alias("m")), "a", "left").filter(F.coalesce("m", F.lit(0)) < k).select(F.col("a").alias("node"))
+        done = best.join(short.withColumnRenamed("node", "a"), "a", "left_anti")
+        out = done if out is None else out.unionByName(done)
+        if not short.limit(1).count():
+            return out
+        open_, wanted = vectors.join(staged(short, "similar-open"), "node", "left_semi"), 2 * wanted
+
+
 def neighbour_union(edges: DataFrame, chosen: list[int]) -> DataFrame:
     """node: what the chosen nodes cite or are cited by, without themselves."""
     out = edges.filter(F.col("src").isin(chosen)).select(F.col("dst").alias("node")).union(edges.filter(F.col("dst").isin(chosen)).select("src"))

@@ -2,28 +2,57 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.vectors import dot, unit
 
 
-#: Vectors of a block.
-BLOCK = 50_000
+#: Vectors and queries of a block.
+BLOCK, QUERIES = 4096, 1024
 
 
-def exact_neighbours(queries: DataFrame, vectors: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
-    """node, nbr, score, rank: the k nearest vectors (node, v) of each query (node, v) by dot product, itself left out, then least id.
+def matrix(lists: pa.Array) -> np.ndarray:
+    """Rows of a column of number lists of one length, in double precision."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
 
-    Queries and vectors meet block by block: each of `blocks` blocks of vectors (16, or one for every BLOCK vectors) keeps its k best of a query before anything is shuffled, and the
-    blocks' best are merged, so a query's task holds blocks * k rows.
+
+def _best_of_block(k: int, digits: int):
+    """The function of a block of queries (q, qv) and one of vectors (node, v) that gives each query's k best: node, nbr, score."""
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        q, n = queries["q"].combine_chunks(), vectors["node"].combine_chunks()
+        qs, ns = q.to_numpy(), n.to_numpy()
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        if len(qs) and len(ns):
+            s = np.where(qs[:, None] == ns[None], -np.inf, np.round(matrix(queries["qv"].combine_chunks()) @ matrix(vectors["v"].combine_chunks()).T, digits))
+            floor = -np.partition(-s, min(k, len(ns)) - 1, axis=1)[:, min(k, len(ns)) - 1]
+            for i, (row, least) in enumerate(zip(s, floor, strict=True)):
+                some = np.flatnonzero((row >= least) & (row > -np.inf))
+                some = some[np.lexsort((ns[some], -row[some]))[:k]]
+                out.append((np.full(len(some), i), some, row[some]))
+        i, j, score = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.Table.from_arrays([q.take(pa.array(i)), n.take(pa.array(j)), pa.array(score)], names=["node", "nbr", "score"])
+
+    return run
+
+
+def exact_neighbours(queries: DataFrame, vectors: DataFrame, k: int, blocks: int | None = None, digits: int = 5, within: str | None = None) -> DataFrame:
+    """node, nbr, score, rank: the k nearest vectors (node, v) of each query (node, v) by dot product (so many digits), itself left out, then least id; among vectors with the query's value of the column `within` alone, if one is given (null meets nothing).
+
+    Queries and vectors meet block by block, a matrix product each: every one of `blocks` blocks of vectors (one for every BLOCK) keeps its k best of a query before anything is merged, so a query's merge has blocks * k rows.
     """
-    blocks = blocks or max(16, -(-vectors.count() // BLOCK))
-    q = queries.select(F.col("node"), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    v = vectors.select(F.col("node").alias("nbr"), "v", F.pmod(F.hash("node"), F.lit(blocks)).alias("b"))
-    pairs = q.join(v, "b").filter("node <> nbr").select("node", "nbr", "b", F.round(dot(F.col("q"), F.col("v")), 5).alias("score"))
-    first = lambda *g: F.row_number().over(Window.partitionBy(*g).orderBy(F.desc("score"), "nbr"))
-    return pairs.withColumn("rank", first("node", "b")).filter(F.col("rank") <= k).withColumn("rank", first("node")).filter(F.col("rank") <= k).select("node", "nbr", "score", "rank")
+    vb, qb = blocks or max(1, -(-vectors.count() // BLOCK)), max(1, -(-queries.count() // QUERIES))
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    group = F.lit(0) if within is None else F.col(within)
+    q = queries.select(F.col("node").alias("q"), F.col("v").alias("qv"), group.alias("w"), deal(qb).alias("i"), each(vb).alias("j")).filter("w is not null")
+    v = vectors.select("node", "v", group.alias("w"), each(qb).alias("i"), deal(vb).alias("j")).filter("w is not null")
+    kinds = dict(queries.dtypes)["node"], dict(vectors.dtypes)["node"]
+    near = q.groupBy("w", "i", "j").cogroup(v.groupBy("w", "i", "j")).applyInArrow(_best_of_block(k, digits), f"node {kinds[0]}, nbr {kinds[1]}, score double")
+    near = near.select("node", "nbr", F.round("score", digits).alias("score"))
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), "nbr"))).filter(F.col("rank") <= k)
 
 
 def fit_cells(vectors: DataFrame, cells: int, sample: int = 50_000, rounds: int = 8) -> list[list[float]]:

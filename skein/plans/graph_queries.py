@@ -211,11 +211,8 @@ def d23_d25_ranked_fan(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {EDGES}, pairs AS (SELECT v.vec_id AS a, w.vec_id AS b, round(list_dot_product(v.embedding::DOUBLE[], w.embedding::DOUBLE[]), 5) AS s FROM embeddings v JOIN embeddings w ON v.label = w.label AND v.vec_id <> w.vec_id) SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY s DESC, b)::INT AS rank FROM pairs WHERE NOT EXISTS (SELECT 1 FROM edges WHERE (src = a AND dst = b) OR (src = b AND dst = a)) QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5")
 def d24_similar_not_cited(spark: SparkSession, d: str) -> DataFrame:
-    from skein.functions.vectors import dot
-
-    v = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
-    pairs = v.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x")).join(v.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "label").filter("a <> b").select("a", "b", F.round(dot(F.col("x"), F.col("y")), 5).alias("s"))
-    return L.similar_not_cited(pairs, edges(spark, d), 5)
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), "label", F.col("embedding").alias("v"))
+    return L.similar_not_cited_among(v, edges(spark, d), 5, "label")
 
 
 @query(f"WITH {EDGES} SELECT src, dst FROM edges WHERE xor(((src + 1) * 73856093) & 4294967295, ((dst + 1) * 19349663) & 4294967295) % 1000 < 50")

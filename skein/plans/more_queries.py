@@ -216,8 +216,7 @@ def m22_position_shards(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH k AS (SELECT a.vec_id AS node, b.vec_id AS nbr, round({_DOT.format('a.embedding', 'b.embedding')}, 5) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY s DESC, nbr) AS k FROM k) SELECT node, string_agg(nbr::VARCHAR, ',' ORDER BY k) AS neighbours, count(*)::INT AS n FROM r WHERE k <= 6 GROUP BY 1")
 def m5_m29_neighbour_table(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("node"), F.col("embedding").alias("v"))
-    pairs = v.join(v.select("label", F.col("node").alias("nbr"), F.col("v").alias("w")), "label").filter("node <> nbr").select("node", "nbr", F.round(dot(F.col("v"), F.col("w")), 5).alias("score"))
-    return SH.neighbour_table(pairs, 6).select("node", F.array_join("neighbours", ",").alias("neighbours"), F.size("neighbours").alias("n"))
+    return SH.neighbour_table(V.exact_neighbours(v, v, 6, within="label").drop("rank"), 6).select("node", F.array_join("neighbours", ",").alias("neighbours"), F.size("neighbours").alias("n"))
 
 
 @query("SELECT l_orderkey AS node, string_agg(author_id::VARCHAR, ',' ORDER BY k) AS authors FROM (SELECT l_orderkey, l_suppkey AS author_id, min(l_linenumber * 1000000 + l_suppkey) AS k FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 5 > 0) GROUP BY 1, 2) GROUP BY 1")
