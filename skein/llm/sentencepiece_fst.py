@@ -2,7 +2,7 @@
 
 A model compiles to machines over the tropical semiring (min, +), whose weights are costs and in which no arc is an infinite one:
 
-* `Normaliser`: one state before the text and one inside; it writes the meta symbol first and for each blank, and every other character as it is.
+* `Normaliser`: a tree of the sequences that the model's character map reads, of which the longest is taken, and a state after a blank where blanks are squeezed; it writes the meta symbol first and for each blank.
 * `Lexicon`: a tree of the pieces' characters; the arc that completes a piece gives its id and costs the negated score in a unigram model, 0 in a BPE model. A character that no piece
   consists of has an arc of its own, the byte fallback, to the ids of its UTF-8 bytes (or to the unknown id, at the unknown cost).
 * `Junctions`, of BPE models: its states are pieces; an arc from one to the next costs 0 if the merges leave the two apart as they are, and there is none otherwise. A sequence of pieces is what BPE
@@ -38,16 +38,80 @@ LONGEST = 128
 END, NEW = "", object()
 
 
+def character_map(blob: bytes) -> dict[str, str]:
+    """What a model's precompiled map writes for each character sequence that it reads.
+
+    Fixed format: the length of a double array in bytes (little-endian, as are its 32-bit units), the double array, and the written texts, each ended by a zero byte. In a unit bit 8 says that a key ends below it, bits 10 on
+    (or, with bit 9, eight times that) where its arcs lie, and the low byte with bit 31 which byte led to it; the unit of a key's end holds in its lower 31 bits where its text begins.
+    """
+    size = int.from_bytes(blob[:4], "little")
+    units, texts = np.frombuffer(blob, "<u4", size // 4, 4), blob[4 + size :]
+    base = lambda at: at ^ (int(units[at]) >> 10) << ((int(units[at]) & 512) >> 6)
+    out: dict[str, str] = {}
+    todo = [(base(0), b"")] if len(units) else []
+    while todo:
+        arcs, key = todo.pop()
+        for c in range(1, 256):
+            at = arcs ^ c
+            if at < len(units) and int(units[at]) & 0x800000FF == c:
+                below = base(at)
+                if int(units[at]) >> 8 & 1:
+                    begin = int(units[below]) & 0x7FFFFFFF
+                    out[(key + bytes([c])).decode()] = texts[begin : texts.index(b"\0", begin)].decode()
+                todo.append((below, key + bytes([c])))
+    return out
+
+
 class Normaliser:
-    """Blanks to the meta symbol, one before a text that has a character; deterministic, so its composition with a text is a string."""
+    """The machine that writes a normalised text.
+
+    Its arcs read the sequences of a model's character map, the longest that there is, or any other character, which they write as it is. If blanks are squeezed, it has one state more, after a blank, in which no blank is
+    written; blanks at the end go. What is written has the meta symbol for each blank, and one first. Deterministic, so its composition with a text is a string.
+    """
 
-    def __init__(self, dummy: bool):
-        self.first, self.arcs = META if dummy else "", {" ": META}
+    def __init__(self, dummy: bool, squeeze: bool = False, rules: dict[str, str] | None = None):
+        self.first, self.squeeze, self.rules = META if dummy else "", squeeze, rules or {}
+        self.root: dict = {}  # a state: character to state, and END to what is written where a sequence is complete
+        for read, written in self.rules.items():
+            state = self.root
+            for c in read:
+                state = state.setdefault(c, {})
+            state[END] = written
+        self.plain = re.compile(f"[^{re.escape(''.join(self.root))}]+").match if self.rules else None
+
+    def arcs(self, text: str) -> Iterator[str]:
+        """What the arcs along a text write, runs of characters that begin no sequence together."""
+        at, end = 0, len(text)
+        while at < end:
+            run = self.plain(text, at)
+            if run:
+                yield run.group()
+                at = run.end()
+                continue
+            state, place, after, written = self.root, at, at + 1, text[at]
+            while place < end and (state := state.get(text[place])) is not None:
+                place += 1
+                if END in state:
+                    after, written = place, state[END]
+            yield written
+            at = after
 
     def __call__(self, text: str) -> str:
-        for read, written in self.arcs.items():
-            text = text.replace(read, written)
-        return self.first + text if text else ""
+        if not text:
+            return ""
+        if self.squeeze or self.rules:
+            out, blank = [], self.squeeze
+            for some in self.arcs(text) if self.rules else [text]:
+                some = some.lstrip(" ") if blank else some
+                some = re.sub("  +", " ", some) if self.squeeze else some
+                if some:
+                    out.append(some)
+                    blank = self.squeeze and some.endswith(" ")
+            text = "".join(out)
+            if self.squeeze and not text.strip(" "):
+                return ""
+        text = self.first + text.replace(" ", META)
+        return text.rstrip(META) if self.squeeze else text
 
 
 class Lexicon:
@@ -130,8 +194,8 @@ class Transducer:
         proto.ParseFromString(model)
         norm = proto.normalizer_spec
         kinds = {"normal": 1, "unknown": 2, "control": 3, "user": 4, "byte": 6}
-        if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix:
-            raise ValueError("only models whose normaliser keeps characters and blanks as they are can be compiled")
+        if not norm.escape_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("only models that write blanks as a symbol before a word can be compiled")
         if any(len(p.piece) > LONGEST for p in proto.pieces):
             raise ValueError(f"only models of pieces of up to {LONGEST} characters can be compiled")
         if proto.trainer_spec.model_type not in (1, 2) or any(p.type == kinds["user"] for p in proto.pieces):
@@ -142,7 +206,7 @@ class Transducer:
         for i, p in enumerate(proto.pieces):
             if p.type == kinds["byte"]:
                 byte[int(p.piece[1:-1], 16)] = i
-        self.normalise = Normaliser(self.dummy)
+        self.normalise = Normaliser(self.dummy, norm.remove_extra_whitespaces, character_map(norm.precompiled_charsmap) if norm.precompiled_charsmap else None)
         self.lexicon = Lexicon(score, {p.piece: (i,) for i, p in enumerate(proto.pieces) if p.piece in score}, byte, unknown, None if self.bpe else 10 - min(score.values(), default=0))
         self.junctions = Junctions(score) if self.bpe else None
         #: What each id stands for in decoding; ids of control pieces for nothing.
@@ -216,6 +280,8 @@ class Transducer:
                         paths = self._paths
                     paths[part] = ids
             out += ids
+        if min(self.lexicon.byte) < 0:  # without byte fallback unknown characters beside each other are one
+            out = [i for k, i in enumerate(out) if i != self.lexicon.unknown or not k or out[k - 1] != i]
         return out
 
     def _new(self, part: str) -> tuple[int, ...]:
