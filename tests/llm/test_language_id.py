@@ -1,3 +1,4 @@
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 
@@ -54,3 +55,40 @@ def test_words_against_split():
     assert len({(a, b) for a, b in zip(flat, w.hash.tolist(), strict=True)}) == len(set(flat)) == len(set(w.hash.tolist()))
     sh, first = w.shingles(3)
     assert list(pd.Series(first).diff().dropna().astype(int)) == [max(len(t) - 2, 1 if t else 0) for t in want]
+
+
+def plain_bins(text):
+    """n-grams of one to three bytes as numbers, with a blank on both sides, hashed to bins; one by one."""
+    letters = []
+    for b in text.lower().encode():
+        s = b - 96 if 97 <= b <= 122 else b - 101 if b >= 128 else 0
+        if s or (letters and letters[-1]):
+            letters.append(s)
+    padded = [0, *letters, 0]
+    values = list(letters)
+    values += [155 * a + b + 1000 for a, b in zip(padded, padded[1:])]
+    values += [(155 * a + b) * 155 + c + 100_000 for a, b, c in zip(padded, padded[1:], padded[2:])]
+    out = {}
+    for h in values:
+        h &= 0xFFFFFFFF
+        h = ((h ^ (h >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
+        h = (((h ^ (h >> 12)) * 0x297A2D39) & 0xFFFFFFFF) >> 19
+        out[h] = out.get(h, 0) + 1
+    return out
+
+
+def test_nearest_centroid_against_a_plain_statement(spark):
+    docs = corpus(spark)
+    model = L.fit(docs)
+    extra = [(9000, "Ça va?  ÉTÉ à la maison -- 12 chats", "x"), (9001, "der Bär saß", "x"), (9002, "a", "x"), (9003, "the cat\n\n\nsat " * 5000, "x"), (9004, "中文 字符 and the mat", "x"), (9004, "  le chat  ", "x")]
+    rows = docs.filter("doc_id % 7 = 0").union(spark.createDataFrame(extra, docs.schema)).selectExpr("*", "lang AS lang_pred", "doc_id AS score")
+    checked = 0
+    for r in L.predict(rows, model, ["doc_id", "text"]).collect():
+        v = {b: np.log1p(n) * float(model.idf[b]) for b, n in plain_bins(r.text).items()}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        cos = [sum(float(c[b]) * x for b, x in v.items()) / norm for c in model.centroids]
+        best = max(cos)
+        assert abs(r.score - min(max(best, 0), 1)) < 1e-8
+        assert r.lang_pred in {model.languages[model.owner[i]] for i, x in enumerate(cos) if x > best - 1e-9}
+        checked += 1
+    assert checked > 50
