@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, MapType, StringType, StructField, StructType
 
@@ -21,12 +21,23 @@ SNAPSHOT = _struct(id=_S, title=_S, abstract=_S, authors=_S, authors_parsed=Arra
 
 
 def read_records(spark: SparkSession, path: str, schema: StructType, strict: bool = False) -> DataFrame:
-    """JSON lines, compressed or not; blank lines are skipped. Broken lines are dropped, or raise if strict."""
-    if strict:
-        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """JSON lines, compressed or not; blank lines are skipped. Broken lines are dropped, or fail the query if strict, with their file and how they begin; `broken_lines` finds where they are."""
     with_bad = StructType([*schema.fields, StructField("_bad", _S)])
-    rows = spark.read.schema(with_bad).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.filter("_bad is null").drop("_bad")
+    lines = spark.read.text(path).filter("trim(value) <> ''").select(F.from_json("value", with_bad, {"columnNameOfCorruptRecord": "_bad"}).alias("r"), F.col("_metadata.file_path").alias("file"))
+    whole = F.col("r._bad").isNull()
+    if strict:
+        said = F.concat(F.lit("broken record in "), F.col("file"), F.lit(": "), F.substring("r._bad", 1, 80))
+        whole = F.when(whole, True).otherwise(F.raise_error(said).cast("boolean"))
+    return lines.filter(whole).select(*[F.col("r")[c].alias(c) for c in schema.names])
+
+
+def broken_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1), value of the lines that are no JSON objects; blank ones are none. Files that cannot be split, as compressed ones, are counted where they are read, others by how many lines their pieces have."""
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    pieces = text.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = pieces.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    bad = text.filter((F.trim("value") != "") & F.from_json("value", "_bad string", {"columnNameOfCorruptRecord": "_bad"})["_bad"].isNotNull())
+    return bad.join(before, ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")
 
 
 def read_citations(spark: SparkSession, path: str) -> DataFrame:
