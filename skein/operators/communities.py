@@ -49,7 +49,7 @@ def modularity(weights: DataFrame, labels: DataFrame, resolution: float = 1.0) -
 def _moved(both: DataFrame, strength: DataFrame, total: float, resolution: float, rounds: int, start: DataFrame | None = None) -> DataFrame:
     """node, label after rounds, from labels to start with or each node alone, in which one half of the nodes (by hash and round) each moves to the neighbouring community that adds most to modularity, if any does."""
     labels = start or staged(strength.select("node", F.col("node").alias("label")), "labels")
-    quiet = 0
+    quiet, now = 0, None
     for r in range(rounds):
         sizes = labels.join(strength, "node").groupBy("label").agg(F.sum("k").alias("size"))
         votes = both.filter("a <> b").join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node"), "label").agg(F.sum("w").alias("w"))
@@ -59,7 +59,7 @@ def _moved(both: DataFrame, strength: DataFrame, total: float, resolution: float
         gain = F.round(F.col("w") - resolution * F.col("k") * F.col("others") / (2 * total), 9)
         best = rated.withColumn("g", gain).groupBy("node").agg(F.min(F.struct((-F.col("g")).alias("g"), (F.col("label") != F.col("own")).alias("moves"), "label"))["label"].alias("best"), F.first("own").alias("own"))
         turn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
-        now = staged(best.select("node", F.when(turn, F.col("best")).otherwise(F.col("own")).alias("label"), (turn & (F.col("best") != F.col("own"))).alias("m")), "labels")
+        now = staged(best.select("node", F.when(turn, F.col("best")).otherwise(F.col("own")).alias("label"), (turn & (F.col("best") != F.col("own"))).alias("m")), "labels", replaces=now)
         quiet = 0 if now.filter("m").limit(1).count() else quiet + 1
         labels = now.select("node", "label")
         if quiet == 3:

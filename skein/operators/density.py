@@ -133,14 +133,14 @@ def most_excess(clusters: DataFrame, single: bool = False) -> DataFrame:
         j = now.join(far, "next", "left")
         skips = F.col("value").isNull() & F.col("fv").isNull() & F.col("fn").isNotNull()
         state = staged(j.select("key", "parent", "s", F.when(skips, F.greatest(F.col("m"), F.col("c") + F.col("fm"))).otherwise(F.col("m")).alias("m"), F.when(skips, F.col("c") + F.col("fc")).otherwise(F.col("c")).alias("c"), F.when(skips, F.col("fn")).otherwise(F.col("next")).alias("next"),
-                                F.when(F.col("value").isNotNull(), F.col("value")).when(F.col("fv").isNotNull(), F.greatest(F.col("m"), F.col("c") + F.col("fv"))).alias("value")), "excess")
+                                F.when(F.col("value").isNotNull(), F.col("value")).when(F.col("fv").isNotNull(), F.greatest(F.col("m"), F.col("c") + F.col("fv"))).alias("value")), "excess", replaces=state)
     roots = state.filter("parent is null").limit(2).count()
     kids = state.filter("parent is not null").groupBy(F.col("parent").alias("key")).agg(F.sum("value").alias("sum"))
     able = (F.col("s") >= F.coalesce("sum", F.lit(0.0))) & (F.col("parent").isNotNull() | F.lit(single or roots > 1))
     top = staged(state.join(kids, "key", "left").select("key", F.when(able, F.col("key")).alias("chosen"), F.col("parent").alias("to")), "excess-top")
     while top.filter("to is not null").limit(1).count():
         far = top.select(F.col("key").alias("to"), F.col("chosen").alias("higher"), F.col("to").alias("next"))
-        top = staged(top.join(far, "to", "left").select("key", F.coalesce("higher", "chosen").alias("chosen"), F.col("next").alias("to")), "excess-top")
+        top = staged(top.join(far, "to", "left").select("key", F.coalesce("higher", "chosen").alias("chosen"), F.col("next").alias("to")), "excess-top", replaces=top)
     return top.select("key", "chosen")
 
 

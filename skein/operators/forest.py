@@ -76,7 +76,7 @@ def spanning_rounds(nodes: DataFrame, edges: DataFrame, more: More | None = None
         least = kept.groupBy(F.least("na", "nb").alias("ca"), F.greatest("na", "nb").alias("cb")).agg(F.min(F.struct(*ORDER)).alias("p"))
         e = staged(least.select("p.a", "p.b", "p.w", "ca", "cb"), "forest-edges")
         if more:
-            label = staged(label.join(up, "c", "left").select("node", F.coalesce("up", "c").alias("c")), "forest-labels")
+            label = staged(label.join(up, "c", "left").select("node", F.coalesce("up", "c").alias("c")), "forest-labels", replaces=label)
 
 
 def chains(rounds: Rounds) -> DataFrame:

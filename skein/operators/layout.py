@@ -128,7 +128,7 @@ def neighbour_map(near: DataFrame, first: DataFrame, epochs: int = 12, sweeps: i
         run = _epoch(seen, sweeps, 0.4 * (1 - e / epochs) + 0.01, 0.4 * (1 - (e + 1) / epochs) + 0.01, repel, seed * 1000 + e)
         there = edges.join(placed.select(F.col("node").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by")), "b")
         moved = placed.groupBy("block").cogroup(there.groupBy("block")).applyInPandas(run, "node bigint, x double, y double, block int")
-        placed = staged(moved.select("node", "block", "x", "y"), "map-positions")
+        placed = staged(moved.select("node", "block", "x", "y"), "map-positions", replaces=placed)
     at = placed.select("node", "x", "y")
     return Frozen.fit(at).apply(at)
 

@@ -20,9 +20,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: everything after it sees one and the same evaluation, and starts from the files, whatever executors are lost."""
+def staged(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: everything after it sees one and the same evaluation, and starts from the files, whatever executors are lost.
+
+    replaces: a table that `staged` gave and that nothing reads any more once df is written, as in a loop's last round; its files are deleted.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    old = getattr(replaces, "_staged_at", None)
+    if old:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
