@@ -20,6 +20,7 @@ import re
 import string
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -209,6 +210,7 @@ class Transducer:
         self.normalise = Normaliser(self.dummy, norm.remove_extra_whitespaces, character_map(norm.precompiled_charsmap) if norm.precompiled_charsmap else None)
         self.lexicon = Lexicon(score, {p.piece: (i,) for i, p in enumerate(proto.pieces) if p.piece in score}, byte, unknown, None if self.bpe else 10 - min(score.values(), default=0))
         self.junctions = Junctions(score) if self.bpe else None
+        self.joins_unknown = min(byte) < 0  # without byte fallback unknown characters beside each other are one
         #: What each id stands for in decoding; ids of control pieces for nothing.
         self.spelled = [p.piece.replace(META, " ").encode() if p.piece in score else bytes([int(p.piece[1:-1], 16)]) if p.type == kinds["byte"] else " ⁇ ".encode() if p.type == kinds["unknown"] else b"" for p in proto.pieces]
         inner = {(a, b) for p in score for a, b in zip(p, p[1:])}
@@ -269,21 +271,27 @@ class Transducer:
         return tuple([i for ids in reversed(out) for i in ids])
 
     def encode(self, text: str | None) -> list[int]:
-        paths, out = self._paths, []
-        for part in self.parts(self.normalise(text or "")):
-            ids = paths.get(part)
-            if ids is None:
-                ids = self._older.get(part) or self._new(part)
-                if len(part) <= 64:
-                    if len(paths) >= PATHS:
-                        self._older, self._paths = paths, {}
-                        paths = self._paths
-                    paths[part] = ids
-            out += ids
-        if min(self.lexicon.byte) < 0:  # without byte fallback unknown characters beside each other are one
-            out = [i for k, i in enumerate(out) if i != self.lexicon.unknown or not k or out[k - 1] != i]
+        parts = self.parts(self.normalise(text or ""))
+        found = list(map(self._paths.get, parts))
+        if None in found:
+            for k, ids in enumerate(found):
+                if ids is None:
+                    found[k] = self._looked_up(parts[k])
+        out = list(chain.from_iterable(found))
+        if self.joins_unknown:
+            unknown = self.lexicon.unknown
+            out = [i for k, i in enumerate(out) if i != unknown or not k or out[k - 1] != i]
         return out
 
+    def _looked_up(self, part: str) -> tuple[int, ...]:
+        """Ids of a part that was not in the table when its text began, which goes into it now if it is short."""
+        ids = self._paths.get(part) or self._older.get(part) or self._new(part)
+        if len(part) <= 64:
+            if len(self._paths) >= PATHS:
+                self._older, self._paths = self._paths, {}
+            self._paths[part] = ids
+        return ids
+
     def _new(self, part: str) -> tuple[int, ...]:
         words = self.subparts(part)
         if len(words) == 1:
