@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,9 +68,16 @@ def fit_cells(vectors: DataFrame, cells: int, sample: int = 50_000, rounds: int
 
 
 def _cells(v: Column, centroids: list[list[float]]) -> Column:
-    """Cells from the nearest to the farthest of a vector."""
-    c = F.array(*[F.struct(F.lit(i).alias("cell"), F.array(*map(F.lit, x)).alias("c"), F.lit(sum(y * y for y in x) / 2).alias("h")) for i, x in enumerate(centroids)])
-    return F.transform(F.array_sort(F.transform(c, lambda x: F.struct((x["h"] - dot(v, x["c"])).alias("d"), x["cell"].alias("cell")))), lambda x: x["cell"])
+    """Cells from the nearest to the farthest of a vector. The centroids go to the executors beside the plan, not in it."""
+    c = np.array(centroids, np.float64)
+
+    @F.pandas_udf("array<int>")
+    def order(x: pd.Series) -> pd.Series:
+        m = np.array(x.tolist(), np.float64).reshape(len(x), -1)
+        d = (c * c).sum(1)[None] / 2 - m @ c.T if len(x) else np.zeros((0, len(c)))
+        return pd.Series(list(np.argsort(d, axis=1, kind="stable").astype(np.int32)), dtype=object)
+
+    return order(v)
 
 
 def approximate_neighbours(queries: DataFrame, vectors: DataFrame, centroids: list[list[float]], k: int, probes: int) -> DataFrame:
