@@ -107,7 +107,7 @@ _TOP = "t AS (SELECT a, b, refs + citers AS overlap FROM shared QUALIFY row_numb
 
 @query(f"WITH {SHARED}, {_TOP} SELECT * FROM cand")
 def d4_citation_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return G.citation_candidates(edges(spark, d), 10, HUB_DEGREE_LIMIT)
+    return G.citation_candidates(staged(edges(spark, d), "edges"), 10, HUB_DEGREE_LIMIT)
 
 
 @query(f"""WITH {SHARED}, {_TOP}, ar AS (SELECT x.src AS a, y.src AS b, count(*) AS n FROM edges x JOIN edges y ON x.dst = y.dst AND x.src <> y.src GROUP BY 1, 2), ac AS (SELECT x.dst AS a, y.dst AS b, count(*) AS n FROM edges x JOIN edges y ON x.src = y.src AND x.dst <> y.dst GROUP BY 1, 2)
@@ -115,9 +115,7 @@ SELECT c.a, c.b, round(CASE WHEN d.a IS NOT NULL THEN 1.0 ELSE 0.5 * (CASE WHEN
 FROM (SELECT DISTINCT a, b FROM cand) c LEFT JOIN ar ON ar.a = c.a AND ar.b = c.b LEFT JOIN ac ON ac.a = c.a AND ac.b = c.b LEFT JOIN direct d ON d.a = c.a AND d.b = c.b LEFT JOIN dego oa ON oa.p = c.a LEFT JOIN dego ob ON ob.p = c.b LEFT JOIN deg ia ON ia.p = c.a LEFT JOIN deg ib ON ib.p = c.b""")
 def d2_d3_citation_score(spark: SparkSession, d: str) -> DataFrame:
     """Scores of all candidates of D4, with shared works of any degree."""
-    e = edges(spark, d)
-    pairs = staged(G.citation_candidates(e, 10, HUB_DEGREE_LIMIT), "citation-candidates")
-    return G.citation_scores(e, G.shared_of(e, pairs)).withColumn("score", F.round("score", 6))
+    return G.scored_candidates(edges(spark, d), 10, HUB_DEGREE_LIMIT).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH known AS (SELECT o_orderkey AS node FROM orders WHERE o_orderstatus = 'O'), {CITATIONS}, i AS (SELECT dst AS node, count(*) AS n FROM citations GROUP BY 1), o AS (SELECT src AS node, count(*) AS n FROM citations GROUP BY 1), e AS (SELECT dst AS node, count(DISTINCT src) AS n FROM citations WHERE src <> dst AND src IN (SELECT node FROM known) GROUP BY 1) SELECT k.node, coalesce(i.n, 0)::BIGINT AS incoming, coalesce(o.n, 0)::BIGINT AS outgoing, coalesce(e.n, 0)::BIGINT AS internal FROM known k LEFT JOIN i USING (node) LEFT JOIN o USING (node) LEFT JOIN e USING (node)")
