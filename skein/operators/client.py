@@ -121,31 +121,35 @@ def tiles(points: DataFrame) -> DataFrame:
 def declutter(labels: DataFrame, width: float, height: float, char: float = 0.6, pad: float = 6.0) -> DataFrame:
     """The labels (id, text, px, py, size, priority) that one screen shows: the best first, each whose box lies on the screen, meets none that is shown, and whose text is not shown.
 
-    Boxes are char * size * length wide and size high, with `pad` around. A label meets only those of the 3 x 3 screen cells around it; labels are decided in rounds as
-    points are in `spatial.thin`: in if all better ones that rule it out are out, out if one is in. One screen's labels are some thousands at most.
+    Boxes are char * size * length wide and size high, with `pad` around. Labels are decided in rounds: the best undecided one of each text and of each spot of the screen (so small that boxes in it always meet) is in if no better
+    undecided box meets it, and what it rules out goes. This gives what one pass in order would, and a round compares as many boxes with the others as the screen has spots, at most.
     """
     from skein.sources.staging import staged
 
     half_w, half_h = F.length("text") * F.col("size") * char / 2 + pad, F.col("size") / 2 + pad
     boxed = labels.withColumn("hw", half_w).withColumn("hh", half_h).filter((F.col("px") - F.col("hw") >= 0) & (F.col("px") + F.col("hw") <= width) & (F.col("py") - F.col("hh") >= 0) & (F.col("py") + F.col("hh") <= height))
-    boxed = staged(boxed, "labels")
-    most = boxed.agg(F.max("hw").alias("w"), F.max("hh").alias("h")).first()
+    left = staged(boxed.select("id", "text", "px", "py", "hw", "hh", "priority"), "labels")
+    most = left.agg(F.max("hw").alias("w"), F.max("hh").alias("h"), F.min("hw").alias("lw"), F.min("hh").alias("lh")).first()
     if most.w is None:
         return labels.limit(0)
     cell = lambda c, r: F.floor(F.col(c) / (2 * r))
-    side = lambda x: boxed.select(*[F.col(c).alias(f"{x}{c}") for c in ("id", "text", "px", "py", "hw", "hh", "priority")], cell("px", most.w).alias("i"), cell("py", most.h).alias("j"))
+    side = lambda df, x: df.select(*[F.col(c).alias(f"{x}{c}") for c in ("id", "text", "px", "py", "hw", "hh", "priority")], cell("px", most.w).alias("i"), cell("py", most.h).alias("j"))
     steps = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in (-1, 0, 1) for q in (-1, 0, 1)]))
-    around = side("a").withColumn("s", steps).withColumn("i", F.col("i") + F.col("s.p")).withColumn("j", F.col("j") + F.col("s.q")).drop("s")
+    around = lambda df: side(df, "a").withColumn("s", steps).withColumn("i", F.col("i") + F.col("s.p")).withColumn("j", F.col("j") + F.col("s.q")).drop("s")
     better = (F.col("bpriority") > F.col("apriority")) | (F.col("bpriority") == F.col("apriority")) & (F.col("bid") < F.col("aid"))
     meets = (F.abs(F.col("apx") - F.col("bpx")) < F.col("ahw") + F.col("bhw")) & (F.abs(F.col("apy") - F.col("bpy")) < F.col("ahh") + F.col("bhh"))
-    near = around.join(side("b"), ["i", "j"]).filter(better & meets).select(F.col("aid").alias("a"), F.col("bid").alias("b"))
-    same = side("a").drop("i", "j").join(side("b").drop("i", "j"), F.col("atext") == F.col("btext")).filter(better).select(F.col("aid").alias("a"), F.col("bid").alias("b"))
-    rules = staged(near.union(same).distinct(), "label-rules")
-    state = staged(boxed.select("id", F.lit(None).cast("boolean").alias("shown")), "label-state")
-    while state.filter("shown is null").limit(1).count():
-        seen = rules.join(state.select(F.col("id").alias("b"), F.col("shown").alias("s")), "b").groupBy(F.col("a").alias("id")).agg(F.coalesce(F.bool_or("s"), F.lit(False)).alias("blocked"), F.bool_and(F.coalesce(~F.col("s"), F.lit(False))).alias("free"))
-        state = staged(state.join(seen, "id", "left").select("id", F.when(F.col("shown").isNotNull(), F.col("shown")).when(F.col("blocked"), False).when(F.coalesce("free", F.lit(True)), True).alias("shown")), "label-state")
-    return labels.join(state.filter("shown").select("id"), "id", "left_semi")
+    first = F.min_by(F.struct("id", "text", "px", "py", "hw", "hh", "priority"), F.struct((-F.col("priority")).alias("p"), "id")).alias("f")
+    spot = (cell("px", most.lw), cell("py", most.lh)) if min(most.lw, most.lh) > 0 else (F.col("id"),)
+    shown = None
+    while left.limit(1).count():
+        of_text = left.groupBy("text").agg(first).select("f.*")
+        best = staged(left.groupBy(*spot).agg(first).select("f.*").join(of_text.select("id"), "id", "left_semi"), "label-best")
+        beaten = around(best).join(side(left, "b"), ["i", "j"]).filter(better & meets).select(F.col("aid").alias("id")).distinct()
+        new = staged(best.join(beaten, "id", "left_anti"), "label-new")
+        out = around(new).join(side(left, "b"), ["i", "j"]).filter(meets).select(F.col("bid").alias("id")).distinct()
+        left = staged(left.join(out, "id", "left_anti").join(new.select("text"), "text", "left_anti").join(new.select("id"), "id", "left_anti"), "labels", replaces=left)
+        shown = staged(new.select("id") if shown is None else shown.unionByName(new.select("id")), "label-shown", replaces=shown)
+    return labels.join(shown, "id", "left_semi")
 
 
 def box_choice(boxes: DataFrame, captions: DataFrame, width: float = 40.0, height: float = 20.0, slack: float = 20.0) -> DataFrame:
