@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.vectors import dot
+
 
 def with_total(rows: DataFrame, group: str, value: Column | None = None, name: str = "n") -> DataFrame:
     """group, n, total: rows (or the sum of a value) per group and of all groups up to it. Groups are few, as levels or months are."""
@@ -105,16 +111,38 @@ def best_threshold(scan: DataFrame) -> DataFrame:
     return scan.orderBy(F.desc(F.col("caught") - F.col("wrong")), "t").limit(1)
 
 
-def gold_ranks(queries: DataFrame, vectors: DataFrame, blocks: int = 16) -> DataFrame:
+def _above(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+    """node, n: of a block of queries (q, qv, gold) and one of vectors (node, v), how many others' scores, to five digits, are above a query's gold."""
+    from skein.operators.vectors import AT_ONCE, matrix
+
+    q, gold, ns = queries["q"].combine_chunks(), queries["gold"].to_numpy(), vectors["node"].to_numpy()
+    n = np.zeros(len(q), np.int64)
+    if len(q) and len(ns):
+        ids, x, y = q.to_numpy(), matrix(queries["qv"].combine_chunks()), matrix(vectors["v"].combine_chunks())
+        for lo in range(0, len(q), AT_ONCE):
+            some = slice(lo, lo + AT_ONCE)
+            s, half = x[some] @ y.T, gold[some, None] + 0.5e-5
+            slack = 1e-9 * (1 + np.abs(half))
+            able = (ids[some, None] != ns[None]) & ~np.isnan(half)
+            over = able & ~(s < half + slack)
+            i, j = np.nonzero(able & (np.abs(s - half) <= slack))  # too near for a matrix product's last digits: added in order, rounded in decimals
+            over[i, j] = [Decimal(repr(float(np.cumsum(x[lo + a] * y[b])[-1]))).quantize(Decimal("0.00001"), ROUND_HALF_UP) > Decimal(repr(float(gold[lo + a]))) for a, b in zip(i, j, strict=True)]
+            n[some] = over.sum(1)
+    return pa.Table.from_arrays([q, pa.array(n)], names=["node", "n"])
+
+
+def gold_ranks(queries: DataFrame, vectors: DataFrame, blocks: int | None = None) -> DataFrame:
     """node, rank: where the right answer of each query (node, q, g: its right answer's vector) stands among all vectors (node, v) but itself, 1 being the nearest.
 
-    Queries meet the vectors block by block, and only counts leave a block.
+    Queries meet the vectors block by block, a matrix product each, and only counts leave a block.
     """
-    from skein.functions.vectors import dot
+    from skein.operators.vectors import met
 
     gold = queries.select("node", "q", F.round(dot(F.col("q"), F.col("g")), 5).alias("gold"))
-    pairs = gold.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(vectors.select(F.col("node").alias("o"), "v", F.pmod(F.hash("node"), F.lit(blocks)).alias("b")), "b")
-    return pairs.groupBy("node").agg((F.count_if((F.col("o") != F.col("node")) & (F.round(dot(F.col("q"), F.col("v")), 5) > F.col("gold"))) + 1).alias("rank"))
+    whole = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())  # no score with others, nor to them
+    q, v = met(gold.filter("gold is not null").select(F.col("node").alias("q"), F.col("q").alias("qv"), "gold", F.lit(0).alias("w")), vectors.filter(whole).select("node", "v", F.lit(0).alias("w")), blocks)
+    n = q.cogroup(v).applyInArrow(_above, f"node {dict(queries.dtypes)['node']}, n bigint")
+    return gold.select("node", F.lit(0).cast("bigint").alias("n")).unionByName(n).groupBy("node").agg((F.sum("n") + 1).alias("rank"))
 
 
 def recall_at(ranks: DataFrame, at: list[int]) -> DataFrame:
