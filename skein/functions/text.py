@@ -35,6 +35,17 @@ def invert_words(words: Column) -> Column:
     return F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w, F.transform(F.filter(at, lambda x: x["w"] == w), lambda x: x["i"]))))
 
 
+def inverted(words: Column) -> Column:
+    """Map of word to its positions in an array of words, of any length: words are sorted, and each run of one word is a slice."""
+    # One-element transforms: the words are sorted, and the runs found, once, not once per word.
+    sorted_ = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    first = lambda o: F.filter(F.sequence(F.lit(0), F.size(o)), lambda i: (i == 0) | (i == F.size(o)) | (F.get(o, i)["w"] != F.get(o, i - 1)["w"]))
+    runs = F.transform(F.array(sorted_), lambda o: F.struct(o.alias("o"), first(o).alias("at")))
+    entry = lambda r, at, i: F.struct(F.get(r["o"], at)["w"].alias("w"), F.transform(F.slice(r["o"], at + 1, F.get(r["at"], i + 1) - at), lambda x: x["i"]).alias("at"))
+    entries = F.transform(runs, lambda r: F.transform(F.slice(r["at"], 1, F.size(r["at"]) - 1), lambda at, i: entry(r, at, i)))[0]
+    return F.map_from_entries(F.when(F.size(words) > 0, entries).otherwise(F.slice(entries, 1, 0)))
+
+
 def embed_text(title: Column, abstract: Column) -> Column:
     """`title. abstract`, or the one that is there."""
     return F.concat_ws(". ", blank_to_null(F.trim(title)), blank_to_null(F.trim(abstract)))

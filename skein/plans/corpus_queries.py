@@ -57,9 +57,9 @@ def a17_two_field_filters(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"SELECT doc_id, md5(array_to_string(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), ' ')) AS md5 FROM documents WHERE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) > 0")
 def b1_rebuild_text(spark: SparkSession, d: str) -> DataFrame:
-    """The index of each text is made by groups, a row a text and word, and rebuilt by the operator."""
-    words = table(spark, d, "documents").select("doc_id", F.posexplode(F.array_remove(F.split("text", r"[ \t-\r]+"), "")).alias("p", "w"))
-    index = words.groupBy("doc_id", "w").agg(F.collect_list("p").alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("index"))
+    """The index of each text is made from its words in order, inside its row, and rebuilt by the operator."""
+    words = table(spark, d, "documents").select("doc_id", F.array_remove(F.split("text", r"[ \t-\r]+"), "").alias("words")).filter(F.size("words") > 0)
+    index = words.select("doc_id", T.inverted(F.col("words")).alias("index"))
     return index.select("doc_id", F.md5(T.rebuild_text(F.col("index"))).alias("md5"))
 
 
