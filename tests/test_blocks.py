@@ -71,3 +71,17 @@ def test_small_groups_are_not_copied(spark, monkeypatch):
     copies = {r.w: r.n for r in met.count().groupBy("w").agg(F.sum("count").alias("n")).collect()}
     assert copies.pop(-1) == 200 * 4 and set(copies.values()) == {20}  # of all in one, 16 blocks each
     assert q.count().agg(F.sum("count")).first()[0] == 200 * 4 + 800
+
+
+def test_batches_of_groups_are_bounded_in_bytes(spark):
+    from skein.operators import graph_index as GI
+
+    key, (_, df) = "spark.sql.execution.arrow.maxBytesPerBatch", make(spark, 60)
+    before = spark.conf.get(key, None)
+    try:
+        for now, want in (("268435456", GI.BATCH_BYTES), ("65536", 65536)):
+            spark.conf.set(key, now)
+            GI.neighbour_graph(df.limit(1))
+            assert int(spark.conf.get(key)) == want
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
