@@ -85,3 +85,16 @@ def test_batches_of_groups_are_bounded_in_bytes(spark):
             assert int(spark.conf.get(key)) == want
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_neighbour_graphs_of_queries_have_as_many_blocks_as_their_vectors_need(spark, monkeypatch):
+    from skein.operators import communities, hierarchy
+    from skein.plans.more_queries import query
+
+    asked, met = [], V.met
+    monkeypatch.setattr(V, "met", lambda q, v, blocks=None: asked.append(blocks) or met(q, v, blocks))
+    monkeypatch.setattr(communities, "communities_near", lambda w, *a: (w, 1.0))
+    monkeypatch.setattr(hierarchy, "hierarchy", lambda v, *a, **b: v)
+    for name in ("d29_communities", "e17_graph_hierarchy"):
+        query.queries[name](spark, "/root/testdata/sf0.001")
+    assert asked == [None, None]
