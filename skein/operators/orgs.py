@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.sources.staging import staged
+from skein.sources.staging import spread, staged
 
 
 def first_unit(texts: DataFrame, keys: list[str], units: list[tuple[str, str]]) -> DataFrame:
@@ -72,11 +72,14 @@ def new_pairs(extracted: DataFrame, asserted: DataFrame) -> DataFrame:
     return extracted.select("node", "org").distinct().join(asserted.select("node", "org"), ["node", "org"], "left_anti")
 
 
-def node_labels(institutions: DataFrame, registry: DataFrame, named: DataFrame, names: DataFrame) -> DataFrame:
-    """node, label: display names of a paper's institutions (institution, node; registry: institution, display_name) and of the organisations that its strings name (org, node; names: key, display_name); what has no name is left out."""
+def node_labels(institutions: DataFrame, registry: DataFrame, named: DataFrame, names: DataFrame, rows: int = 0) -> DataFrame:
+    """node, label: display names of a paper's institutions (institution, node; registry: institution, display_name) and of the organisations that its strings name (org, node; names: key, display_name); what has no name is left out.
+
+    rows: how many rows institutions and named have together, about, if they are many; a task of the result holds a bounded number of them then."""
     a = institutions.join(registry.select("institution", "display_name"), "institution").select("node", "display_name")
     b = named.join(names.select(F.col("key").alias("org"), "display_name"), "org").select("node", "display_name")
-    return a.union(b).filter("coalesce(display_name, '') <> ''").select("node", F.col("display_name").alias("label")).distinct()
+    all_ = a.union(b).filter("coalesce(display_name, '') <> ''").select("node", F.col("display_name").alias("label"))
+    return spread(all_, rows, "node", "label").distinct()
 
 
 def same_name_groups(authors: DataFrame, least: int = 1) -> DataFrame:
