@@ -40,3 +40,15 @@ def test_labels_of_papers_are_dealt_by_rows(spark, tmp_path, monkeypatch):
     df = MQ.query.queries["m3_node_labels"](spark, str(tmp_path))
     assert sorted(map(tuple, df.collect())) == sorted((k, f"{x}{1 + k % 3}") for k in range(300) for x in "SN")
     assert df.rdd.getNumPartitions() == 6  # rows of both kinds / TASK_ROWS
+
+
+def test_citations_are_counted_by_bounded_tasks(spark, monkeypatch):
+    from skein.operators import graph as G
+
+    monkeypatch.setattr(staging, "TASK_ROWS", 100, raising=False)
+    raw = [(k % 50, k * k % 41) for k in range(1000)]
+    known = set(range(0, 60, 2))
+    df = G.citation_totals(spark.createDataFrame(raw, "src bigint, dst bigint").coalesce(1), spark.createDataFrame([(k,) for k in known], "node bigint"))
+    want = {k: (sum(b == k for _, b in raw), sum(a == k for a, _ in raw), len({a for a, b in raw if b == k and a != k and a in known})) for k in known}
+    assert {r.node: (r.incoming, r.outgoing, r.internal) for r in df.collect()} == want
+    assert plan(df).count("REPARTITION_BY_NUM") >= 3
