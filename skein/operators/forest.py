@@ -6,19 +6,57 @@ hangs the component that took it, as one branch, onto a chain of heavier edges,
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.sources.staging import staged
+from skein.sources.staging import TASK_ROWS, observed, staged
 
 #: Edges are ordered by weight, then by their ends, so that no two are alike.
 ORDER = ("w", "a", "b")
-#: More edges (a, b, w, ca, cb) that the least ones of a round may have missed, from the points' components (node, c) and what these would take.
+#: More edges (a, b, w, ca, cb) that the least ones of a round may have missed, from the nodes' components (node, what else is known of it, c) and what these would take.
 More = Callable[[DataFrame, DataFrame], "DataFrame | None"]
 
 
+def least_forest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Places of the edges of the least spanning forest of edges a < b by ORDER; of equal edges the first."""
+    order = np.lexsort((b, a, w))
+    ends = np.unique(np.stack([a, b])[:, order], return_inverse=True)[1].reshape(2, -1)
+    n = int(ends.max(initial=-1)) + 1
+    kept, at = [], np.arange(len(order))  # edges by rank, those inside a component left out
+    while len(at):
+        least = np.full(n, len(order))
+        np.minimum.at(least, ends.ravel(), np.tile(np.arange(len(at)), 2))
+        has = np.flatnonzero(least < len(order))
+        edge, to = least[has], np.arange(n)
+        to[has] = ends[0, edge] + ends[1, edge] - has
+        twice = (to[to] == np.arange(n)) & (np.arange(n) < to)  # two that take one edge
+        to[twice] = np.flatnonzero(twice)
+        kept.append(at[np.unique(edge)])
+        while not np.array_equal(up := to[to], to):
+            to = up
+        ends = to[ends]
+        apart = ends[0] != ends[1]
+        ends, at = ends[:, apart], at[apart]
+    return order[np.concatenate(kept)] if kept else np.zeros(0, np.int64)
+
+
+def thinned(edges: DataFrame, rows: int, *place: str) -> DataFrame:
+    """a, b, w: edges (a, b, w, and the columns `place`), so many rows, without some that are the heaviest of a circle, as the least spanning forest has none of these. Ranges of places, about TASK_ROWS / 2 edges each, keep their own least forests: where
+    near edges have near places, little more than one edge a node stays."""
+    e = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w", *place)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches([b.select(["a", "b", "w"]) for b in batches] or [pa.RecordBatch.from_pydict({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "w": pa.array([], pa.float64())})])
+        yield from t.take(pa.array(least_forest(*(t[c].to_numpy() for c in "abw")))).to_batches()
+
+    dealt = e.repartitionByRange(max(1, -(-2 * rows // TASK_ROWS)), *place, "a", "b").select(*[F.col(c).cast("bigint").alias(c) for c in "ab"], F.col("w").cast("double").alias("w"))
+    return dealt.mapInArrow(run, "a bigint, b bigint, w double")
+
+
 def _taken(edges: DataFrame) -> DataFrame:
     """c, w, a, b, to: the least edge that leaves each component."""
     both = edges.select(F.col("ca").alias("c"), *ORDER, F.col("cb").alias("to")).union(edges.select("cb", *ORDER, "ca"))
@@ -32,8 +70,9 @@ def _roots(taken: DataFrame) -> DataFrame:
     up = staged(taken.join(other, "to").select("c", F.when(mutual & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("up")), "forest-up")
     while True:
         far = up.select(F.col("c").alias("up"), F.col("up").alias("far"))
-        now = staged(up.join(far, "up").select("c", "far", (F.col("far") != F.col("up")).alias("moved")).withColumnRenamed("far", "up"), "forest-up")
-        if not now.filter("moved").limit(1).count():
+        now = up.join(far, "up").select("c", "far", (F.col("far") != F.col("up")).alias("moved")).withColumnRenamed("far", "up")
+        now, seen = observed(now, "forest-up", moved=F.count_if("moved"))
+        if not seen["moved"]:
             return now.select("c", "up")
         up = now.select("c", "up")
 
@@ -54,19 +93,20 @@ class Rounds:
 
 
 def spanning_rounds(nodes: DataFrame, edges: DataFrame, more: More | None = None) -> Rounds:
-    """The rounds of contraction of nodes (node) along undirected edges (a, b, w): as many as the logarithm of the nodes at most."""
+    """The rounds of contraction of nodes (node, and with `more` what it wants to know of them) along undirected edges (a, b, w): as many as the logarithm of the nodes at most."""
+    known = nodes
     nodes = staged(nodes.select("node").distinct(), "forest-nodes")
     e = edges.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("w").alias("w"))
     e = staged(e.select("a", "b", "w", F.col("a").alias("ca"), F.col("b").alias("cb")), "forest-edges")
-    label = nodes.select("node", F.col("node").alias("c"))
+    label = known.withColumn("c", F.col("node"))
     taken, ups = [], []
     while True:
-        now = staged(_taken(e), "forest-taken")
+        now, seen = observed(_taken(e), "forest-taken", n=F.count("*"))
         extra = more(label, now) if more else None
         if extra is not None:
-            e = staged(e.unionByName(extra), "forest-edges")
-            now = staged(_taken(e), "forest-taken")
-        if not now.limit(1).count():
+            e = e.unionByName(extra)
+            now, seen = observed(_taken(e), "forest-taken", n=F.count("*"))
+        if not seen["n"]:
             return Rounds(nodes, taken, ups)
         up = _roots(now)
         taken.append(now)
@@ -76,7 +116,7 @@ def spanning_rounds(nodes: DataFrame, edges: DataFrame, more: More | None = None
         least = kept.groupBy(F.least("na", "nb").alias("ca"), F.greatest("na", "nb").alias("cb")).agg(F.min(F.struct(*ORDER)).alias("p"))
         e = staged(least.select("p.a", "p.b", "p.w", "ca", "cb"), "forest-edges")
         if more:
-            label = staged(label.join(up, "c", "left").select("node", F.coalesce("up", "c").alias("c")), "forest-labels", replaces=label)
+            label = staged(label.join(up, "c", "left").select(*known.columns, F.coalesce("up", "c").alias("c")), "forest-labels", replaces=label)
 
 
 def chains(rounds: Rounds) -> DataFrame:

@@ -3,7 +3,10 @@
 import math
 import random
 
+import numpy as np
+
 from skein.operators import density as D
+from skein.operators import forest as F_
 from skein.operators.forest import chains, scanned, spanning_rounds
 
 
@@ -124,3 +127,30 @@ def test_forest_and_sizes(spark):
     got = {(x.a, x.b): (x.w, x.size) for x in scanned(chains(rounds), 5).collect()}
     assert got == want
     assert {(x.a, x.b) for x in rounds.edges().collect()} == set(want)
+
+
+def test_lists_are_thinned_before_the_rounds(spark, monkeypatch):
+    rows, real = [], F_.staged
+    monkeypatch.setattr(F_, "staged", lambda df, name, **k: (out := real(df, name, **k), rows.append(out.count() if name == "forest-edges" else 0))[0])
+    points, n = make(600, 9), 600
+    got = {r.node: r.cluster for r in D.density_hierarchy(spark.createDataFrame(points, "node long, x double, y double"), 6, 15).collect()}
+    assert got == sequential(points, 6, 15)
+    assert max(rows) < 2 * n  # a list has ten
+
+
+def test_least_forest_of_equal_weights():
+    r = random.Random(5)
+    for n, m in ((1, 0), (2, 3), (40, 30), (60, 400)):
+        edges = [(min(x), max(x), float(r.randrange(6))) for x in (r.sample(range(n), 2) for _ in range(m))]
+        root, want = list(range(n)), set()
+
+        def find(i):
+            return i if root[i] == i else find(root[i])  # noqa: B023
+
+        for a, b, w in sorted(edges, key=lambda e: (e[2], e[0], e[1])):
+            if (x := find(a)) != (y := find(b)):
+                root[x] = y
+                want.add((a, b, w))
+        a, b, w = (np.array([e[k] for e in edges], t) for k, t in enumerate((np.int64, np.int64, float)))
+        at = F_.least_forest(a, b, w)
+        assert {(int(a[k]), int(b[k]), float(w[k])) for k in at} == want and len(at) == len(want)
