@@ -161,6 +161,8 @@ def scanned(chain: DataFrame, least: int) -> DataFrame:
     sized = staged(sized.withColumn("split", split), "chain-sizes")
     edge = F.struct(*ORDER)
     firsts = sized.groupBy("part", "level", "v").agg(F.min(F.when(F.col("split"), edge)).alias("first"))
-    beyond = firsts.withColumn("beyond", F.min("first").over(Window.partitionBy("level", "v").orderBy("part").rowsBetween(1, Window.unboundedFollowing))).drop("first")
-    local = F.min(F.when(F.col("split"), edge)).over(inside.rowsBetween(1, Window.unboundedFollowing))
+    # What follows is looked at from the end on: a frame up to the last row is evaluated anew for each row, one from the first row goes on from row to row.
+    beyond = firsts.withColumn("beyond", F.min("first").over(Window.partitionBy("level", "v").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1))).drop("first")
+    from_end = Window.partitionBy("part", "level", "v").orderBy(*map(F.desc, ORDER))
+    local = F.min(F.when(F.col("split"), edge)).over(from_end.rowsBetween(Window.unboundedPreceding, -1))
     return staged(sized.withColumn("local", local).join(beyond, ["part", "level", "v"]).withColumn("above", F.coalesce("local", "beyond")).drop("local", "beyond", "part"), "chain-scanned")

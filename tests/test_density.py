@@ -154,3 +154,13 @@ def test_least_forest_of_equal_weights():
         a, b, w = (np.array([e[k] for e in edges], t) for k, t in enumerate((np.int64, np.int64, float)))
         at = F_.least_forest(a, b, w)
         assert {(int(a[k]), int(b[k]), float(w[k])) for k in at} == want and len(at) == len(want)
+
+
+def test_no_frame_of_a_chain_is_evaluated_anew_for_each_row(spark, monkeypatch):
+    plans, real = [], F_.staged
+    monkeypatch.setattr(F_, "staged", lambda df, name, **k: (plans.append(df._jdf.queryExecution().optimizedPlan().toString().lower()), real(df, name, **k))[1])
+    n = 40
+    df = spark.createDataFrame([(k, k + 1, float(k)) for k in range(n)], "a long, b long, w double")
+    got = {x.a: (x.size, x.above.a if x.above else None) for x in scanned(chains(spanning_rounds(spark.range(n + 1).withColumnRenamed("id", "node"), df)), 1).collect()}
+    assert got == {k: (k + 2, k + 1 if k + 1 < n else None) for k in range(n)}
+    assert any("unboundedpreceding" in p for p in plans) and not any("unboundedfollowing" in p for p in plans)
