@@ -12,7 +12,7 @@ from skein.plans.tables import AUTHORSHIP, CITATIONS, EDGES, PAPERS, authorship,
 from skein.sources.staging import staged
 
 query = Registry()
-#: Pivots of more edges make no candidates.
+#: Pivots of more edges make no candidates of D2 and D3.
 HUB_DEGREE_LIMIT = 1000
 
 
@@ -105,16 +105,22 @@ shared AS (SELECT coalesce(r.a, c.a) AS a, coalesce(r.b, c.b) AS b, coalesce(r.n
 _TOP = "t AS (SELECT a, b, refs + citers AS overlap FROM shared QUALIFY row_number() OVER (PARTITION BY a ORDER BY refs + citers DESC, b) <= 10), direct AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), cand AS (SELECT a, b, overlap::BIGINT AS overlap FROM t UNION SELECT d.a, d.b, coalesce(s.refs + s.citers, 0)::BIGINT FROM direct d LEFT JOIN shared s ON s.a = d.a AND s.b = d.b)"
 
 
-@query(f"WITH {SHARED}, {_TOP} SELECT * FROM cand")
+#: The same through pivots of any degree.
+SHARED_BY_ALL = f"""{EDGES}, refs AS (SELECT x.src AS a, y.src AS b, count(*) AS n FROM edges x JOIN edges y ON x.dst = y.dst AND x.src <> y.src GROUP BY 1, 2), citers AS (SELECT x.dst AS a, y.dst AS b, count(*) AS n FROM edges x JOIN edges y ON x.src = y.src AND x.dst <> y.dst GROUP BY 1, 2),
+shared AS (SELECT coalesce(r.a, c.a) AS a, coalesce(r.b, c.b) AS b, coalesce(r.n, 0)::BIGINT AS refs, coalesce(c.n, 0)::BIGINT AS citers FROM refs r FULL JOIN citers c ON r.a = c.a AND r.b = c.b)"""
+
+
+@query(f"WITH {SHARED_BY_ALL}, {_TOP} SELECT * FROM cand")
 def d4_citation_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return G.citation_candidates(staged(edges(spark, d), "edges"), 10, HUB_DEGREE_LIMIT)
+    """The ten of most shared works, through pivots of any degree, and all that are directly linked."""
+    return G.citation_candidates(staged(edges(spark, d), "edges"), 10)
 
 
 @query(f"""WITH {SHARED}, {_TOP}, ar AS (SELECT x.src AS a, y.src AS b, count(*) AS n FROM edges x JOIN edges y ON x.dst = y.dst AND x.src <> y.src GROUP BY 1, 2), ac AS (SELECT x.dst AS a, y.dst AS b, count(*) AS n FROM edges x JOIN edges y ON x.src = y.src AND x.dst <> y.dst GROUP BY 1, 2)
 SELECT c.a, c.b, round(CASE WHEN d.a IS NOT NULL THEN 1.0 ELSE 0.5 * (CASE WHEN ar.n > 0 THEN ar.n::DOUBLE / (coalesce(oa.n, 0) + coalesce(ob.n, 0) - ar.n) ELSE 0 END + CASE WHEN ac.n > 0 THEN ac.n::DOUBLE / (coalesce(ia.n, 0) + coalesce(ib.n, 0) - ac.n) ELSE 0 END) END, 6) AS score
 FROM (SELECT DISTINCT a, b FROM cand) c LEFT JOIN ar ON ar.a = c.a AND ar.b = c.b LEFT JOIN ac ON ac.a = c.a AND ac.b = c.b LEFT JOIN direct d ON d.a = c.a AND d.b = c.b LEFT JOIN dego oa ON oa.p = c.a LEFT JOIN dego ob ON ob.p = c.b LEFT JOIN deg ia ON ia.p = c.a LEFT JOIN deg ib ON ib.p = c.b""")
 def d2_d3_citation_score(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of all candidates of D4, with shared works of any degree."""
+    """Scores of candidates as D4's, made by pivots of up to HUB_DEGREE_LIMIT edges, with shared works of any degree."""
     return G.scored_candidates(edges(spark, d), 10, HUB_DEGREE_LIMIT).withColumn("score", F.round("score", 6))
 
 
