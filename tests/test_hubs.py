@@ -51,3 +51,8 @@ def test_fused_neighbours_through_a_hub(spark, far_apart):
     got = sorted((r["mode"], r.a, r.b, round(r.score, 5), r["rank"]) for r in rows)
     assert got == [(*x[:3], round(x[3], 5), x[4]) for x in oracle("d5_d6_fused_neighbours", far_apart, "lineitem", "embeddings")]
     assert through_hub([r for r in rows if r["mode"] == "fused"]) == {a: [b for b in range(40, 60) if b != a][:15] for a in range(40, 60)}
+
+
+def test_fused_on_graph_through_a_hub(spark, far_apart):
+    rows = entry.queries()["d5_fused_on_graph"](spark, far_apart).collect()
+    assert through_hub(rows) == {a: [b for b in range(40, 60) if b != a][:15] for a in range(40, 60)}
