@@ -49,3 +49,14 @@ def test_labels_of_one_text_are_not_paired(spark, monkeypatch):
     labels = spark.range(600).selectExpr("id", "concat('t', id % 2) AS text", "100.0D + id % 7 AS px", "100.0D + id % 5 AS py", "12.0D AS size", "cast(id % 50 AS double) AS priority")
     assert [x.id for x in CL.declutter(labels, 500.0, 400.0).collect()] == [49]
     assert sum(rows) < 3000
+
+
+def test_redundant_pairs_of_one_set_are_dealt(spark, monkeypatch):
+    """Two texts that all labels have, one within the other: every pair once, in tasks of which none holds a set."""
+    monkeypatch.setattr(LB, "BLOCK", 16)
+    monkeypatch.setattr(LB, "PAIRS", 500)
+    df = LB.redundant_pairs(spark.range(300).selectExpr("id * 3 AS id", "if(id % 3 = 0, 'red', 'red blue') AS text"))
+    got = df.selectExpr("a", "b", "spark_partition_id() AS p").collect()
+    assert sorted((r.a, r.b) for r in got) == [(a * 3, b * 3) for a in range(300) for b in range(a + 1, 300)]
+    tasks = [sum(r.p == p for r in got) for p in {r.p for r in got}]
+    assert len(tasks) > 8 and max(tasks) < 300 * 299 // 2 // 8
