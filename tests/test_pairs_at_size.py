@@ -60,3 +60,12 @@ def test_redundant_pairs_of_one_set_are_dealt(spark, monkeypatch):
     assert sorted((r.a, r.b) for r in got) == [(a * 3, b * 3) for a in range(300) for b in range(a + 1, 300)]
     tasks = [sum(r.p == p for r in got) for p in {r.p for r in got}]
     assert len(tasks) > 8 and max(tasks) < 300 * 299 // 2 // 8
+
+
+def test_crosswalk_of_one_key_is_dealt(spark, monkeypatch):
+    monkeypatch.setattr(L, "PAIRS", 1000)
+    c, ids = spark.range(400).selectExpr("id AS node", "if(id < 390, 7, 8) AS k"), spark.range(50).selectExpr("id AS other", "if(id < 49, 7, 8) AS k")
+    got = L.crosswalk(c, ids, "k").selectExpr("*", "spark_partition_id() AS p").collect()
+    assert sorted((r.node, r.other) for r in got) == sorted([(n, o) for n in range(390) for o in range(49)] + [(n, 49) for n in range(390, 400)])
+    tasks = [sum(r.p == p for r in got) for p in {r.p for r in got}]
+    assert len(tasks) > 8 and max(tasks) < len(got) // 3
