@@ -1,11 +1,13 @@
 """Joins whose pairs are many more than their rows: right, and without what is made of each pair being shuffled or staged."""
 
 import numpy as np
+import pyarrow as pa
 
 from skein.operators import client as CL
 from skein.operators import labels as LB
 from skein.operators import lookups as L
 from skein.operators import spatial as P
+from skein.operators import vectors as V
 from skein.sources import staging
 
 
@@ -69,3 +71,24 @@ def test_crosswalk_of_one_key_is_dealt(spark, monkeypatch):
     assert sorted((r.node, r.other) for r in got) == sorted([(n, o) for n in range(390) for o in range(49)] + [(n, 49) for n in range(390, 400)])
     tasks = [sum(r.p == p for r in got) for p in {r.p for r in got}]
     assert len(tasks) > 8 and max(tasks) < len(got) // 3
+
+
+def test_lists_of_parts_are_not_all_kept(spark, monkeypatch):
+    """Vectors pass by a task's queries in batches, and only the best of all leave it: rows grow with the queries, not with queries times blocks."""
+    monkeypatch.setattr(V, "BLOCK", 16)
+    monkeypatch.setattr(V, "HELD", 50)
+    monkeypatch.setattr(V, "TASKS", 2)
+    monkeypatch.setattr(V, "AT_ONCE", 7)
+    x = np.random.default_rng(2).normal(size=(400, 5)).round(2)
+    x[1::9] = x[0]
+    df = spark.createDataFrame([(k * 2, r.tolist()) for k, r in enumerate(x)], "node long, v array<double>")
+    rows = [(part, kind, k * 2, x[k].tolist()) for part in (0, 1) for kind in (0, 1) for k in range(400) if kind or k % 2 == part]
+    batch = pa.RecordBatch.from_pydict({n: [r[c] for r in rows] for c, n in enumerate(("part", "kind", "node", "v"))})
+    assert sum(len(b) for b in V._best_in_passing(6, 5)(batch.slice(i, 30) for i in range(0, len(rows), 30))) == 400 * 6
+    s = np.round(x @ x.T, 5)
+    want = {2 * i: [(2 * int(j), s[i, j]) for j in sorted(range(400), key=lambda j: (-s[i, j], j)) if j != i][:6] for i in range(400)}
+    got = {}
+    for r in V.passing_neighbours(df, df, 6).orderBy("node", "rank").collect():
+        got.setdefault(r.node, []).append((r.nbr, r.score))
+    assert {k: [b for b, _ in v] for k, v in got.items()} == {k: [b for b, _ in v] for k, v in want.items()}
+    assert all(abs(p[1] - w[1]) < 1e-9 for k in got for p, w in zip(got[k], want[k], strict=True))
